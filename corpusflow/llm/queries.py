@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL, by name."""
 
-from corpusflow.llm import toxicity
+from corpusflow.llm import exact_dedup, toxicity
 
-_MODULES = (toxicity,)
+_MODULES = (exact_dedup, toxicity)
 
 
 def queries() -> dict:
