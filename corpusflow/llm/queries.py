@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL, by name."""
 
-from corpusflow.llm import exact_dedup, toxicity
+from corpusflow.llm import exact_dedup, jaccard, toxicity
 
-_MODULES = (exact_dedup, toxicity)
+_MODULES = (jaccard, toxicity, exact_dedup)
 
 
 def queries() -> dict:
