@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL, by name."""
 
-from corpusflow.llm import exact_dedup, jaccard, toxicity
+from corpusflow.llm import exact_dedup, jaccard, packing, toxicity
 
-_MODULES = (jaccard, toxicity, exact_dedup)
+_MODULES = (jaccard, packing, toxicity, exact_dedup)
 
 
 def queries() -> dict:
