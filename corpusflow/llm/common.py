@@ -49,8 +49,8 @@ def fresh(names: Sequence[str], wanted: str) -> str:
     return wanted
 
 
-def ranked(df: DataFrame, keys: list[str], where: str, order: list[Column], rank: str, total: int, bucket_rows: int = 50_000) -> DataFrame:
-    """Adds rank, 1.. within keys by (where, order); where is a column with doubles in [0, 1].
+def ranked(df: DataFrame, keys: list[str], where: str, order: list[Column], rank: str, total: int, size: str | None = None, bucket_rows: int = 50_000) -> DataFrame:
+    """Adds rank, 1.. within keys by (where, order), and size, the rows of the keys; where has doubles in [0, 1].
 
     A window over keys alone would sort a hot key in one task. Here keys and an order-preserving bucket of
     `where` make the window's partitions, of about bucket_rows rows each, and the buckets' counts, summed over
@@ -62,11 +62,13 @@ def ranked(df: DataFrame, keys: list[str], where: str, order: list[Column], rank
     alias = [f"_k{i}" for i in range(len(keys))]
     counts = spread.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, alias)], F.col(bucket).alias("_b")).agg(F.count(F.lit(1)).alias(count))
     before = Window.partitionBy(*(alias or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*alias, "_b", F.coalesce(F.sum(count).over(before), F.lit(0)).alias(below))
+    whole = F.sum(count).over(Window.partitionBy(*(alias or [F.lit(0)])))
+    offsets = counts.select(*alias, "_b", F.coalesce(F.sum(count).over(before), F.lit(0)).alias(below), whole.alias("_whole"))
     inside = Window.partitionBy(*keys, bucket).orderBy(F.col(where), *order)
     numbered = spread.withColumn(rank, F.row_number().over(inside))
     same = numbered[bucket] == offsets["_b"]
     for k, a in zip(keys, alias):
         same &= numbered[k].eqNullSafe(offsets[a])
     joined = numbered.join(offsets, same)
-    return joined.select(*[numbered[c] for c in df.columns], (numbered[rank] + offsets[below]).cast("bigint").alias(rank))
+    added = [(numbered[rank] + offsets[below]).cast("bigint").alias(rank), *([offsets["_whole"].alias(size)] if size else [])]
+    return joined.select(*[numbered[c] for c in df.columns], *added)
