@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL, by name."""
 
-from corpusflow.llm import exact_dedup, jaccard, packing, toxicity
+from corpusflow.llm import chat, exact_dedup, jaccard, licenses, packing, sharding, toxicity
 
-_MODULES = (jaccard, packing, toxicity, exact_dedup)
+_MODULES = (chat, jaccard, licenses, sharding, packing, toxicity, exact_dedup)
 
 
 def queries() -> dict:
