@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL, by name."""
 
-from corpusflow.llm import chat, exact_dedup, jaccard, licenses, neighbours, packing, sharding, token_counts, toxicity
+from corpusflow.llm import chat, exact_dedup, jaccard, licenses, neighbours, packing, segmentation, sharding, token_counts, toxicity
 
-_MODULES = (chat, neighbours, jaccard, licenses, sharding, packing, token_counts, toxicity, exact_dedup)
+_MODULES = (chat, neighbours, jaccard, licenses, sharding, segmentation, packing, token_counts, toxicity, exact_dedup)
 
 
 def queries() -> dict:
