@@ -159,96 +159,272 @@ def _sets(documents: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _minima(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, T)
+def _children(node: np.ndarray, minima: np.ndarray, ways: int) -> Iterator[np.ndarray]:
+    """For each of `ways` coordinates sampled for a node, the child of each set: sets with one token share it."""
+    with np.errstate(over="ignore"):
+        # coordinates start + k * stride (mod T), stride odd: different ones, the same for all sets of a node
+        start, stride = mix(node ^ _U(0xA5A5A5A5)), mix(node + _U(0x1234567)) | _U(1)
+        for k in range(ways):
+            coordinate = (start + _U(k) * stride) % _U(T)
+            value = minima[np.arange(len(minima)), coordinate.astype(np.int64)].astype(_U)
+            yield mix(mix(node + coordinate * _U(0x9E3779B97F4A7C15)) ^ value)
+
+
+def _sampled(run: int, ways: int) -> list[int]:
+    """The coordinates that the root samples in a run; runs don't share any until all are used."""
+    order = np.random.default_rng(11).permutation(T)
+    return [int(order[(run * ways + k) % T]) for k in range(ways)]
 
 
 def _split(rows: DataFrame, run: int, ways: int, root: bool) -> DataFrame:
-    """(node, sid): from each node, for each of `ways` coordinates sampled for it, the child that holds the sets with
-    the same value there. rows: (sid, sig) at the root, else (node, sid, sig)."""
-    schema = pa.schema([("node", pa.int64()), ("sid", pa.int64())])
+    """(node, way, sid, sketch) of all children; way: by which of the root's samples. rows: (sid, sig) at the root,
+    else (node, sid, sketch)."""
+    schema = pa.schema([("node", pa.int64()), ("way", pa.int32()), ("sid", pa.int64()), ("sketch", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids = batch.column(batch.schema.get_field_index("sid")).to_numpy()
-            if not len(sids):
+            if not batch.num_rows:
                 continue
-            minima = _minima(batch.column(batch.schema.get_field_index("sig")))
-            with np.errstate(over="ignore"):
-                node = mix(np.full(len(sids), run + 1, _U)) if root else batch.column(batch.schema.get_field_index("node")).to_numpy().view(_U)
-                # coordinates start + k * stride (mod T), stride odd: ways different ones, the same for all of a node
-                start, stride = mix(node ^ _U(0xA5A5A5A5)), mix(node + _U(0x1234567)) | _U(1)
-                for k in range(ways):
-                    coordinate = (start + _U(k) * stride) % _U(T)
-                    value = minima[np.arange(len(sids)), coordinate.astype(np.int64)].astype(_U)
-                    child = mix(mix(node + coordinate * _U(0x9E3779B97F4A7C15)) ^ value)
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(sids)], schema=schema)
-
-    return rows.mapInArrow(split, "node bigint, sid bigint")
-
-
-def _within(rows: DataFrame, least: float) -> DataFrame:
-    """All pairs of a bucket whose signatures agree in a share of at least `least`: (a, b, agree), a < b.
-    rows: (node, sid, sig), partitioned and sorted by node."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
-    need = math.ceil(least * T)
-
-    def pairs(sids: np.ndarray, minima: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for gap in range(1, int(sizes.max())):  # pairs at this distance, of all buckets that are long enough
-            bucket = np.flatnonzero(sizes > gap)
-            lengths = sizes[bucket] - gap
-            left = np.repeat(starts[bucket] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-            for at in range(0, len(left), 1 << 16):
-                i = left[at : at + (1 << 16)]
-                j = i + gap
-                agree = (minima[i] == minima[j]).sum(axis=1)
-                ok = (agree >= need) & (sids[i] != sids[j])
-                if ok.any():
-                    x, y = sids[i[ok]], sids[j[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(agree[ok].astype(np.int32))], schema=schema)
+            sids, raw = batch.column("sid"), batch.column("sig" if root else "sketch")
+            minima = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint32 if root else np.uint16).reshape(-1, T)
+            if root:
+                raw = pa.array([m.tobytes() for m in minima.astype(np.uint16)], pa.binary())
+                with np.errstate(over="ignore"):
+                    children = [mix(mix(minima[:, t].astype(_U) + _U(t + 1) * _U(0x9E3779B97F4A7C15)) + _U(run)) for t in _sampled(run, ways)]
+            else:
+                children = list(_children(batch.column("node").to_numpy().view(_U), minima, ways))
+            for k, child in enumerate(children):
+                way = pa.array(np.full(len(sids), k if root else -1, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), way, sids, raw], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    return rows.mapInArrow(split, "node bigint, way int, sid bigint, sketch binary")
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many of the last axis' T sketches x and y agree."""
+    lanes = np.ascontiguousarray(x == y).view(_U).sum(axis=-1, dtype=_U)
+    with np.errstate(over="ignore"):
+        return ((lanes * _U(0x0101010101010101)) >> _U(56)).astype(np.int32)
+
+
+def _against(some: np.ndarray, rest: np.ndarray, sketch: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, agreement) of some with rest, need at least, in blocks of bounded size."""
+    for at in range(0, len(some), 32):
+        for to in range(0, len(rest), 1024):
+            i, j = some[at : at + 32], rest[to : to + 1024]
+            found = _agree(sketch[i][:, None, :], sketch[j][None, :, :])
+            x, y = np.nonzero(found >= need)
+            if len(x):
+                yield i[x], j[y], found[x, y]
+
+
+def local_paths(sketch: np.ndarray, node: int, threshold: float, need: int, ways: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rest of a node's tree: sets whose mean agreement with the node's sets comes near the threshold are compared
+    with all of them and leave; the others are split on sampled tokens until a bucket is small enough to compare.
+    Coordinates where over half of the sets share one token would not split a node and are passed over, if others do.
+    """
+    tokens = np.stack([np.unique(sketch[:, t], return_inverse=True)[1] for t in range(T)], axis=1)
+    stack = [(np.arange(len(sketch)), node & 0xFFFFFFFF)]
+    while stack:
+        own, name = stack.pop()
+        mean, share = np.zeros(len(own)), np.zeros(T)
+        for t in range(T):
+            column = tokens[own, t]
+            count = np.bincount(column)
+            mean += count[column] - 1
+            share[t] = count.max() / len(own)
+        dense = mean >= 0.8 * threshold * T * (len(own) - 1)
+        if dense.any() or share.min() > 0.5:
+            hot, own = (own[dense], own[~dense]) if dense.any() else (own, own[:0])
+            yield from _against(hot, own, sketch, need)
+            for at in range(0, len(hot), 32):
+                yield from _against(hot[at : at + 32], hot[at + 32 :], sketch, need)
+                yield from _paired(np.array([at]), np.array([min(32, len(hot) - at)]), hot, sketch, need)
+        if len(own) <= bucket:
+            yield from _paired(np.array([0]), np.array([len(own)]), own, sketch, need)
+            continue
+        usable = np.flatnonzero(share <= 0.5)
+        for k, t in enumerate(np.random.default_rng(name).permutation(usable)[:ways]):
+            column = tokens[own, t]
+            order = np.argsort(column, kind="stable")
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(column[order])) + 1))
+            sizes = np.diff(np.concatenate((starts, [len(own)])))
+            small = (sizes > 1) & (sizes <= bucket)
+            yield from _paired(starts[small], sizes[small], own[order], sketch, need)
+            for g in np.flatnonzero(sizes > bucket):
+                stack.append((own[order[starts[g] : starts[g] + sizes[g]]], (name * 31 + k * 1009 + int(g) + 1) & 0xFFFFFFFF))
+
+
+def _paired(starts: np.ndarray, sizes: np.ndarray, index: np.ndarray, sketch: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs inside many groups, each a stretch of index, by their distance in it."""
+    for gap in range(1, int(sizes.max(initial=0))):
+        group = np.flatnonzero(sizes > gap)
+        lengths = sizes[group] - gap
+        left = np.repeat(starts[group] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        for at in range(0, len(left), 1 << 15):
+            i, j = index[left[at : at + (1 << 15)]], index[left[at : at + (1 << 15)] + gap]
+            found = _agree(sketch[i], sketch[j])
+            ok = found >= need
+            if ok.any():
+                yield i[ok], j[ok], found[ok]
+
+
+def _join(rows: DataFrame, threshold: float, run: int, ways: int, bucket: int, most: int) -> DataFrame:
+    """(a, b, agree) of the sets that meet in a node and agree well enough, a < b, and, with a null, the (node, sid,
+    sketch) of nodes of more than `most` sets, which are passed on to be split. rows: (node, way, sid, sketch). A pair
+    that an earlier sample of the root has brought together is left to that one, so pairs aren't found many times."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("node", pa.int64()), ("sid", pa.int64()), ("sketch", pa.binary())])
+    need = math.ceil((threshold - 3 * math.sqrt(threshold * (1 - threshold) / T)) * T)
+    none = lambda n, kind: pa.nulls(n, kind)
+    before = [t for r in range(run) for t in _sampled(r, ways)]
+    earlier = [np.array(before + _sampled(run, ways)[:k], np.int64) for k in range(ways)]
+
+    def found(way: int, sids: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+        if way >= 0 and len(earlier[way]):
+            new = ~(sketch[i][:, earlier[way]] == sketch[j][:, earlier[way]]).any(axis=1)
+            i, j, agree = i[new], j[new], agree[new]
+        x, y = sids[i], sids[j]
+        n = len(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(agree), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary())], schema=schema)
+
+    def passed(nodes: np.ndarray, sids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        n = len(nodes)
+        return pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int32()), pa.array(nodes), pa.array(sids), pa.array([s.tobytes() for s in sketch], pa.binary())], schema=schema)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        too_large: int | None = None  # the node whose rows are being passed on
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nodes, sids, minima = (np.concatenate(x) for x in zip(*held))
+            nonlocal too_large
+            nodes, way, sids, sketch = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            if too_large is not None:
+                upto = int(np.searchsorted(nodes != too_large, True))
+                if upto:
+                    yield passed(nodes[:upto], sids[:upto], sketch[:upto])
+                    nodes, way, sids, sketch = nodes[upto:], way[upto:], sids[upto:], sketch[upto:]
+            if not len(nodes):
+                return
             starts = np.concatenate(([0], np.flatnonzero(np.diff(nodes)) + 1))
             sizes = np.diff(np.concatenate((starts, [len(nodes)])))
             done = len(starts) if last else len(starts) - 1
-            if done:
-                yield from pairs(sids, minima, starts[:done], sizes[:done])
-            held[:] = [] if last else [(nodes[starts[-1] :], sids[starts[-1] :], minima[starts[-1] :])]
+            ready = np.arange(len(starts)) < done
+            for w in np.unique(way):
+                small = np.flatnonzero(ready & (sizes > 1) & (sizes <= bucket) & (way[starts] == w))
+                for x in _paired(starts[small], sizes[small], np.arange(len(nodes)), sketch, need):
+                    yield found(int(w), sids, sketch, *x)
+            for k in np.flatnonzero(ready & (sizes > bucket)):
+                own = slice(starts[k], starts[k] + sizes[k])
+                if sizes[k] > most:
+                    yield passed(nodes[own], sids[own], sketch[own])
+                else:
+                    for x in _once(local_paths(sketch[own], int(nodes[starts[k]]), threshold, need, ways + 2, bucket), int(sizes[k])):
+                        yield found(int(way[starts[k]]), sids[own], sketch[own], *x)
+            if not last:
+                own = slice(starts[-1], None)
+                if sizes[-1] > most:
+                    too_large = nodes[-1]
+                    yield passed(nodes[own], sids[own], sketch[own])
+                else:
+                    held.append((nodes[own], way[own], sids[own], sketch[own]))
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _minima(batch.column(2))))
-                if held[0][0][0] != held[-1][0][-1]:
-                    yield from flush(False)
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, T)))
+                yield from flush(False)
         if held:
             yield from flush(True)
 
-    return rows.mapInArrow(run, "a bigint, b bigint, agree int")
+    return rows.mapInArrow(join, "a bigint, b bigint, agree int, node bigint, sid bigint, sketch binary")
+
 
+def _once(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """pairs of 0..n-1, those of about `most` at a time without repetition."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
+        return code // n, code % n, np.concatenate([h[1] for h in held])[at]
+
+    for i, j, agree in pairs:
+        held.append((np.minimum(i, j) * n + np.maximum(i, j), agree))
+        size += len(i)
+        if size > most:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
-def _run(sets: DataFrame, run: int, threshold: float, bucket: int, depth: int) -> DataFrame:
-    """One run: the candidate pairs of all leaves of its tree."""
+
+def _run(sets: DataFrame, run: int, threshold: float, bucket: int, most: int, depth: int) -> DataFrame:
+    """One run: the candidate pairs (a, b, agree) of its tree. A level is one shuffle of (node, sid, sketch); only
+    nodes of more than `most` sets need another, all others are finished where their rows meet."""
     ways = math.ceil(1 / threshold) + 1
-    signed = sets.select("sid", "sig")
-    rows, leaves = signed, None
+    nodes, found = _split(sets.select("sid", "sig"), run, ways, True), None
     for level in range(depth):
-        nodes = _split(rows, run, ways, level == 0)
-        if level:
-            nodes = nodes.distinct()  # two sampled coordinates may lead to the same child
-        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        placed = cut(nodes.join(counts, "node").select("node", "sid", "n"))
-        small = placed if level == depth - 1 else placed.where(F.col("n") <= bucket)
-        leaves = small.select("node", "sid") if leaves is None else leaves.unionByName(small.select("node", "sid"))
-        large = placed.where(F.col("n") > bucket)
-        if level == depth - 1 or large.isEmpty():
+        placed = nodes.repartition("node").sortWithinPartitions("node")
+        met = cut(_join(placed, threshold, run, ways, bucket, most if level < depth - 1 else 1 << 62))
+        pairs = met.where("a is not null and a != b").select("a", "b", "agree")
+        found = pairs if found is None else found.unionByName(pairs)
+        left = met.where("a is null").select("node", "sid", "sketch")
+        if level == depth - 1 or left.isEmpty():
             break
-        rows = large.select("node", "sid").join(signed, "sid").select("node", "sid", "sig")
-    filled = leaves.join(signed, "sid").select("node", "sid", "sig").repartition("node").sortWithinPartitions("node")
-    return _within(filled, threshold - 3 * math.sqrt(threshold * (1 - threshold) / T))
+        nodes = _split(left, run, ways, False)
+    return found
+
+
+def _met(agree: int, sampled: int) -> float:
+    """The chance that a pair that agrees in `agree` of T coordinates shares a token among `sampled` of them."""
+    sampled = min(sampled, T)
+    return 1 - math.comb(T - agree, sampled) / math.comb(T, sampled)
+
+
+def _verified(pairs: DataFrame, grams: DataFrame, threshold: float, most: int = 20_000) -> DataFrame:
+    """(a, b, jaccard) of the pairs that meet the threshold on their sets. A set's leader is the least of it and its
+    partners; pairs meet their sets in the group of a's leader, so that a set of many pairs is sent about once and not
+    with each. Leaders share groups of some thousand pairs; those of more than most^2 / 2 pairs are cut into tiles."""
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    leaders = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("leader"))
+    led = pairs.select("a", "b").join(leaders, "a")
+    tiles = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(most) * most / 2)).cast("int").alias("g"))
+    keys, bins = ["bin", "x", "y"], max(1, pairs.count() // 4000)
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("g")).cast("int")
+    placed = cut(led.join(tiles, "leader").select(F.pmod(F.xxhash64("leader"), F.lit(bins)).cast("int").alias("bin"), part("a").alias("x"), part("b").alias("y"), "a", "b"))
+    needed = placed.select(*keys, F.col("a").alias("sid")).union(placed.select(*keys, "b")).distinct().join(grams, "sid").select(F.col("bin").alias("bin2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "sid", "grams")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+
+    def verify(key: tuple, asked: pa.Table, sets: pa.Table) -> pa.Table:
+        if not asked.num_rows or not sets.num_rows:
+            return schema.empty_table()
+        order = np.argsort(sets["sid"].to_numpy())
+        sids = sets["sid"].to_numpy()[order]
+        lists = sets["grams"].combine_chunks()
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size = np.diff(offsets)
+        tokens, dense = np.unique(values, return_inverse=True)
+        a, b = (order[np.searchsorted(sids, asked[c].to_numpy())] for c in "ab")
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        share, marked = np.zeros(len(a)), np.zeros(len(tokens), dtype=bool)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(a)) + 1, [len(a)]))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            own = dense[offsets[a[lo]] : offsets[a[lo] + 1]]
+            marked[own] = True
+            for at in range(lo, hi, 256):
+                others = b[at : min(hi, at + 256)]
+                counts = size[others]
+                ends = np.cumsum(counts)
+                index = np.arange(ends[-1]) + np.repeat(offsets[others] - (ends - counts), counts)
+                shared = np.add.reduceat(marked[dense[index]].astype(np.int64), ends - counts)
+                share[at : at + len(others)] = shared / (size[a[lo]] + counts - shared)
+            marked[own] = False
+        ok = share >= threshold
+        names = sets["sid"].to_numpy()
+        return pa.table([pa.array(names[a[ok]]), pa.array(names[b[ok]]), pa.array(share[ok])], schema=schema)
+
+    return placed.groupBy(*keys).cogroup(needed.groupBy("bin2", "x2", "y2")).applyInArrow(verify, "a bigint, b bigint, jaccard double")
 
 
 def _gram_sets(documents: DataFrame, n: int) -> DataFrame:
@@ -278,7 +454,7 @@ def _gram_sets(documents: DataFrame, n: int) -> DataFrame:
     return out.select(F.xxhash64("sid_count", "one", "two").alias("sid"), "grams")
 
 
-def jaccard_join(documents: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.97, bucket: int = 100, depth: int = 8, max_runs: int = 12) -> DataFrame:
+def jaccard_join(documents: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.97, bucket: int = 64, most: int = 50_000, depth: int = 6, max_runs: int = 12) -> DataFrame:
     """Pairs of documents whose sets of word n-grams have a Jaccard similarity of at least threshold.
 
     A word is a run of ASCII letters, digits and underscores or any other non-ASCII characters, lowered; a text of
@@ -292,33 +468,28 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.5, n: int = 3, recal
 
     Chosen paths: each set keeps T minhash tokens. A node samples ceil(1/threshold)+1 coordinates; sets that share the
     token there go to the same child. Buckets of at most `bucket` sets are compared pair by pair on their signatures,
-    larger ones split again; at `depth` all are compared, however large. Runs repeat with other samples until, of what
-    the last run found, a share of `recall` had been found before it. Survivors (three standard errors below the
-    threshold) are verified on the exact n-gram sets, so precision is 1. Each run moves ids, then signatures (256
-    bytes) of sets that share a bucket; texts are read again only for documents in surviving pairs.
+    larger ones split again after the sets that are near most of the others have been compared with all of them.
+    Runs repeat with other samples until the pairs found are a share of `recall` of those there must be, each standing
+    for 1 / (its chance to have been met). A pair is reported by the first sample that brings it together.
+    Survivors (three standard errors below the threshold) are verified on the exact n-gram sets, so precision is 1.
+    Each run moves 16-bit sketches (128 bytes a set) once; texts are read again only for documents in surviving pairs.
     """
     sets = cut(_sets(documents, n))
-    found = None
+    found, ways = None, math.ceil(1 / threshold) + 1
     for run in range(max_runs):
-        now = cut(_run(sets, run, threshold, bucket, depth).groupBy("a", "b").agg(F.max("agree").alias("agree")))
-        if found is None:
-            found = now
-            continue
-        sure = now.where(F.col("agree") >= threshold * T)
-        total, again = sure.count(), sure.join(found.select("a", "b"), ["a", "b"], "left_semi").count()
-        found = cut(found.unionByName(now).groupBy("a", "b").agg(F.max("agree").alias("agree")))
-        if again >= recall * total:
+        now = _run(sets, run, threshold, bucket, most, depth)
+        found = now if found is None else found.unionByName(now)
+        seen = {r.agree: r["count"] for r in found.where(F.col("agree") >= threshold * T).groupBy("agree").count().collect()}  # T rows at most
+        if sum(seen.values()) >= recall * sum(n / _met(agree, (run + 1) * ways) for agree, n in seen.items()):
             break
-    pairs = found.select("a", "b")
+    pairs = cut(found.select("a", "b").distinct())
     used = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     names = cut(sets.select("sid", "doc_id").join(used, "sid", "left_semi"))
     count = names.count()
     rows = documents.where("text is not null").withColumn("_id", F.col("doc_id").cast("bigint")).select("_id", "text")
     read = rows.join(small_broadcast(names.select(F.col("doc_id").alias("_id")).distinct(), count, 16), "_id", "left_semi")
     grams = cut(_gram_sets(read, n).join(small_broadcast(names.select("sid"), count, 16), "sid", "left_semi").dropDuplicates(["sid"]))
-    left, right = (grams.select(F.col("sid").alias(s), F.col("grams").alias(f"g{s}")) for s in "ab")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    close = pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    close = _verified(pairs, grams, threshold)
     a, b = (sets.select(F.col("sid").alias(s), F.col("doc_id").alias(f"id{s}"), F.col("doc_ids").alias(f"ids{s}")) for s in "ab")
     first = F.col("ida") <= F.col("idb")
     near = close.join(a, "a").join(b, "b").select(
