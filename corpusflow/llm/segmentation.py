@@ -18,7 +18,7 @@ from corpusflow.llm.common import table
 SPACE = "▁"
 BATCH_CHARS = 3 << 20
 LONG = 64  # words of more characters take the scalar path
-STORED = 250_000  # a worker forgets the words it has searched when it holds more
+STORED = 400_000  # a worker forgets the words it has searched when it holds more
 _U = np.uint64
 _TABLE_BITS = 22
 
@@ -138,58 +138,57 @@ class Pieces:
         tokens in one array, and how many each word has. Negative tokens are -1 - code point, to be spelled."""
         n, span = len(words), min(self.longest, width)
         length = np.fromiter(map(len, words), np.int64, n)
-        codes = np.zeros((n, width + span), dtype=np.uint32)
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        inside = np.arange(width)[None] < length[:, None]
-        codes[:, :width][inside] = flat
-        ids = np.full((span, n, width), -1, dtype=np.int32)
-        h = np.zeros((n, width), dtype=_U)
+        codes = np.zeros((n, width), dtype=np.uint32)
+        codes[np.arange(width)[None] < length[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.ascontiguousarray(codes.T)  # by position, then word: every step below works on whole rows
+        wide = codes.astype(_U)
+        ids: list[np.ndarray] = []  # ids[k][start, word]: the piece of k + 1 characters there, or -1
+        h = np.zeros((width, n), dtype=_U)
         for k in range(span):
-            h = self._step(h, codes[:, k : k + width].astype(_U))
+            h = self._step(h[: width - k], wide[k:])
             full = self._finish(h)
-            maybe = self.likely[(full >> _U(64 - _TABLE_BITS)).astype(np.int64)] & (np.arange(width)[None] + k < length[:, None])
+            own = np.full(full.shape, -1, dtype=np.int32)
+            maybe = self.likely[(full >> _U(64 - _TABLE_BITS)).astype(np.int64)] & (np.arange(k, width)[:, None] < length[None])
             rows, cols = np.nonzero(maybe)
             asked = full[rows, cols]
             at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
             hit = self.hashes[at] == asked
-            ids[k, rows[hit], cols[hit]] = self.hash_ids[at[hit]]
-        scores = np.where(ids >= 0, self.scores[np.maximum(ids, 0)], -np.inf)
-        alone = (ids[0] < 0) & inside
-        scores[0][alone] = self.unknown_score
-        forward = np.full((n, width + 1), -np.inf)
-        back = np.zeros((n, width + 1), dtype=np.int64)
-        forward[:, 0] = 0
-        backward = np.full((n, width + 1), -np.inf)
-        backward[np.arange(n), length] = 0
+            own[rows[hit], cols[hit]] = self.hash_ids[at[hit]]
+            ids.append(own)
+        some = [(x >= 0).any(axis=1) for x in ids]
+        first = np.where(ids[0] >= 0, self.scores[np.maximum(ids[0], 0)], self.unknown_score)
+        best = np.full((width + 1, n), -np.inf)  # of the paths to a position, and of all but the best
+        second = np.full((width + 1, n), -np.inf)
+        back = np.zeros((width + 1, n), dtype=np.int8)
+        best[0] = 0
         for end in range(1, width + 1):
             for k in range(min(span, end)):
-                value = forward[:, end - 1 - k] + scores[k, :, end - 1 - k]
-                better = value > forward[:, end]
-                forward[better, end] = value[better]
-                back[better, end] = k + 1
-        for start in range(width - 1, -1, -1):
-            for k in range(min(span, width - start)):
-                np.maximum(backward[:, start], scores[k, :, start] + backward[:, start + k + 1], out=backward[:, start])
-        best = forward[np.arange(n), length]
-        through = forward[None, :, :width] + scores
-        for k in range(span):
-            through[k, :, : width - k] += backward[:, k + 1 :]
-            through[k, :, width - k :] = -np.inf
+                start = end - 1 - k
+                if k and not some[k][start]:
+                    continue
+                own = first[start] if k == 0 else np.where(ids[k][start] >= 0, self.scores[np.maximum(ids[k][start], 0)], -np.inf)
+                one, two = best[start] + own, second[start] + own
+                back[end][one > best[end]] = k + 1
+                second[end] = np.maximum(np.maximum(two, second[end]), np.minimum(one, best[end]))
+                best[end] = np.maximum(one, best[end])
         row, at, turns = np.arange(n), length.copy(), []
-        while True:
-            live = at > 0
-            if not live.any():
-                break
-            step = back[row, at]
-            start = np.where(live, at - step, 0)
-            token = ids[np.maximum(step - 1, 0), row, start]
-            token = np.where(token >= 0, token, -1 - codes[row, start].astype(np.int64))
-            turns.append(np.where(live, token, np.iinfo(np.int64).min))
-            through[step[live] - 1, row[live], start[live]] = -np.inf
-            at = start
+        none = np.iinfo(np.int64).min
+        tops, seconds = best[length, row], second[length, row]
+        while len(row):
+            step = back[at, row].astype(np.int64)
+            at = at - step
+            token = np.full(len(row), -1, dtype=np.int64)
+            for k in np.unique(step):
+                own = step == k
+                token[own] = ids[k - 1][at[own], row[own]]
+            token = np.where(token >= 0, token, -1 - codes[at, row].astype(np.int64))
+            full = np.full(n, none)
+            full[row] = token
+            turns.append(full)
+            row, at = row[at > 0], at[at > 0]
         grid = np.stack(turns[::-1], axis=1) if turns else np.zeros((n, 0), np.int64)
-        there = grid != np.iinfo(np.int64).min
-        return best, best - through.max(axis=(0, 2)), grid[there], there.sum(axis=1)
+        there = grid != none
+        return tops, tops - seconds, grid[there], there.sum(axis=1)
 
     def learn(self, words: list[str]) -> None:
         """Adds distinct new words of any length to the store."""
