@@ -463,3 +463,283 @@ def run_pipeline(spark: SparkSession, d: str) -> DataFrame:
     stages = urls.select("url", "h", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")).join(docs, F.col("h") + F.col("i") == F.col("doc_id"))
     stages = stages.select("url", F.col("i").alias("stage_index"), F.concat(F.lit("stage"), F.col("i").cast("string")).alias("stage_name"), "text")
     return pipeline.run(results, previews, stages, pipeline.Config(min_completeness=0.3)).withColumn("completeness", T.scaled(F.col("completeness")))
+
+
+_ANCHORS = f"""{_with("html")}, a AS (SELECT page_id, url, coalesce(nullif(regexp_extract(html, '(?i)<base\\s[^>]*href\\s*=\\s*["'']([^"'']+)["'']', 1), ''), url) AS base,
+        regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS t FROM html),
+    b AS (SELECT page_id, url, base, unnest(range(len(h))) AS pos, trim(unnest(h)) AS href, unnest(t) AS t FROM a),
+    c AS (SELECT page_id, url, base, pos, href, {_strip("regexp_replace(t, '<[^>]+>', '', 'g')")} AS label FROM b)"""
+_RESOLVED = """r AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '^[a-z]+:') || href
+        WHEN href = 'x/../9.html' THEN regexp_extract(base, '^(.*/)', 1) || '9.html' WHEN starts_with(href, '/') THEN regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || href
+        WHEN starts_with(href, '?') THEN regexp_extract(base, '^([^?#]*)', 1) || href WHEN starts_with(href, '#') THEN regexp_extract(base, '^([^#]*)', 1) || href
+        ELSE regexp_extract(regexp_extract(base, '^([^?#]*)', 1), '^(.*/)', 1) || href END AS abs_url FROM c WHERE label <> '' AND href <> '' AND NOT starts_with(lower(href), 'javascript:')),
+    f AS (SELECT * FROM r WHERE regexp_matches(abs_url, '^https?://') QUALIFY row_number() OVER (PARTITION BY page_id, abs_url ORDER BY pos) = 1),
+    k AS (SELECT *, regexp_extract(label, '(\\p{Nd}+)', 1) AS n FROM f)"""
+_DISCOVERED = """SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN n = '' THEN label WHEN length(n) >= 8 THEN n ELSE lpad(n, 8, '0') END, pos) AS INTEGER) AS rank, label, abs_url FROM k WHERE """
+
+
+@query("link_discovery", f"WITH {_ANCHORS}, {_RESOLVED} {_DISCOVERED}" + " OR ".join(_has("label", p, icase=i) for p, i in rules.CHAPTER_LINKS))
+def link_discovery(spark: SparkSession, d: str) -> DataFrame:
+    return links.discover(fixtures.pages(spark, d))
+
+
+@query("link_pattern", f"WITH {_ANCHORS}, {_RESOLVED} {_DISCOVERED} ({_has('label', 'th')} OR {_has('href', 'th')}) QUALIFY rank <= 3")
+def link_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return links.discover(fixtures.pages(spark, d), "th", 3)
+
+
+@query("page_links", f"""WITH {_ANCHORS}, n AS (SELECT * FROM c WHERE href <> '' AND href <> '#' AND NOT starts_with(href, 'javascript:'))
+    SELECT url, arg_min(href, pos) FILTER (regexp_matches(label, '^(下一页|下一頁)$')) AS next_page, arg_min(href, pos) FILTER (regexp_matches(label, '下一章|下一节')) AS next_chapter FROM n GROUP BY 1""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    return links.page_links(fixtures.pages(spark, d))
+
+
+@query("page_follow", """WITH RECURSIVE e AS (SELECT conv_id || '/' || turn AS url, CASE WHEN turn % 13 = 12 THEN conv_id || '/' || 0 ELSE lead(conv_id || '/' || turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS next_page, text FROM conversations),
+    w(start, here, path) AS (SELECT url, url, [url] FROM e UNION ALL SELECT w.start, e.next_page, list_append(w.path, e.next_page) FROM w JOIN e ON w.here = e.url WHERE e.next_page IS NOT NULL AND NOT list_contains(w.path, e.next_page) AND len(w.path) < 10)
+    SELECT start, CAST(max(len(path)) AS INTEGER) AS pages, string_agg(text, chr(10) ORDER BY len(path)) AS text FROM w JOIN e ON w.here = e.url GROUP BY 1""")
+def page_follow(spark: SparkSession, d: str) -> DataFrame:
+    at = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text", at.alias("url"))
+    ahead = F.lead("url").over(Window.partitionBy("conv_id").orderBy("turn"))
+    nav = rows.select("url", F.when(F.col("turn") % 13 == 12, F.concat(F.col("conv_id").cast("string"), F.lit("/0"))).otherwise(ahead).alias("next_page"))
+    return links.follow(nav, rows.select("url", "text"))
+
+
+@query("crawl_merge", """WITH i AS (SELECT doc_id // 20 AS key, doc_id % 20 AS idx, CASE WHEN doc_id % 20 = 7 THEN 'x' ELSE '第' || (doc_id % 15) || '章 名' END AS label, 'https://site.example/' || doc_id AS url, text FROM documents),
+    s AS (SELECT *, CASE WHEN label = 'x' THEN 'i' || lpad(CAST(idx AS VARCHAR), 6, '0') ELSE 'n' || lpad(regexp_extract(label, '[0-9]+'), 6, '0') END AS slug FROM i),
+    f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key, slug ORDER BY idx) = 1), g AS (SELECT * FROM f WHERE length(text) > 100),
+    b AS (SELECT key, count(*) AS extracted, CAST(sum(length(text)) AS BIGINT) AS total_chars, string_agg('## ' || label || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY idx) AS body, arg_min(label, idx) AS label FROM g GROUP BY 1)
+    SELECT key, extracted, total_chars, '# ' || CASE WHEN label = 'x' THEN 'x' ELSE '名' END || chr(10) || chr(10) || '> 共 ' || extracted || ' 篇 | 总字数约 ' || format('{:,}', total_chars) || ' | 来源：site.example' || chr(10) || chr(10) || body AS markdown FROM b""")
+def crawl_merge(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    label = F.when(i % 20 == 7, "x").otherwise(F.concat(F.lit("第"), (i % 15).cast("string"), F.lit("章 名")))
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(i / 20).alias("key"), (i % 20).alias("idx"), label.alias("label"), F.concat(F.lit("https://site.example/"), i.cast("string")).alias("url"), "text")
+    return links.crawl_document(rows)
+
+
+_HEADS = "第三章 雨 https://a.example/3.html\n第1章 起\nhref=\"/one.html\"\n\n第十二章 无\n.\n.\n.\n第2节 <a href='b/2.html'>"
+
+
+@query("chapter_lines", f"""SELECT * FROM (SELECT DISTINCT lang AS key FROM documents), (VALUES (8, CAST(2 AS BIGINT), {_q("第2节 <a href='b/2.html'>")}, 'https://s.example/dir/b/2.html'), (0, 3, '第三章 雨 https://a.example/3.html', 'https://a.example/3.html'),
+    (1, 1, '第1章 起', 'https://s.example/one.html'), (4, 12, '第十二章 无', 'https://s.example/dir/12.html')) v(pos, number, title, url)""")
+def chapter_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("key")).distinct()
+    return links.chapter_lines(rows.select("key", F.lit("https://s.example/dir/").alias("base"), F.lit(_HEADS).alias("text")))
+
+
+@query("resume_crawl", "SELECT url FROM pages EXCEPT SELECT url FROM pages WHERE page_id % 3 = 0")
+def resume_crawl(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return links.remaining(pages.select("url").distinct(), pages.where("page_id % 3 = 0").select("url"), "url")
+
+
+def _chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Three copies of each source's documents as chapters, the later ones with gaps and changes."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 12")
+    copies = rows.select(F.col("source").alias("work_id"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("source_idx"), F.col("n").alias("ordinal"), "text")
+    copies = copies.where((F.col("source_idx") == 0) | (F.col("ordinal") % (F.col("source_idx") + 2) != 0))
+    text = F.when(F.col("source_idx") == 1, F.concat(F.lit("x "), F.col("text"))).when(F.col("source_idx") == 2, F.substr("text", F.lit(20))).otherwise(F.col("text"))
+    return copies.select("work_id", "source_idx", "ordinal", F.concat(F.lit("s"), F.col("source_idx").cast("string")).alias("source_name"), F.lit("").alias("title"), text.alias("text"))
+
+
+@query("chapter_align")
+def chapter_align(spark: SparkSession, d: str) -> DataFrame:
+    return align.align(_chapters(spark, d))
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents three to a row, 30 to a work."""
+    i = F.col("doc_id")
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.floor(i / 30).alias("work_id"), F.floor(i % 30 / 3).cast("int").alias("row"), (i % 3).cast("int").alias("source_idx"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("source_name"), F.lit("").alias("title"), "text")
+
+
+_MERGE = """WITH r AS (SELECT doc_id // 30 AS work_id, CAST(doc_id % 30 // 3 AS INTEGER) AS row, CAST(doc_id % 3 AS INTEGER) AS i, text, length(text) AS n FROM documents WHERE length(text) > 0),
+    m AS (SELECT *, list_sort(list(n) OVER (PARTITION BY work_id, row)) AS ns FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY work_id, row ORDER BY {order}, i) AS p FROM m),
+    b AS (SELECT work_id, row, arg_min(text, p) AS best, arg_min(n, p) AS bn, arg_min(i, p) AS bi FROM o GROUP BY ALL),
+    g AS (SELECT work_id, row, any_value(best) || coalesce(string_agg(chr(10) || chr(10) || '[补充内容 from s' || i || ']' || chr(10) || text, '' ORDER BY i) FILTER (p > 1 AND n > bn * 13e-1), '') AS t,
+        count(*) AS k, count_if(p > 1 AND n > bn * 13e-1) AS more, 's' || any_value(bi) || coalesce(string_agg(',s' || i, '' ORDER BY i) FILTER (p > 1), '') AS sources FROM o JOIN b USING (work_id, row) GROUP BY ALL)
+    SELECT work_id, row AS num, '第' || row || '章' AS title, regexp_replace(t, '\\n{4,}', chr(10) || chr(10) || chr(10), 'g') AS text, sources, CASE WHEN k = 1 THEN 10000 WHEN more > 0 THEN 7000 ELSE 9000 END AS confidence FROM g"""
+
+
+def _merge(strategy: str) -> Query:
+    return lambda s, d: align.merge(_rows(s, d), strategy).withColumn("confidence", T.scaled(F.col("confidence"))).withColumn("sources", F.array_join("sources", ","))
+
+
+QUERIES["chapter_merge_longest"], SQL["chapter_merge_longest"] = _merge("longest"), _MERGE.replace("{order}", "n DESC")
+QUERIES["chapter_merge_consistent"], SQL["chapter_merge_consistent"] = _merge("most_consistent"), _MERGE.replace("{order}", "abs(n - ns[len(ns) // 2 + 1])")
+QUERIES["chapter_merge_voting"] = _merge("voting")
+
+
+@query("source_diff")
+def source_diff(spark: SparkSession, d: str) -> DataFrame:
+    return align.differences(_rows(spark, d))
+
+
+@query("merge_summary", _MERGE.replace("{order}", "n DESC").replace("SELECT work_id, row AS num", "SELECT work_id, count(*) AS chapters, CAST(sum(length(text)) AS BIGINT) AS total_chars, CAST(floor(avg(confidence) + 5e-1) AS BIGINT) AS confidence FROM (SELECT work_id, row AS num") + ") GROUP BY 1")
+def merge_summary(spark: SparkSession, d: str) -> DataFrame:
+    return align.summary(align.merge(_rows(spark, d))).withColumn("confidence", T.scaled(F.col("confidence")))
+
+
+_TAIL = "\n====\nsee also: more chapters of this book, and the index"
+
+
+@query("auto_clean")
+def auto_clean(spark: SparkSession, d: str) -> DataFrame:
+    return align.auto_clean(_book(spark, d))
+
+
+def _book(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    part = F.concat(F.substring("text", 1, 700), F.when(i % 10 < 7, _TAIL).otherwise(""))
+    rows = spark.read.parquet(f"{d}/documents.parquet").groupBy(F.floor(i / 10).alias("key")).agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))).alias("a"))
+    return rows.select("key", F.array_join(F.col("a.p"), "\n============\n第1章\n============\n").alias("text"))
+
+
+_WANTED = [(p, c, "数据 工程", n) for p in ("51job", "boss", "lagou", "liepin", "maimai", "zhaopin", "other") for c in ("北京", "武汉") for n in (1, 2)]
+
+
+@query("job_urls", "SELECT * FROM (VALUES " + ", ".join(
+    f"({_q(p)}, {_q(k)}, {_q(c)}, {n}, {_q(rules.PLATFORMS[p][0].replace('{keyword}', '%E6%95%B0%E6%8D%AE+%E5%B7%A5%E7%A8%8B').replace('{city_code}', rules.PLATFORMS[p][2].get(c, c)).replace('{city}', c).replace('{page}', str(n)))})"
+    for p, c, k, n in _WANTED if p in rules.PLATFORMS) + ") v(platform, keyword, city, page, url)")
+def job_urls(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.search_urls(spark.createDataFrame(_WANTED, "platform string, city string, keyword string, page int"))
+
+
+_RESPONSES = [
+    ("clean", '{"title": "Engineer", "company": "Acme", "requirements": ["a", "b"], "tech_stack": ["x"]}'), ("fenced", '```json\n{"title": "Lead", "salary": "20k"}\n```'),
+    ("prose", 'Here it is: {"title": "Nurse", "location": "Paris", "benefits": []} bye'), ("garbage", "no json here"), ("missing", "{}"), ("none", None),
+]
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    text = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    answers = spark.createDataFrame([(k, i, r) for k, (i, r) in enumerate(_RESPONSES)], "k int, id string, response string")
+    return text.join(F.broadcast(answers), F.col("doc_id") % 6 == F.col("k")).select("doc_id", "id", jobs.parse("response", "text", F.lit("u")).alias("job"))
+
+
+_PARSED = f"""p AS (SELECT doc_id, length({_strip("text")}) >= 50 AS enough, doc_id % 6 AS k, substr(string_split({_strip("text")}, chr(10))[1], 1, 80) AS first, length(text) AS n FROM documents),
+    j AS (SELECT doc_id, n, CASE WHEN NOT enough THEN '' WHEN k = 0 THEN 'Engineer' WHEN k = 1 THEN 'Lead' WHEN k = 2 THEN 'Nurse' WHEN k = 5 THEN first ELSE '' END AS title,
+        CASE WHEN enough AND k = 0 THEN 'Acme' ELSE '' END AS company, CASE WHEN enough AND k = 1 THEN '20k' ELSE '' END AS salary, CASE WHEN enough AND k = 2 THEN 'Paris' ELSE '' END AS location, enough AND k = 0 AS full_ FROM p)"""
+
+
+@query("jd_parse", f"WITH {_PARSED} SELECT doc_id, title, company, salary, location, CASE WHEN full_ THEN 'a,b' ELSE '' END AS requirements, CAST(n AS INTEGER) AS raw_length FROM j")
+def jd_parse(spark: SparkSession, d: str) -> DataFrame:
+    return _postings(spark, d).select("doc_id", "job.title", "job.company", "job.salary", "job.location", F.array_join("job.requirements", ",").alias("requirements"), "job.raw_length")
+
+
+@query("jd_text", f"""WITH {_PARSED} SELECT doc_id, concat_ws(chr(10), CASE WHEN title <> '' THEN '【' || title || '】' END, CASE WHEN company <> '' THEN '公司：' || company END, CASE WHEN salary <> '' THEN '薪资：' || salary END,
+    CASE WHEN location <> '' THEN '地点：' || location END, CASE WHEN full_ THEN chr(10) || '要求：' || chr(10) || '  a' || chr(10) || '  b' END, CASE WHEN full_ THEN chr(10) || '技术栈：x' END) AS text FROM j""")
+def jd_text(spark: SparkSession, d: str) -> DataFrame:
+    return _postings(spark, d).select("doc_id", jobs.to_text(F.col("job")).alias("text"))
+
+
+@query("job_dedup", "WITH j AS (SELECT event_id AS pos, CASE WHEN CAST(props->>'$.k' AS INTEGER) % 3 = 0 THEN '' ELSE 'u' || (props->>'$.k') END AS url FROM events) SELECT pos, url FROM j QUALIFY url = '' OR row_number() OVER (PARTITION BY url ORDER BY pos) = 1")
+def job_dedup(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return dedup.jobs(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("pos"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("u"), k.cast("string"))).alias("url")))
+
+
+@query("job_listing", """SELECT CASE doc_id % 2 WHEN 0 THEN 'boss' ELSE 'liepin' END AS platform, doc_id, CAST(0 AS INTEGER) AS pos, CASE doc_id % 2 WHEN 0 THEN 'T' ELSE '' END AS title,
+    CASE doc_id % 2 WHEN 0 THEN 'https://b.example/j/' || doc_id ELSE 'https://b.example/liepin.com/job/' || doc_id || '.shtml' END AS url FROM documents""")
+def job_listing(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    even = F.col("doc_id") % 2 == 0
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(
+        F.when(even, "boss").otherwise("liepin").alias("platform"), F.lit("https://b.example").alias("base"),
+        F.when(even, F.concat(F.lit('[{"title": "T", "url": "/j/'), i, F.lit('"}]'))).otherwise("none").alias("response"), F.concat(F.lit("see liepin.com/job/"), i, F.lit(".shtml and LIEPIN.com/job/"), F.lit("x")).alias("text"),
+    )
+    out = jobs.listed(rows)
+    return out.select("platform", F.regexp_extract("url", r"/(\d+)", 1).cast("bigint").alias("doc_id"), "pos", "title", "url")
+
+
+@query("json_longest_text", "SELECT doc_id, CASE WHEN length(text) > 50 THEN text END AS text FROM documents")
+def json_longest_text(spark: SparkSession, d: str) -> DataFrame:
+    body = F.to_json(F.struct(F.col("lang"), F.struct(F.array(F.struct("text")).alias("a")).alias("deep"), F.array("text", "text").alias("ignored")))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", json_dig.longest_text(body).alias("text"))
+
+
+_BITS = " + ".join(f"CASE WHEN embedding[{i + 1}] < embedding[{i + 2}] THEN {1 << (55 - k)} ELSE 0 END" for k, i in enumerate(i for i in range(63) if i % 8 != 7))
+
+
+@query("frame_dhash", f"SELECT vec_id, CAST({_BITS} AS BIGINT) AS hash FROM embeddings")
+def frame_dhash(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", frames.dhash(F.col("embedding")).alias("hash"))
+
+
+@query("frame_dedup", f"""WITH h AS (SELECT label AS key, vec_id AS pos, CAST({_BITS} AS BIGINT) AS hash FROM embeddings), l AS (SELECT *, lag(hash) OVER (PARTITION BY key ORDER BY pos) AS b FROM h)
+    SELECT key, pos, hash FROM l WHERE b IS NULL OR bit_count(xor(hash, b)) > 25""")
+def frame_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("key"), F.col("vec_id").alias("pos"), frames.dhash(F.col("embedding")).alias("hash"))
+    return frames.drop_repeats(rows, 25)
+
+
+@query("image_dedup")
+def image_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").cast("bigint").alias("key"), F.col("vec_id").alias("pos"), F.transform("embedding", lambda x: x * 10).alias("pixels"))
+    return frames.drop_similar(rows, near=3.0, share=0.9)
+
+
+@query("text_dedup_consecutive", "WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id, event_id, event_type FROM l WHERE b IS NULL OR b <> event_type")
+def text_dedup_consecutive(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.consecutive(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+@query("text_dedup_set", "WITH f AS (SELECT user_id, props, min(event_id) AS seen FROM events WHERE length(props) > 3 GROUP BY 1, 2), j AS (SELECT user_id, string_agg(props, chr(10) ORDER BY seen) AS text FROM f GROUP BY 1) SELECT user_id, text FROM j WHERE length(text) > 100")
+def text_dedup_set(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.drawn_texts(spark.read.parquet(f"{d}/events.parquet"), "user_id", "event_id", "props")
+
+
+@query("substring_eliminate", """WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN substr(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 3, 20) ELSE text END AS text FROM conversations)
+    SELECT conv_id, turn, text FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.conv_id = a.conv_id AND length(b.text) > length(a.text) AND contains(b.text, a.text))""")
+def substring_eliminate(spark: SparkSession, d: str) -> DataFrame:
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.substring(before, 3, 20)).otherwise(F.col("text")).alias("text"))
+    return dedup.drop_contained(rows, "conv_id", "text")
+
+
+@query("rate_schedule", """WITH o AS (SELECT event_type AS domain, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS a, row_number() OVER (PARTITION BY event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS i FROM events)
+    SELECT domain, event_id, max(a - i * 3600) OVER (PARTITION BY domain ORDER BY i) + i * 3600 AS slot FROM o""")
+def rate_schedule(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("domain"), "event_id", F.unix_timestamp(F.date_trunc("second", "ts")).alias("a"))
+    return schedule.slots(rows, 3600, at="a", tie="event_id").select("domain", "event_id", F.col("slot").cast("bigint").alias("slot"))
+
+
+@query("batch_parse", "WITH l AS (SELECT conv_id, turn, trim(CASE turn % 4 WHEN 0 THEN '  ' || role || ' ' WHEN 1 THEN '# ' || role WHEN 2 THEN 'https://x.example/' || turn ELSE '   ' END) AS item FROM conversations) SELECT conv_id, turn, item, starts_with(item, 'https://') AS is_url FROM l WHERE item <> '' AND NOT starts_with(item, '#')")
+def batch_parse(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn")
+    line = F.when(t % 4 == 0, F.concat(F.lit("  "), "role", F.lit(" "))).when(t % 4 == 1, F.concat(F.lit("# "), "role")).when(t % 4 == 2, F.concat(F.lit("https://x.example/"), t.cast("string"))).otherwise("   ")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", line.alias("value"))
+    return batch.items(rows)
+
+
+@query("result_render", """SELECT conv_id AS key, string_agg(coalesce(text, ''), chr(10) || chr(10) || '=====' || chr(10) || chr(10) ORDER BY turn) AS plain, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS md FROM conversations GROUP BY 1""")
+def result_render(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), F.col("role").alias("input"), "text")
+    md = batch.document(rows, "md").withColumnRenamed("document", "md")
+    return batch.document(rows).withColumnRenamed("document", "plain").join(md, "key")
+
+
+@query("domain_extract", f"""WITH {_with("urls")} SELECT id, coalesce(nullif(lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/:?#]+)', 1)), ''), url) AS domain, coalesce(nullif(regexp_extract(url, 'https?://(?:www\\.)?([^/]+)', 1), ''), substr(url, 1, 40)) AS source_name,
+    regexp_replace(coalesce(nullif(lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/:?#]+)', 1)), ''), url), '[^\\p{{L}}\\p{{N}}._-]', '_', 'g') AS profile, coalesce(regexp_matches(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/:?#]+)', 1), '(?i){rules.STREAMING_HOSTS}'), false) AS streaming FROM urls""")
+def domain_extract(spark: SparkSession, d: str) -> DataFrame:
+    rows = batch.with_domain(fixtures.urls(spark, d))
+    return rows.select("id", "domain", "source_name", T.profile_name("url").alias("profile"), C.is_streaming_host("url").alias("streaming"))
+
+
+@query("llm_trim", f"""WITH {_with("docs")} SELECT doc_id, CASE WHEN length(text) <= 8000 THEN text END AS short FROM docs WHERE length(text) <= 8000""")
+def llm_trim(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.documents(spark, d).where(F.length("text") <= 8000).select("doc_id", jobs.trim("text").alias("short"))
+
+
+_BODY = '{"web": {"results": [{"url": "a%s"}, {"url": "b"}, {"url": "a%s"}]}, "results": [{"url": "c%s"}, {"url": null}], "RelatedTopics": [{"FirstURL": "d%s"}, {"Topics": []}], "Results": [{"FirstURL": "d%s"}, {"FirstURL": "e"}]}'
+_LITE = """<a class="result-link" href="//ad">x</a><a class='result-link' rel=n href='https://r/%s'>y</a><a href="/l?uddg=https%%3A%%2F%%2Fz%%2F%s&amp;k=1">"""
+
+
+@query("serp_parse", """SELECT page_id, 'a' || page_id || ',b' AS brave, 'c' || page_id AS searxng, 'd' || page_id || ',e' AS instant, CASE page_id % 2 WHEN 0 THEN 'https://r/' ELSE 'https://z/' END || page_id AS lite FROM pages""")
+def serp_parse(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id").cast("string")
+    body, lite = F.format_string(_BODY, i, i, i, i, i), F.format_string(_LITE, i, i)
+    lite = F.when(F.col("page_id") % 2 == 1, F.replace(lite, F.lit("class='result-link'"), F.lit(""))).otherwise(lite)
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", body.alias("body"), lite.alias("lite"))
+    joined = lambda c: F.array_join(c, ",")
+    return rows.select("page_id", joined(serp.brave_urls("body")).alias("brave"), joined(serp.first_backend(serp.duckduckgo_instant_urls(F.lit("{}")), serp.searxng_urls("body"))).alias("searxng"), joined(serp.duckduckgo_instant_urls("body")).alias("instant"), joined(serp.duckduckgo_lite_urls("lite")).alias("lite"))

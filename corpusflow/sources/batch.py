@@ -10,9 +10,8 @@ from corpusflow.functions.text import col, domain, source_name
 
 
 def items(lines: DataFrame) -> DataFrame:
-    """(value) → (item, is_url): lines that aren't blank or comments."""
-    item = rx.strip(F.col("value"))
-    rows = lines.select(item.alias("item")).where((F.col("item") != "") & ~F.col("item").startswith("#"))
+    """(value, …) → (item, is_url, …): lines that aren't blank or comments."""
+    rows = lines.withColumn("item", rx.strip(F.col("value"))).drop("value").where((F.col("item") != "") & ~F.col("item").startswith("#"))
     return rows.withColumn("is_url", F.rlike("item", F.lit("^https?://")))
 
 
