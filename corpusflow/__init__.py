@@ -1,0 +1 @@
+"""Judging, selecting and assembling web text as Spark plans."""
