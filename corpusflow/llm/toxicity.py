@@ -84,15 +84,11 @@ def sums(texts: list[str | None], weights: np.ndarray, bits: int) -> tuple[np.nd
     return total, count
 
 
-def _sparse(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text its distinct slots and their counts."""
-    found: list[list[np.ndarray]] = [[] for _ in texts]
-    for owners, codes, starts, (lengths, cores) in _slices(texts):
-        for n in ORDERS:
-            slots = _hashed(codes, n, bits)
-            for k, i in enumerate(owners):
-                found[i].append(slots[starts[k] : starts[k] + max(0, min(cores[k], lengths[k] - n + 1))])
-    return [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for x in found]
+def _sparse(texts: list[str | None], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per text its distinct slots and their counts, one text after another."""
+    for text in texts:
+        found = [_hashed(codes, n, bits)[a : a + max(0, min(core, length - n + 1))] for _, codes, starts, (lengths, cores) in _slices([text]) for a, length, core in zip(starts, lengths, cores) for n in ORDERS]
+        yield np.unique(np.concatenate(found), return_counts=True)
 
 
 def fit(texts: list[str | None], toxic: list[int], bits: int = 20, alpha: float = 1.0, l2: float = 1e-6, steps: int = 300) -> ToxicityModel:
@@ -100,25 +96,24 @@ def fit(texts: list[str | None], toxic: list[int], bits: int = 20, alpha: float
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(1 << bits, np.float32), 0.0, float("inf"), bits)
-    sparse = _sparse(texts, bits)
     held = np.zeros(len(y), dtype=bool)
     for label in (0, 1):
         held[np.flatnonzero(y == label)[4::5]] = True
     seen, p, q = (np.zeros(1 << bits) for _ in range(3))
-    for (slots, _), label, out in zip(sparse, y, held):
+    for (slots, _), label, out in zip(_sparse(texts, bits), y, held):
         if not out:
             (p if label else q)[slots] += 1
             seen[slots] += 1
     ratio = np.log(((alpha + p) / (alpha + p).sum()) / ((alpha + q) / (alpha + q).sum()))
     used = np.flatnonzero((seen >= 2) & (np.abs(ratio) >= 0.25))
-    column = np.full(1 << bits, -1, dtype=np.int64)
+    column = np.full(1 << bits, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
     rows, cols, values = [], [], []
-    for i, (slots, counts) in enumerate(sparse):
+    for i, (slots, counts) in enumerate(_sparse(texts, bits)):  # again, rather than held: most n-grams are not used
         keep = column[slots] >= 0
-        rows.append(np.full(int(keep.sum()), i))
+        rows.append(np.full(int(keep.sum()), i, dtype=np.int32))
         cols.append(column[slots[keep]])
-        values.append(100.0 * counts[keep] / max(1, counts.sum()) * ratio[slots[keep]])
+        values.append((100.0 * counts[keep] / max(1, counts.sum()) * ratio[slots[keep]]).astype(np.float32))
     rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
     weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     v, bias = np.full(len(used), 1.0), 0.0
