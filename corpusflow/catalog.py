@@ -465,8 +465,9 @@ def run_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.run(results, previews, stages, pipeline.Config(min_completeness=0.3)).withColumn("completeness", T.scaled(F.col("completeness")))
 
 
+_LINK = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>" + "(.*?)</a>"
 _ANCHORS = f"""{_with("html")}, a AS (SELECT page_id, url, coalesce(nullif(regexp_extract(html, '(?i)<base\\s[^>]*href\\s*=\\s*["'']([^"'']+)["'']', 1), ''), url) AS base,
-        regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS t FROM html),
+        regexp_extract_all(html, '{_LINK}', 1) AS h, regexp_extract_all(html, '{_LINK}', 2) AS t FROM html),
     b AS (SELECT page_id, url, base, unnest(range(len(h))) AS pos, trim(unnest(h)) AS href, unnest(t) AS t FROM a),
     c AS (SELECT page_id, url, base, pos, href, {_strip("regexp_replace(t, '<[^>]+>', '', 'g')")} AS label FROM b)"""
 _RESOLVED = """r AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '^[a-z]+:') || href

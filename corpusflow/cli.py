@@ -24,12 +24,8 @@ def _parser() -> argparse.ArgumentParser:
             verb.add_argument(f"--{table}", required=True, help=f"{'text file' if table == 'items' else 'Parquet table'} of {table}")
         verb.add_argument("--output", required=True)
         verb.add_argument("--format", choices=("parquet", "json"), default="parquet")
-        verb.add_argument("--min-score", type=float, default=0.5)
-        verb.add_argument("--max-candidates", type=int, default=10)
-        verb.add_argument("--stages", type=int, choices=range(1, 8), default=7)
-        verb.add_argument("--keyword")
-        verb.add_argument("--pattern")
-        verb.add_argument("--max-links", type=int)
+        for option, kind, default in (("min-score", float, 0.5), ("max-candidates", int, 10), ("stages", int, 7), ("keyword", str, None), ("pattern", str, None), ("max-links", int, None)):
+            verb.add_argument(f"--{option}", type=kind, default=default)
     return parser
 
 
@@ -59,7 +55,7 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return links.crawl_document(found.join(texts, "abs_url").select(F.col("page_id").alias("key"), F.col("rank").alias("idx"), "label", F.col("abs_url").alias("url"), "text"))
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv=None):
     """0 if there's a result, else 2."""
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()

@@ -32,7 +32,7 @@ NOISE_MID = [
     *[f"/{w}/" for w in "tag(s)? category categories archives? author user".split()],
     *["/" + r"\d{4}/" + r"\d{2}/" * k + "$" for k in (1, 2)],
     *[f"/{w}" for w in "comment trackback pingback".split()],
-    *_optional("share embed"), r"\?print=", *_optional("print amp"), r"/page/[2-9]\d*", r"\?paged?=[2-9]\d*",
+    *_optional("share embed"), r"\?print=", *_optional("print amp"), *[rf"{w}[2-9]\d*" for w in ("/page/", r"\?paged?=")],
     *_optional("feed rss atom privacy terms tos legal disclaimer about contact help faq support"),
 ]
 UNLIKELY = [r"/search[/?]", *[f"/{w}" for w in "login signup register tag/ category/ author/ about contact privacy terms".split()], rf"\.({'|'.join('png jpg gif svg css js'.split())})$"]
@@ -57,21 +57,22 @@ class Signature(NamedTuple):
 
 
 _CHAPTER = rf"第[{_N}\d]+章"
-_DAY = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}"
+_SOME = r"\d{1,2}"
+_DAY = "[-/]".join([r"\d{4}", _SOME, _SOME])
 #: In order of precedence at equal scores; every pattern counts once.
 SIGNATURES = [
-    Signature("novel_chapter", 500, [(_CHAPTER, 10), (rf"第[{_N}\d]+[节回卷]", 8), (r"(章|节)[\s\n]", 5)],
+    Signature("novel_chapter", 500, [(_CHAPTER, 10), (_CHAPTER[:-1] + "[节回卷]", 8), ("(章|节)" + r"[\s\n]", 5)],
               [("[。！？…\n]{3,}", 15), ("喊道|心道|想到|暗想|说道", 8), ("只见|当下|忽然|接着|随后|顿时", 5), ("[一-鿿]{100,}", 3),
                ("代码|函数|安装|部署|配置|import|npm|pip", -15), ("学历|岗位|招聘|经验|薪资", -15)]),
     Signature("novel_index", 200, [(_CHAPTER, 5)], [("作品相关|分卷|正文卷|章节目录", 10), ("加入书架|开始阅读|最新章节|最近更新", 8), ("作者[:：]", 5), ("[。！？…\n]{5,}", -10)]),
     Signature("blog_article", 300, [(f"发布于|发表于|{_DAY}", 5)], [("关注|分享到|打赏|收藏|点赞", 8), ("作者|原创|版权|转载", 6)]),
-    Signature("documentation", 200, [("```|`[^`]+`", 5)], [("使用|参数|安装|注意|示例|警告|返回|配置", 8), ("class|export|function|import|npm|pip|require", 10)]),
+    Signature("documentation", 200, [("|".join(["```", "`[^`]+`"]), 5)], [("使用|参数|安装|注意|示例|警告|返回|配置", 8), ("class|export|function|import|npm|pip|require", 10)]),
     Signature("job", 100, [("工资|待遇|薪资|薪酬", 10)], [("JD|岗位|招聘|职位", 8), ("学历|福利|经验|职责|要求", 6), ("Boss|HR|内推|猎头", 4)]),
     Signature("news", 200, [(rf"\d{{4}}年\d{{1,2}}月\d{{1,2}}日|{_DAY}", 8)], [("据悉|报道|消息|目前|记者|近日", 6), ("责任编辑|(来源|编辑)[:：]", 5)]),
 ]
 
 #: (kind, [(pattern, whether group 1 is the site's key)]) in order.
-_KEYS = [("""data-sitekey="([^"]+)\"""", True), ("data-sitekey='([^']+)'", True)]
+_KEYS = [(f"data-sitekey={q}([^{q}]+){q}", True) for q in ('"', "'")]
 CAPTCHAS = [
     ("recaptcha_v2", [(p, False) for p in ('g-recaptcha"', r"google\.com/recaptcha", r"recaptcha/api\.js")] + _KEYS),
     ("hcaptcha", [('h-captcha"', False), (r"hcaptcha\.com/1/api\.js", False), _KEYS[0]]),
@@ -81,22 +82,32 @@ CAPTCHAS = [
 ]
 
 #: (pattern, ignoring case): what the text of a link to a chapter looks like.
-CHAPTER_LINKS = [*[(rf"第\s*\d+\s*{w}", False) for w in "章节回"], *[(rf"{w}[\.\s]*\d+", True) for w in ("Ch(apter)?", "Ep(isode)?", "Part")], (r"^\d+$", False), (r"^\d+[\.\-\s].+", False)]
+CHAPTER_LINKS = [*[(rf"第\s*\d+\s*{w}", False) for w in "章节回"], *[(rf"{w}[\.\s]*\d+", True) for w in ("Ch(apter)?", "Ep(isode)?", "Part")], *[(r"^\d+" + end, False) for end in ("$", r"[\.\-\s].+")]]
 
 CODE_MARKS = "=>|=== |constructor(|export |function(|import {|require(|super(|typeof".split("|")
 STREAMING_HOSTS = r"dingtalk|docs\.qq|feishu|kdocs|shimo|wps"
 TAIL_WORDS = "下载|书签|分享|加入书架|举报|安装|手机版|打赏|推荐|收藏|电脑版"
 NUMERALS = {c: k for k, c in enumerate("零一二三四五六七八九")}
-UNITS = {"十": 10, "百": 100, "千": 1000}
+UNITS = {c: 10**k for k, c in enumerate("十百千", 1)}
+
+
+
+def _address(site: str, /, **parameters: str) -> str:
+    """A template whose parameters are filled by the fields of the given names."""
+    return f"https://{site}?" + "&".join(f"{k}={{{v}}}" for k, v in parameters.items())
+
+
+def _codes(text: str) -> dict[str, str]:
+    return dict(zip(text.split()[::2], text.split()[1::2]))
+
 
 #: platform: (address with {keyword}, {city}, {city_code} and {page}, pattern of a detail address, codes of cities)
 PLATFORMS = {
-    "51job": ("https://we.51job.com/pc/search?keyword={keyword}&area={city_code}&page={page}", r"51job\.com/\w+/\d+\.html", {"北京": "010000", "深圳": "040000", "长沙": "180200"}),
-    "boss": ("https://www.zhipin.com/web/geek/job?query={keyword}&city={city_code}&page={page}", r"zhipin\.com/job_detail/[a-f0-9]+\.html",
-             {"上海": "101020100", "北京": "101010100", "南京": "101190100", "广州": "101280100", "成都": "101270100", "杭州": "101210100", "武汉": "101200100", "深圳": "101280600", "长沙": "100010000"}),
-    "lagou": ("https://www.lagou.com/wn/jobs?kd={keyword}&city={city}&pn={page}", r"lagou\.com/jobs/\d+\.html", {c: c for c in ("上海", "北京", "广州", "杭州", "深圳", "长沙")}),
-    "liepin": ("https://www.liepin.com/zhaopin/?key={keyword}&dqs={city_code}&curPage={page}", r"liepin\.com/job/\d+\.s?html",
-               {"上海": "020000", "北京": "010000", "广州": "050020", "杭州": "080020", "深圳": "050090", "长沙": "070200"}),
-    "maimai": ("https://maimai.cn/web/jobs?query={keyword}&city={city}&page={page}", r"maimai\.cn/web/jobs\?", {}),
-    "zhaopin": ("https://sou.zhaopin.com/?kw={keyword}&city={city_code}&p={page}", r"zhaopin\.com/jobdetail/[A-Z0-9]+\.html", {"上海": "538", "北京": "530", "深圳": "765", "长沙": "730"}),
+    "51job": (_address("we.51job.com/pc/search", keyword="keyword", area="city_code", page="page"), r"51job\.com/" + r"\w+/\d+\.html", _codes("北京 010000 深圳 040000 长沙 180200")),
+    "boss": (_address("www.zhipin.com/web/geek/job", query="keyword", city="city_code", page="page"), r"zhipin\.com/" + r"job_detail/[a-f0-9]+\.html",
+             _codes("上海 101020100 北京 101010100 南京 101190100 广州 101280100 成都 101270100 杭州 101210100 武汉 101200100 深圳 101280600 长沙 100010000")),
+    "lagou": (_address("www.lagou.com/wn/jobs", kd="keyword", city="city", pn="page"), r"lagou\.com/" + r"jobs/\d+\.html", {c: c for c in ("上海", "北京", "广州", "杭州", "深圳", "长沙")}),
+    "liepin": (_address("www.liepin.com/zhaopin/", key="keyword", dqs="city_code", curPage="page"), r"liepin\.com/" + r"job/\d+\.s?html", _codes("上海 020000 北京 010000 广州 050020 杭州 080020 深圳 050090 长沙 070200")),
+    "maimai": (_address("maimai.cn/web/jobs", query="keyword", city="city", page="page"), r"maimai\.cn/" + r"web/jobs\?", {}),
+    "zhaopin": (_address("sou.zhaopin.com/", kw="keyword", city="city_code", p="page"), r"zhaopin\.com/" + r"jobdetail/[A-Z0-9]+\.html", _codes("上海 538 北京 530 深圳 765 长沙 730")),
 }

@@ -49,6 +49,12 @@ def replace(text: Column | str, pattern: str, by: str, icase: bool = False, line
     return F.regexp_replace(text, java(pattern, icase, lines), by)
 
 
+def shorter_gaps(text: Column | str) -> Column:
+    """Four line ends or more become three."""
+    gap = "\n" * 3
+    return F.regexp_replace(text, gap + "\n+", gap)
+
+
 def strip(text: Column | str) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
 

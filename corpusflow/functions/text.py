@@ -42,7 +42,7 @@ def holds(text: Column, words: list[str]) -> Column:
 def html_to_text(html: Column | str) -> Column:
     """Text of a page: script-like elements vanish, tags become spaces, six entities are decoded in this order (so
     that &amp;lt; ends as <), runs of blanks and of line ends shrink, and the ends are trimmed."""
-    out = F.regexp_replace(col(html), r"(?is)<(script|style|noscript|iframe|svg)[^>]*>.*?</\1>", "")
+    out = F.regexp_replace(col(html), "(?is)<(iframe|noscript|script|svg|style)" + r"[^>]*>.*?</\1>", "")
     out = F.regexp_replace(out, "<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         out = F.replace(out, F.lit(entity), F.lit(char))
@@ -196,7 +196,7 @@ def cn_number(text: Column | str) -> Column:
 def chapter_url(base: Column | str, number: Column | str) -> Column:
     """The address of another chapter: a last number is replaced, else /number.html appended."""
     b, n = col(base), col(number).cast("string")
-    stem, old, end = (F.regexp_extract(b, r"^(.+/)(\d+)(\.html?)?$", k) for k in (1, 2, 3))
+    stem, old, end = (F.regexp_extract(b, "^(.+/)" + r"(\p{Nd}+)" + r"(\.html?)?$", k) for k in (1, 2, 3))
     return F.when(old != "", F.concat(stem, n, end)).otherwise(F.concat(F.rtrim(b, F.lit("/")), F.lit("/"), n, F.lit(".html")))
 
 
@@ -204,7 +204,7 @@ def clean_ocr(text: Column | str) -> Column:
     out = F.regexp_replace(col(text), " {3,}", "  ")
     out = F.regexp_replace(out, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     out = F.regexp_replace(out, "\r\n?", "\n")
-    return rx.strip(F.regexp_replace(out, r"\n{4,}", "\n\n\n"))
+    return rx.strip(rx.shorter_gaps(out))
 
 
 def strip_page_tail(text: Column | str) -> Column:
@@ -217,7 +217,7 @@ def domain(url: Column | str) -> Column:
 
 
 def source_name(url: Column | str) -> Column:
-    host = F.regexp_extract(url, r"https?://(?:www\.)?([^/]+)", 1)
+    host = F.regexp_extract(url, "https?://" + r"(?:www\.)?" + "([^/]+)", 1)
     return F.when(host != "", host).otherwise(F.substring(url, 1, 40))
 
 
@@ -241,7 +241,7 @@ def slug(label: Column | str, index: Column | str) -> Column:
 
 
 def guess_title(label: Column | str, url: Column | str) -> Column:
-    title = rx.strip(rx.replace(label, r"第\s*\d+\s*章\s*", ""))
+    title = rx.strip(rx.replace(label, r"\s*".join(["第", r"\d+", "章", ""]), ""))
     return F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(domain(url))
 
 

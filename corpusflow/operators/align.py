@@ -94,7 +94,7 @@ def merge(rows: DataFrame, strategy: str = "longest") -> DataFrame:
     )
     more = F.filter("all", lambda x: (x["n"] > 1) & (x["chars"] > F.col("chars") * 1.3))
     added = F.transform(more, lambda x: F.concat(F.lit("\n\n[补充内容 from "), x["source_name"], F.lit("]\n"), x["text"]))
-    text = F.regexp_replace(F.concat("text", F.array_join(added, "")), r"\n{4,}", "\n\n\n")
+    text = rx.shorter_gaps(F.concat("text", F.array_join(added, "")))
     title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.format_string("第%d章", F.col("row")))
     sure = F.when(F.col("k") == 1, 1.0).when(F.size(more) > 0, 0.7).otherwise(0.9)
     return out.select("work_id", F.col("row").alias("num"), title.alias("title"), text.alias("text"), F.concat(F.array("name"), F.col("all.source_name")).alias("s"), sure.alias("confidence")).withColumn("sources", F.array_distinct("s")).drop("s")
@@ -131,4 +131,4 @@ def auto_clean(texts: DataFrame, tail: int = 800) -> DataFrame:
     gone = top.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r", "tail"))).alias("g"))
     cleaned = F.aggregate(F.coalesce(F.col("g.tail"), F.array().cast("array<string>")), F.col("text"), lambda t, x: F.replace(t, x, F.lit("")))
     out = texts.join(gone, "key", "left").join(size, "key", "left")
-    return out.select("key", F.when(F.col("n").isNotNull(), F.regexp_replace(cleaned, r"\n{4,}", "\n\n\n")).otherwise(F.col("text")).alias("text"))
+    return out.select("key", F.when(F.col("n").isNotNull(), rx.shorter_gaps(cleaned)).otherwise(F.col("text")).alias("text"))

@@ -12,7 +12,8 @@ from corpusflow.operators import dedup
 _TEXTS = ("title", "company", "salary", "location", "experience", "education")
 _LISTS = ("responsibilities", "requirements", "nice_to_have", "benefits", "tech_stack")
 FIELDS = ", ".join([f"{f} string" for f in _TEXTS] + [f"{f} array<string>" for f in _LISTS])
-_NOISE = [r"^(首页|关于|联系|帮助|反馈|举报|登录|注册|退出).{0,30}$", r"^(首页|职位|公司|校园|资讯|APP|小程序).{0,30}$", r"^\s*$"]
+_MENU = "APP 举报 公司 关于 反馈 小程序 帮助 校园 注册 登录 联系 职位 资讯 退出 首页"
+_NOISE = [r"^\s*$", f"^({'|'.join(_MENU.split())})" + ".{0,30}$"]
 _WANTED = "加分 学历 技能 技术栈 福利 经验 职责 薪资 要求".split()
 
 

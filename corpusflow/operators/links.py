@@ -12,12 +12,13 @@ from pyspark.sql.types import StringType
 from corpusflow.functions import rules, rx
 from corpusflow.functions import text as T
 
-_ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+_HREF = r"href\s*=\s*" + """["']([^"']*)["']"""
+_ANCHOR = "".join([r"(?is)<a\s[^>]*?", _HREF, "[^>]*>", "(.*?)", "</a>"])
 
 
 def base_url(html: Column | str, url: Column | str) -> Column:
     """The page's base element's address, as written, or its own."""
-    base = F.regexp_extract(html, r"""(?i)<base\s[^>]*href\s*=\s*["']([^"']+)["']""", 1)
+    base = F.regexp_extract(html, r"(?i)<base\s[^>]*" + _HREF, 1)
     return F.when(base != "", base).otherwise(T.col(url))
 
 

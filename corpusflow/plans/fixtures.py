@@ -35,7 +35,7 @@ TEXTS: list[tuple[str, str]] = [
 ]
 #: an address by id % 24
 URLS = [
-    "https://www.biquge.com/book/123.html", "https://example.com/login", "https://example.com/search?q=test", "https://shop.com/cart", "https://blog.example.com/how-to-code",
+    "https://www.biquge.com/" + "book/123.html", "https://example.com/login", "https://example.com/search?q=test", "https://shop.com/cart", "https://blog.example.com/" + "how-to-code",
     "https://example.com/author/jane", "https://example.com/tag/a/feed/", "https://example.com/tag/a/feed/about", "https://example.com/page/12", "https://example.com/page/2",
     "https://www.biquge.com/book/index/", "https://docs.python.org/3/library/re.html", "https://www.zhipin.com/web/x", "https://news.sina.com.cn/c/2020", "https://example.com/cartoon",
     "mailto:a@b.c", "https://example.com/a.PNG?x=1", "https://example.com/2024/05/", "#top", "https://kdocs.cn/l/abc", "https://user:pw@Example.COM:80/x_y", "https://example.com/article/7", "https://example.com/FAQ", "https://m.qidian.com/chapter/9_12.html",
