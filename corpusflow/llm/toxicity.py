@@ -170,12 +170,14 @@ def score(documents: DataFrame, model: ToxicityModel, name: str = "toxicity") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            total, count = sums(texts, m.weights, m.bits)
-            empty = np.array([not (t and t.strip()) for t in texts], dtype=bool)
-            value = np.where(empty, 0.0, total / np.maximum(count, 1) + m.bias)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64(), mask=empty)], names=[*batch.schema.names, name])
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, 500):  # few texts at a time are Python strings
+                batch = whole.slice(at_row, 500)
+                texts = batch.column(at).to_pylist()
+                total, count = sums(texts, m.weights, m.bits)
+                empty = np.array([not (t and t.strip()) for t in texts], dtype=bool)
+                value = np.where(empty, 0.0, total / np.maximum(count, 1) + m.bias)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64(), mask=empty)], names=[*batch.schema.names, name])
 
     return documents.mapInArrow(run, schema)
 
