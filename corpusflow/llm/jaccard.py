@@ -135,11 +135,13 @@ def _signed(documents: DataFrame, n: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count, one, two, minima = signatures(batch.column(1).to_pylist(), n)
-            keep = np.flatnonzero(count)
-            ids = batch.column(0).take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(count[keep]), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array([minima[i].tobytes() for i in keep], pa.binary())], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):  # few texts at a time are Python strings
+                batch = whole.slice(at, 500)
+                count, one, two, minima = signatures(batch.column(1).to_pylist(), n)
+                keep = np.flatnonzero(count)
+                ids = batch.column(0).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(count[keep]), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array([minima[i].tobytes() for i in keep], pa.binary())], schema=schema)
 
     source = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return source.mapInArrow(run, "doc_id bigint, grams bigint, one bigint, two bigint, sig binary")
@@ -433,9 +435,8 @@ def _gram_sets(documents: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 500):
-                part = texts[at : at + 500]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.column(0).slice(at, 500).to_pylist()
                 found: list[list[np.ndarray]] = [[] for _ in part]
                 for owner, grams, per in _chunks(part, n):
                     ends = np.cumsum(per)
