@@ -115,19 +115,24 @@ def fit(texts: list[str | None], toxic: list[int], bits: int = 20, alpha: float
         cols.append(column[slots[keep]])
         values.append((100.0 * counts[keep] / max(1, counts.sum()) * ratio[slots[keep]]).astype(np.float32))
     rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    parts = [slice(at, at + (1 << 20)) for at in range(0, len(rows), 1 << 20)]  # temporaries of a part only
+
+    def margins(v: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(rows[p], values[p] * v[cols[p]], len(y)) for p in parts), np.zeros(len(y)))
+
     weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     v, bias = np.full(len(used), 1.0), 0.0
     m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(rows, values * v[cols], len(y)) + bias
+        z = margins(v) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grad = np.append(np.bincount(cols, values * g[rows], len(used)) + l2 * (v - 1), g.sum())
+        grad = np.append(sum((np.bincount(cols[p], values[p] * g[rows[p]], len(used)) for p in parts), np.zeros(len(used))) + l2 * (v - 1), g.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
         v, bias = v - step[:-1], bias - step[-1]
     weights = np.zeros(1 << bits, dtype=np.float32)
     weights[used] = 100.0 * v * ratio[used]
-    z = np.bincount(rows, values * v[cols], len(y)) + bias
+    z = margins(v) + bias
     pick = held if held.any() and y[held].min() != y[held].max() else np.ones(len(y), bool)
     order = np.argsort(z[pick])
     zs, ys = z[pick][order], y[pick][order]
