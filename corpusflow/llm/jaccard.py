@@ -220,10 +220,18 @@ def _against(some: np.ndarray, rest: np.ndarray, sketch: np.ndarray, need: int)
                 yield i[x], j[y], found[x, y]
 
 
+def _among(some: np.ndarray, sketch: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs inside some."""
+    for at in range(0, len(some), 32):
+        yield from _against(some[at : at + 32], some[at + 32 :], sketch, need)
+        yield from _paired(np.array([at]), np.array([min(32, len(some) - at)]), some, sketch, need)
+
+
 def local_paths(sketch: np.ndarray, node: int, threshold: float, need: int, ways: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The rest of a node's tree: sets whose mean agreement with the node's sets comes near the threshold are compared
     with all of them and leave; the others are split on sampled tokens until a bucket is small enough to compare.
-    Coordinates where over half of the sets share one token would not split a node and are passed over, if others do.
+    Coordinates where over half of the sets to be split share one token would not split a node and are passed over;
+    where that leaves fewer than `ways`, all pairs of the sets are compared.
     """
     tokens = np.stack([np.unique(sketch[:, t], return_inverse=True)[1] for t in range(T)], axis=1)
     stack = [(np.arange(len(sketch)), node & 0xFFFFFFFF)]
@@ -236,16 +244,16 @@ def local_paths(sketch: np.ndarray, node: int, threshold: float, need: int, ways
             mean += count[column] - 1
             share[t] = count.max() / len(own)
         dense = mean >= 0.8 * threshold * T * (len(own) - 1)
-        if dense.any() or share.min() > 0.5:
-            hot, own = (own[dense], own[~dense]) if dense.any() else (own, own[:0])
+        if dense.any():
+            hot, own = own[dense], own[~dense]
             yield from _against(hot, own, sketch, need)
-            for at in range(0, len(hot), 32):
-                yield from _against(hot[at : at + 32], hot[at + 32 :], sketch, need)
-                yield from _paired(np.array([at]), np.array([min(32, len(hot) - at)]), hot, sketch, need)
-        if len(own) <= bucket:
-            yield from _paired(np.array([0]), np.array([len(own)]), own, sketch, need)
-            continue
+            yield from _among(hot, sketch, need)
+            if len(own):  # the dense sets' tokens no longer count
+                share = np.array([np.bincount(tokens[own, t]).max() / len(own) for t in range(T)])
         usable = np.flatnonzero(share <= 0.5)
+        if len(own) <= bucket or len(usable) < ways:
+            yield from _among(own, sketch, need)
+            continue
         for k, t in enumerate(np.random.default_rng(name).permutation(usable)[:ways]):
             column = tokens[own, t]
             order = np.argsort(column, kind="stable")

@@ -65,6 +65,24 @@ def test_local_paths_recall():
     assert len(found & true) >= 0.95 * len(true)
 
 
+@pytest.mark.parametrize("free", [0, 2])
+def test_local_paths_compares_what_a_hot_group_leaves(free):
+    """A group of near copies holds 60 % of a node; others share a few tokens with it and are near copies in pairs."""
+    rng = np.random.default_rng(2)
+    fresh = lambda *n: rng.integers(1000, 1 << 16, n)
+    base = fresh(64)
+    hot = np.where(rng.random((240, 64)) < 0.05, fresh(240, 64), base)
+    firsts = np.where(rng.random((80, 64)) < 0.1, base, fresh(80, 64))
+    rest = np.concatenate([firsts, np.where(rng.random((80, 64)) < 0.4, fresh(80, 64), firsts)])
+    rows = np.concatenate([hot, rest]).astype(np.uint16)
+    rows[:240, :free] = fresh(240, free)
+    found = set()
+    for i, j, _ in jaccard.local_paths(rows, 1, 0.5, 20, 5, 64):
+        found |= {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
+    true = {(240 + k, 320 + k) for k in range(80) if (rows[240 + k] == rows[320 + k]).sum() >= 32}
+    assert len(true) > 70 and len(found & true) >= 0.95 * len(true)
+
+
 def test_long_texts_have_the_same_grams(monkeypatch):
     text = " ".join(f"w{k * k % 977}" for k in range(4000))
     whole = jaccard.signatures([text], 3)
