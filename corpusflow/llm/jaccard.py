@@ -179,9 +179,8 @@ def _sampled(run: int, ways: int) -> list[int]:
 
 
 def _split(rows: DataFrame, run: int, ways: int, root: bool) -> DataFrame:
-    """(node, way, sid, sketch) of all children; way: by which of the root's samples. rows: (sid, sig) at the root,
-    else (node, sid, sketch)."""
-    schema = pa.schema([("node", pa.int64()), ("way", pa.int32()), ("sid", pa.int64()), ("sketch", pa.binary())])
+    """(node, sid, sketch) of all children. rows: (sid, sig) at the root, else (node, sid, sketch)."""
+    schema = pa.schema([("node", pa.int64()), ("sid", pa.int64()), ("sketch", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +194,10 @@ def _split(rows: DataFrame, run: int, ways: int, root: bool) -> DataFrame:
                     children = [mix(mix(minima[:, t].astype(_U) + _U(t + 1) * _U(0x9E3779B97F4A7C15)) + _U(run)) for t in _sampled(run, ways)]
             else:
                 children = list(_children(batch.column("node").to_numpy().view(_U), minima, ways))
-            for k, child in enumerate(children):
-                way = pa.array(np.full(len(sids), k if root else -1, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), way, sids, raw], schema=schema)
+            for child in children:
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), sids, raw], schema=schema)
 
-    return rows.mapInArrow(split, "node bigint, way int, sid bigint, sketch binary")
+    return rows.mapInArrow(split, "node bigint, sid bigint, sketch binary")
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -279,20 +277,15 @@ def _paired(starts: np.ndarray, sizes: np.ndarray, index: np.ndarray, sketch: np
                 yield i[ok], j[ok], found[ok]
 
 
-def _join(rows: DataFrame, threshold: float, run: int, ways: int, bucket: int, most: int) -> DataFrame:
+def _join(rows: DataFrame, threshold: float, ways: int, bucket: int, most: int) -> DataFrame:
     """(a, b, agree) of the sets that meet in a node and agree well enough, a < b, and, with a null, the (node, sid,
-    sketch) of nodes of more than `most` sets, which are passed on to be split. rows: (node, way, sid, sketch). A pair
-    that an earlier sample of the root has brought together is left to that one, so pairs aren't found many times."""
+    sketch) of nodes of more than `most` sets, which are passed on to be split. rows: (node, sid, sketch). A pair comes
+    from every node that finds it: a node that it met in before may have lost it when it was split."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("node", pa.int64()), ("sid", pa.int64()), ("sketch", pa.binary())])
     need = math.ceil((threshold - 3 * math.sqrt(threshold * (1 - threshold) / T)) * T)
     none = lambda n, kind: pa.nulls(n, kind)
-    before = [t for r in range(run) for t in _sampled(r, ways)]
-    earlier = [np.array(before + _sampled(run, ways)[:k], np.int64) for k in range(ways)]
 
-    def found(way: int, sids: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
-        if way >= 0 and len(earlier[way]):
-            new = ~(sketch[i][:, earlier[way]] == sketch[j][:, earlier[way]]).any(axis=1)
-            i, j, agree = i[new], j[new], agree[new]
+    def found(sids: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
         x, y = sids[i], sids[j]
         n = len(x)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(agree), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary())], schema=schema)
@@ -307,41 +300,40 @@ def _join(rows: DataFrame, threshold: float, run: int, ways: int, bucket: int, m
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal too_large
-            nodes, way, sids, sketch = (np.concatenate(x) for x in zip(*held))
+            nodes, sids, sketch = (np.concatenate(x) for x in zip(*held))
             held.clear()
             if too_large is not None:
                 upto = int(np.searchsorted(nodes != too_large, True))
                 if upto:
                     yield passed(nodes[:upto], sids[:upto], sketch[:upto])
-                    nodes, way, sids, sketch = nodes[upto:], way[upto:], sids[upto:], sketch[upto:]
+                    nodes, sids, sketch = nodes[upto:], sids[upto:], sketch[upto:]
             if not len(nodes):
                 return
             starts = np.concatenate(([0], np.flatnonzero(np.diff(nodes)) + 1))
             sizes = np.diff(np.concatenate((starts, [len(nodes)])))
             done = len(starts) if last else len(starts) - 1
             ready = np.arange(len(starts)) < done
-            for w in np.unique(way):
-                small = np.flatnonzero(ready & (sizes > 1) & (sizes <= bucket) & (way[starts] == w))
-                for x in _paired(starts[small], sizes[small], np.arange(len(nodes)), sketch, need):
-                    yield found(int(w), sids, sketch, *x)
+            small = np.flatnonzero(ready & (sizes > 1) & (sizes <= bucket))
+            for x in _paired(starts[small], sizes[small], np.arange(len(nodes)), sketch, need):
+                yield found(sids, *x)
             for k in np.flatnonzero(ready & (sizes > bucket)):
                 own = slice(starts[k], starts[k] + sizes[k])
                 if sizes[k] > most:
                     yield passed(nodes[own], sids[own], sketch[own])
                 else:
                     for x in _once(local_paths(sketch[own], int(nodes[starts[k]]), threshold, need, ways + 2, bucket), int(sizes[k])):
-                        yield found(int(way[starts[k]]), sids[own], sketch[own], *x)
+                        yield found(sids[own], *x)
             if not last:
                 own = slice(starts[-1], None)
                 if sizes[-1] > most:
                     too_large = nodes[-1]
                     yield passed(nodes[own], sids[own], sketch[own])
                 else:
-                    held.append((nodes[own], way[own], sids[own], sketch[own]))
+                    held.append((nodes[own], sids[own], sketch[own]))
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, T)))
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, T)))
                 yield from flush(False)
         if held:
             yield from flush(True)
@@ -369,14 +361,14 @@ def _once(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, mo
 
 
 def _run(sets: DataFrame, run: int, threshold: float, bucket: int, most: int, depth: int) -> DataFrame:
-    """One run: the candidate pairs (a, b, agree) of its tree. A level is one shuffle of (node, sid, sketch); only
+    """One run: the candidate pairs (a, b) of its tree, each as often as it was found. A level is one shuffle of (node, sid, sketch); only
     nodes of more than `most` sets need another, all others are finished where their rows meet."""
     ways = math.ceil(1 / threshold) + 1
     nodes, found = _split(sets.select("sid", "sig"), run, ways, True), None
     for level in range(depth):
         placed = nodes.repartition("node").sortWithinPartitions("node")
-        met = cut(_join(placed, threshold, run, ways, bucket, most if level < depth - 1 else 1 << 62))
-        pairs = met.where("a is not null and a != b").select("a", "b", "agree")
+        met = cut(_join(placed, threshold, ways, bucket, most if level < depth - 1 else 1 << 62))
+        pairs = met.where("a is not null and a != b").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         left = met.where("a is null").select("node", "sid", "sketch")
         if level == depth - 1 or left.isEmpty():
@@ -385,6 +377,12 @@ def _run(sets: DataFrame, run: int, threshold: float, bucket: int, most: int, de
     return found
 
 
+def _runs(threshold: float, ways: int, recall: float, max_runs: int) -> int:
+    """How many runs bring a share of `recall` of the pairs together at each agreement from the threshold up: the
+    chance grows with the agreement, so the threshold's decides."""
+    return next((k for k in range(1, max_runs) if _met(math.ceil(threshold * T), k * ways) >= recall), max_runs)
+
+
 def _met(agree: int, sampled: int) -> float:
     """The chance that a pair that agrees in `agree` of T coordinates shares a token among `sampled` of them."""
     sampled = min(sampled, T)
@@ -478,20 +476,18 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.5, n: int = 3, recal
     Chosen paths: each set keeps T minhash tokens. A node samples ceil(1/threshold)+1 coordinates; sets that share the
     token there go to the same child. Buckets of at most `bucket` sets are compared pair by pair on their signatures,
     larger ones split again after the sets that are near most of the others have been compared with all of them.
-    Runs repeat with other samples until the pairs found are a share of `recall` of those there must be, each standing
-    for 1 / (its chance to have been met). A pair is reported by the first sample that brings it together.
+    Runs repeat with other samples until a share of `recall` of the pairs must have met at every agreement from the
+    threshold up, however many pairs each has. Every sample reports what it finds, so that a later one makes up for what
+    a split bucket lost; repetitions are dropped by (a, b).
     Survivors (three standard errors below the threshold) are verified on the exact n-gram sets, so precision is 1.
     Each run moves 16-bit sketches (128 bytes a set) once; texts are read again only for documents in surviving pairs.
     """
     sets = cut(_sets(documents, n))
     found, ways = None, math.ceil(1 / threshold) + 1
-    for run in range(max_runs):
+    for run in range(_runs(threshold, ways, recall, max_runs)):
         now = _run(sets, run, threshold, bucket, most, depth)
         found = now if found is None else found.unionByName(now)
-        seen = {r.agree: r["count"] for r in found.where(F.col("agree") >= threshold * T).groupBy("agree").count().collect()}  # T rows at most
-        if sum(seen.values()) >= recall * sum(n / _met(agree, (run + 1) * ways) for agree, n in seen.items()):
-            break
-    pairs = cut(found.select("a", "b").distinct())
+    pairs = cut(found.distinct())
     used = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     names = cut(sets.select("sid", "doc_id").join(used, "sid", "left_semi"))
     count = names.count()

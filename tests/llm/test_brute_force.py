@@ -65,6 +65,22 @@ def test_local_paths_recall():
     assert len(found & true) >= 0.95 * len(true)
 
 
+def test_jaccard_join_runs_until_pairs_at_the_threshold_are_found(spark):
+    """Beside a group of near copies whose pairs are most of all."""
+    rng = np.random.default_rng(3)
+    text = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 30, n)]
+    body = text(150)
+    texts = {k: " ".join([*body, f"own{k}"]) for k in range(120)}
+    for k in range(250):
+        shared = text(80)
+        texts[1000 + 2 * k], texts[1001 + 2 * k] = (" ".join(shared + text(34)) for _ in range(2))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(r.doc_id, r.partner_id) for r in jaccard.all_pairs(jaccard.jaccard_join(rows)).collect()}
+    small = {(1000 + 2 * k, 1001 + 2 * k) for k in range(250)}
+    assert len(found - small) == 120 * 119 // 2
+    assert len(found & small) >= 0.97 * len(small)
+
+
 @pytest.mark.parametrize("free", [0, 2])
 def test_local_paths_compares_what_a_hot_group_leaves(free):
     """A group of near copies holds 60 % of a node; others share a few tokens with it and are near copies in pairs."""
