@@ -535,9 +535,9 @@ def resume_crawl(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chapters(spark: SparkSession, d: str) -> DataFrame:
-    """Three copies of each source's documents as chapters, the later ones with gaps and changes."""
-    rows = spark.read.parquet(f"{d}/documents.parquet").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 12")
-    copies = rows.select(F.col("source").alias("work_id"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("source_idx"), F.col("n").alias("ordinal"), "text")
+    """Three copies of all documents as chapters, 30 to a work, the later ones with gaps and changes."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").withColumn("work_id", F.floor(F.col("doc_id") / 30)).withColumn("n", F.row_number().over(Window.partitionBy("work_id").orderBy("doc_id")))
+    copies = rows.select("work_id", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("source_idx"), F.col("n").alias("ordinal"), "text")
     copies = copies.where((F.col("source_idx") == 0) | (F.col("ordinal") % (F.col("source_idx") + 2) != 0))
     text = F.when(F.col("source_idx") == 1, F.concat(F.lit("x "), F.col("text"))).when(F.col("source_idx") == 2, F.substr("text", F.lit(20))).otherwise(F.col("text"))
     return copies.select("work_id", "source_idx", "ordinal", F.concat(F.lit("s"), F.col("source_idx").cast("string")).alias("source_name"), F.lit("").alias("title"), text.alias("text"))

@@ -33,3 +33,12 @@ def test_same_rows(spark, duck, name):
 def test_every_query_without_sql_runs(spark):
     for name in catalog.QUERIES.keys() - catalog.SQL.keys():
         assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_chapter_align_takes_every_document(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()
+    found = catalog.QUERIES["chapter_align"](spark, SF).where("source_idx = 0").select("work_id", "ordinal").distinct().collect()
+    works = {}
+    for r in documents:
+        works[r.doc_id // 30] = works.get(r.doc_id // 30, 0) + 1
+    assert sorted(map(tuple, found)) == sorted((w, k + 1) for w, n in works.items() for k in range(n))
