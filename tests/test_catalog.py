@@ -1,5 +1,8 @@
 """Each query that has SQL against it."""
 
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -42,3 +45,19 @@ def test_chapter_align_takes_every_document(spark):
     for r in documents:
         works[r.doc_id // 30] = works.get(r.doc_id // 30, 0) + 1
     assert sorted(map(tuple, found)) == sorted((w, k + 1) for w, n in works.items() for k in range(n))
+
+
+def test_auto_clean_of_whole_texts(spark):
+    documents = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    books = {r.key: r.text for r in catalog._book(spark, SF).collect()}
+    assert all(text in books[i // 10] for i, text in documents.items())
+    for r in catalog.QUERIES["auto_clean"](spark, SF).collect():
+        parts = re.split(r"={10,}\n第\d+章\n={10,}", books[r.key])
+        tails = Counter(p.strip()[-800:] for p in parts)
+        text = books[r.key]
+        for tail, n in tails.most_common(3):
+            if len(parts) >= 4 and tail and n >= max(3, len(parts) / 2):
+                assert len(tail) == 800
+                text = text.replace(tail, "")
+        assert len(text) < len(books[r.key])
+        assert r.text == re.sub(r"\n{4,}", "\n\n\n", text)
