@@ -733,6 +733,12 @@ def llm_trim(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.documents(spark, d).where(F.length("text") <= 8000).select("doc_id", jobs.trim("text").alias("short"))
 
 
+@query("llm_trim_long")
+def llm_trim_long(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that llm_trim, which has SQL, leaves out: those that are trimmed."""
+    return fixtures.documents(spark, d).where(F.length("text") > 8000).select("doc_id", jobs.trim("text").alias("short"))
+
+
 _BODY = '{"web": {"results": [{"url": "a%s"}, {"url": "b"}, {"url": "a%s"}]}, "results": [{"url": "c%s"}, {"url": null}], "RelatedTopics": [{"FirstURL": "d%s"}, {"Topics": []}], "Results": [{"FirstURL": "d%s"}, {"FirstURL": "e"}]}'
 _LITE = """<a class="result-link" href="//ad">x</a><a class='result-link' rel=n href='https://r/%s'>y</a><a href="/l?uddg=https%%3A%%2F%%2Fz%%2F%s&amp;k=1">"""
 

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from corpusflow import catalog
+from corpusflow.operators import jobs
+from corpusflow.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations events".split()
@@ -61,3 +63,39 @@ def test_auto_clean_of_whole_texts(spark):
                 text = text.replace(tail, "")
         assert len(text) < len(books[r.key])
         assert r.text == re.sub(r"\n{4,}", "\n\n\n", text)
+
+
+def trimmed(text, most=8000):
+    if len(text) <= most:
+        return text
+    menu, head = re.compile(r"^\s*$|^(?:" + "|".join(jobs._MENU.split()) + r").{0,30}$"), int(most * 0.67)
+    kept = "\n".join(x for x in text.split("\n") if not menu.search(x.strip()))
+    if len(kept) <= most:
+        return kept
+    tail = ""
+    for x in kept[head:].split("\n"):
+        if any(w in x for w in jobs._WANTED):
+            if len(tail) + len(x) + 1 > most - head:
+                break
+            tail += x + "\n"
+    return kept[:head] + "\n" + tail
+
+
+def test_every_text_is_trimmed(spark):
+    texts = {r.doc_id: r.text for r in fixtures.documents(spark, SF).collect() if r.text is not None}
+    found = [r for name in ("llm_trim", "llm_trim_long") for r in catalog.QUERIES[name](spark, SF).collect()]
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    assert all(r.short == trimmed(texts[r.doc_id]) for r in found)
+    assert any(len(t) > 8000 for t in texts.values())
+
+
+def test_trim_rules(spark):
+    wanted, other = "要求 " + "a" * 996, "b" * 999
+    texts = {
+        0: "\n".join(["首页 x", "  ", *[other] * 7, "登录"] + ["关于 " + "c" * 20] * 90),
+        1: "\n".join(["首页 x", *[other] * 6, wanted, other, wanted, wanted, wanted]),
+        2: "\n".join(["注册", *[other] * 9]),
+    }
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select("doc_id", jobs.trim("text").alias("short")).collect()
+    assert {r.doc_id: r.short for r in rows} == {k: trimmed(t) for k, t in texts.items()}
+    assert [len(trimmed(t)) for t in texts.values()] == [6999, 5361 + 2 * 1000, 5361]
