@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.llm.common import cut, small_broadcast, table
 
 SLICE = 1 << 20
-T = 64  # coordinates of a signature
+WIDTH = 64  # coordinates of a signature
 _U = np.uint64
 
 
@@ -30,7 +32,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
     word = np.zeros(256, dtype=bool)
     word[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
-    return byte, word, rng.integers(0, 1 << 32, T, dtype=np.uint32), rng.integers(0, 1 << 32, T, dtype=np.uint32) | np.uint32(1)
+    return byte, word, rng.integers(0, 1 << 32, WIDTH, dtype=np.uint32), rng.integers(0, 1 << 32, WIDTH, dtype=np.uint32) | np.uint32(1)
 
 
 @cache
@@ -110,10 +112,10 @@ def _chunks(texts: list[str | None], n: int) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def signatures(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: how many n-grams, two sums over their hashes (equal for equal bags), T minima."""
+    """Per text: how many n-grams, two sums over their hashes (equal for equal bags), WIDTH minima."""
     _, _, xor, times = _constants()
     count, one, two = np.zeros(len(texts), np.int64), np.zeros(len(texts), _U), np.zeros(len(texts), _U)
-    minima = np.full((len(texts), T), 0xFFFFFFFF, dtype=np.uint32)
+    minima = np.full((len(texts), WIDTH), 0xFFFFFFFF, dtype=np.uint32)
     for owner, grams, per in _chunks(texts, n):
         full = np.flatnonzero(per)
         if not len(full):
@@ -124,15 +126,16 @@ def signatures(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray,
             np.add.at(one, owner[full], np.add.reduceat(grams, at))
             np.add.at(two, owner[full], np.add.reduceat(mix(grams + _U(0x632BE59BD9B4E019)), at))
             low = (grams >> _U(32)).astype(np.uint32)
-            own = np.empty((len(full), T), dtype=np.uint32)
-            for t in range(T):
+            own = np.empty((len(full), WIDTH), dtype=np.uint32)
+            for t in range(WIDTH):
                 own[:, t] = np.minimum.reduceat((low ^ xor[t]) * times[t], at)
         np.minimum.at(minima, owner[full], own)
     return count, one, two, minima
 
 
 def _signed(documents: DataFrame, n: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("sig", pa.binary())])
+    """(doc_id, sid, sig) of each row with an id and a word; sid is a 64-bit hash of the bag of n-grams."""
+    kind = documents.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -141,41 +144,33 @@ def _signed(documents: DataFrame, n: int) -> DataFrame:
                 count, one, two, minima = signatures(batch.column(1).to_pylist(), n)
                 keep = np.flatnonzero(count)
                 ids = batch.column(0).take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(count[keep]), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array([minima[i].tobytes() for i in keep], pa.binary())], schema=schema)
+                sig = pa.array([minima[i].tobytes() for i in keep], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(_set_ids(count, one, two)[keep]), sig], names=["doc_id", "sid", "sig"])
 
-    source = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id bigint, grams bigint, one bigint, two bigint, sig binary")
+    source = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return source.mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("sid", T.LongType()), T.StructField("sig", T.BinaryType())]))
 
 
-def _set_id() -> F.Column:
-    return F.xxhash64("grams", "one", "two")
-
-
-def _sets(documents: DataFrame, n: int) -> DataFrame:
-    """One row for each distinct bag of n-grams, with its documents."""
-    return (
-        _signed(documents, n)
-        .groupBy("grams", "one", "two")
-        .agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"), F.min("sig").alias("sig"))
-        .select(_set_id().alias("sid"), "doc_id", "doc_ids", "sig")
-    )
+def _set_ids(count: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(mix(count.astype(_U) + _U(1)) + one) * _U(0x9E3779B97F4A7C15) + two).view(np.int64)
 
 
 def _children(node: np.ndarray, minima: np.ndarray, ways: int) -> Iterator[np.ndarray]:
     """For each of `ways` coordinates sampled for a node, the child of each set: sets with one token share it."""
     with np.errstate(over="ignore"):
-        # coordinates start + k * stride (mod T), stride odd: different ones, the same for all sets of a node
+        # coordinates start + k * stride (mod WIDTH), stride odd: different ones, the same for all sets of a node
         start, stride = mix(node ^ _U(0xA5A5A5A5)), mix(node + _U(0x1234567)) | _U(1)
         for k in range(ways):
-            coordinate = (start + _U(k) * stride) % _U(T)
+            coordinate = (start + _U(k) * stride) % _U(WIDTH)
             value = minima[np.arange(len(minima)), coordinate.astype(np.int64)].astype(_U)
             yield mix(mix(node + coordinate * _U(0x9E3779B97F4A7C15)) ^ value)
 
 
 def _sampled(run: int, ways: int) -> list[int]:
     """The coordinates that the root samples in a run; runs don't share any until all are used."""
-    order = np.random.default_rng(11).permutation(T)
-    return [int(order[(run * ways + k) % T]) for k in range(ways)]
+    order = np.random.default_rng(11).permutation(WIDTH)
+    return [int(order[(run * ways + k) % WIDTH]) for k in range(ways)]
 
 
 def _split(rows: DataFrame, run: int, ways: int, root: bool) -> DataFrame:
@@ -187,7 +182,7 @@ def _split(rows: DataFrame, run: int, ways: int, root: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             sids, raw = batch.column("sid"), batch.column("sig" if root else "sketch")
-            minima = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint32 if root else np.uint16).reshape(-1, T)
+            minima = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint32 if root else np.uint16).reshape(-1, WIDTH)
             if root:
                 raw = pa.array([m.tobytes() for m in minima.astype(np.uint16)], pa.binary())
                 with np.errstate(over="ignore"):
@@ -201,7 +196,7 @@ def _split(rows: DataFrame, run: int, ways: int, root: bool) -> DataFrame:
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many of the last axis' T sketches x and y agree."""
+    """In how many of the last axis' WIDTH sketches x and y agree."""
     lanes = np.ascontiguousarray(x == y).view(_U).sum(axis=-1, dtype=_U)
     with np.errstate(over="ignore"):
         return ((lanes * _U(0x0101010101010101)) >> _U(56)).astype(np.int32)
@@ -231,23 +226,23 @@ def local_paths(sketch: np.ndarray, node: int, threshold: float, need: int, ways
     Coordinates where over half of the sets to be split share one token would not split a node and are passed over;
     where that leaves fewer than `ways`, all pairs of the sets are compared.
     """
-    tokens = np.stack([np.unique(sketch[:, t], return_inverse=True)[1] for t in range(T)], axis=1)
+    tokens = np.stack([np.unique(sketch[:, t], return_inverse=True)[1] for t in range(WIDTH)], axis=1)
     stack = [(np.arange(len(sketch)), node & 0xFFFFFFFF)]
     while stack:
         own, name = stack.pop()
-        mean, share = np.zeros(len(own)), np.zeros(T)
-        for t in range(T):
+        mean, share = np.zeros(len(own)), np.zeros(WIDTH)
+        for t in range(WIDTH):
             column = tokens[own, t]
             count = np.bincount(column)
             mean += count[column] - 1
             share[t] = count.max() / len(own)
-        dense = mean >= 0.8 * threshold * T * (len(own) - 1)
+        dense = mean >= 0.8 * threshold * WIDTH * (len(own) - 1)
         if dense.any():
             hot, own = own[dense], own[~dense]
             yield from _against(hot, own, sketch, need)
             yield from _among(hot, sketch, need)
             if len(own):  # the dense sets' tokens no longer count
-                share = np.array([np.bincount(tokens[own, t]).max() / len(own) for t in range(T)])
+                share = np.array([np.bincount(tokens[own, t]).max() / len(own) for t in range(WIDTH)])
         usable = np.flatnonzero(share <= 0.5)
         if len(own) <= bucket or len(usable) < ways:
             yield from _among(own, sketch, need)
@@ -282,7 +277,7 @@ def _join(rows: DataFrame, threshold: float, ways: int, bucket: int, most: int)
     sketch) of nodes of more than `most` sets, which are passed on to be split. rows: (node, sid, sketch). A pair comes
     from every node that finds it: a node that it met in before may have lost it when it was split."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("node", pa.int64()), ("sid", pa.int64()), ("sketch", pa.binary())])
-    need = math.ceil((threshold - 3 * math.sqrt(threshold * (1 - threshold) / T)) * T)
+    need = math.ceil((threshold - 3 * math.sqrt(threshold * (1 - threshold) / WIDTH)) * WIDTH)
     none = lambda n, kind: pa.nulls(n, kind)
 
     def found(sids: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
@@ -333,7 +328,7 @@ def _join(rows: DataFrame, threshold: float, ways: int, bucket: int, most: int)
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, T)))
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, WIDTH)))
                 yield from flush(False)
         if held:
             yield from flush(True)
@@ -360,43 +355,56 @@ def _once(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, mo
         yield out()
 
 
+def _tiles(left: DataFrame, most: int) -> DataFrame:
+    """The rows of nodes that didn't split, dealt into tiles of about `most` sets so that any two sets of a node meet in one."""
+    sizes = left.groupBy("node").agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(float(most))).cast("int").alias("g"))
+    part = F.pmod(F.xxhash64("sid"), F.col("g")).cast("int")
+    dealt = left.join(sizes, "node").withColumn("x", part).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).where("x != y")
+    return dealt.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "sid", "sketch")
+
+
 def _run(sets: DataFrame, run: int, threshold: float, bucket: int, most: int, depth: int) -> DataFrame:
-    """One run: the candidate pairs (a, b) of its tree, each as often as it was found. A level is one shuffle of (node, sid, sketch); only
-    nodes of more than `most` sets need another, all others are finished where their rows meet."""
+    """One run: the candidate pairs (a, b) of its tree, each as often as it was found. A level is one shuffle of (node,
+    sid, sketch); only nodes of more than `most` sets need another, all others are finished where their rows meet.
+    Nodes that are still larger after `depth` levels are mostly near copies, which don't split: they are compared whole,
+    in tiles."""
     ways = math.ceil(1 / threshold) + 1
     nodes, found = _split(sets.select("sid", "sig"), run, ways, True), None
-    for level in range(depth):
-        placed = nodes.repartition("node").sortWithinPartitions("node")
-        met = cut(_join(placed, threshold, ways, bucket, most if level < depth - 1 else 1 << 62))
+    for level in range(depth + 1):
+        met = cut(_join(nodes.repartition("node").sortWithinPartitions("node"), threshold, ways, bucket, most if level < depth else 1 << 62))
         pairs = met.where("a is not null and a != b").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         left = met.where("a is null").select("node", "sid", "sketch")
-        if level == depth - 1 or left.isEmpty():
+        if level == depth or left.isEmpty():
             break
-        nodes = _split(left, run, ways, False)
+        nodes = _split(left, run, ways, False) if level < depth - 1 else _tiles(left, most)
     return found
 
 
-def _runs(threshold: float, ways: int, recall: float, max_runs: int) -> int:
+def _runs(threshold: float, ways: int, recall: float) -> int:
     """How many runs bring a share of `recall` of the pairs together at each agreement from the threshold up: the
-    chance grows with the agreement, so the threshold's decides."""
-    return next((k for k in range(1, max_runs) if _met(math.ceil(threshold * T), k * ways) >= recall), max_runs)
+    chance grows with the agreement, so the threshold's decides. It is 1 when all coordinates have been sampled."""
+    runs = 1
+    while _met(math.ceil(threshold * WIDTH), runs * ways) < recall:
+        runs += 1
+    return runs
 
 
 def _met(agree: int, sampled: int) -> float:
-    """The chance that a pair that agrees in `agree` of T coordinates shares a token among `sampled` of them."""
-    sampled = min(sampled, T)
-    return 1 - math.comb(T - agree, sampled) / math.comb(T, sampled)
+    """The chance that a pair that agrees in `agree` of WIDTH coordinates shares a token among `sampled` of them."""
+    sampled = min(sampled, WIDTH)
+    return 1 - math.comb(WIDTH - agree, sampled) / math.comb(WIDTH, sampled)
 
 
-def _verified(pairs: DataFrame, grams: DataFrame, threshold: float, most: int = 20_000) -> DataFrame:
+def _verified(pairs: DataFrame, grams: DataFrame, threshold: float, most: int = 2000) -> DataFrame:
     """(a, b, jaccard) of the pairs that meet the threshold on their sets. A set's leader is the least of it and its
     partners; pairs meet their sets in the group of a's leader, so that a set of many pairs is sent about once and not
-    with each. Leaders share groups of some thousand pairs; those of more than most^2 / 2 pairs are cut into tiles."""
+    with each. Leaders share groups of some thousand pairs; those of more than most^2 / 2 pairs are cut into tiles of
+    about as many."""
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
     leaders = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("leader"))
     led = pairs.select("a", "b").join(leaders, "a")
-    tiles = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(most) * most / 2)).cast("int").alias("g"))
+    tiles = led.groupBy("leader").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(float(most) * most / 2))).cast("int").alias("g"))
     keys, bins = ["bin", "x", "y"], max(1, pairs.count() // 4000)
     part = lambda c: F.pmod(F.xxhash64(c), F.col("g")).cast("int")
     placed = cut(led.join(tiles, "leader").select(F.pmod(F.xxhash64("leader"), F.lit(bins)).cast("int").alias("bin"), part("a").alias("x"), part("b").alias("y"), "a", "b"))
@@ -437,7 +445,7 @@ def _verified(pairs: DataFrame, grams: DataFrame, threshold: float, most: int =
 
 def _gram_sets(documents: DataFrame, n: int) -> DataFrame:
     """(sid, grams): the distinct n-gram hashes, 8 bytes each."""
-    schema = pa.schema([("sid_count", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("sid", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,97 +463,140 @@ def _gram_sets(documents: DataFrame, n: int) -> DataFrame:
                 distinct = [np.unique(g).view(np.int64) for g in joined]
                 offsets = np.concatenate(([0], np.cumsum([len(g) for g in distinct]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(distinct)))
-                yield pa.RecordBatch.from_arrays([pa.array([len(g) for g in joined], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(np.array([len(g) for g in joined]), one, two)), lists], schema=schema)
 
-    out = documents.select("text").mapInArrow(run, "sid_count bigint, one bigint, two bigint, grams array<bigint>")
-    return out.select(F.xxhash64("sid_count", "one", "two").alias("sid"), "grams")
+    return documents.select("text").mapInArrow(run, "sid bigint, grams array<bigint>")
 
 
-def jaccard_join(documents: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.97, bucket: int = 64, most: int = 50_000, depth: int = 6, max_runs: int = 12) -> DataFrame:
-    """Pairs of documents whose sets of word n-grams have a Jaccard similarity of at least threshold.
+@dataclass(frozen=True)
+class Joined:
+    """sets: (sid, leader), leader the least doc_id that has the set. members: (doc_id, sid). close: (a, b, jaccard), the
+    pairs of different sets at the threshold."""
 
-    A word is a run of ASCII letters, digits and underscores or any other non-ASCII characters, lowered; a text of
-    fewer than n words has one gram of them all. Result: doc_id < partner_id, jaccard, and doc_ids and partner_ids,
-    the documents that have exactly the same n-grams as the one and as the other (each list has its doc_id first).
-    Documents with the same n-grams are one set in the join; they come as a row with jaccard 1.0 whose two lists are
-    equal, so that a thousand copies need one row and not half a million. all_pairs() spells pairs out.
-
-    Null doc_ids, null texts and texts without words are in no pair. Repeated rows count once. Rows of one doc_id with
-    unlike texts are separate sets. Other columns are not read. No pair is found twice, and ties can't arise.
-
-    Chosen paths: each set keeps T minhash tokens. A node samples ceil(1/threshold)+1 coordinates; sets that share the
-    token there go to the same child. Buckets of at most `bucket` sets are compared pair by pair on their signatures,
-    larger ones split again after the sets that are near most of the others have been compared with all of them.
-    Runs repeat with other samples until a share of `recall` of the pairs must have met at every agreement from the
-    threshold up, however many pairs each has. Every sample reports what it finds, so that a later one makes up for what
-    a split bucket lost; repetitions are dropped by (a, b).
-    Survivors (three standard errors below the threshold) are verified on the exact n-gram sets, so precision is 1.
-    Each run moves 16-bit sketches (128 bytes a set) once; texts are read again only for documents in surviving pairs.
-    """
-    sets = cut(_sets(documents, n))
+    sets: DataFrame
+    members: DataFrame
+    close: DataFrame
+
+
+def _joined(documents: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.97, bucket: int = 64, most: int = 50_000, depth: int = 3) -> Joined:
+    signed = cut(_signed(documents, n))
+    sets = cut(signed.groupBy("sid").agg(F.min("doc_id").alias("leader"), F.min("sig").alias("sig")))
     found, ways = None, math.ceil(1 / threshold) + 1
-    for run in range(_runs(threshold, ways, recall, max_runs)):
+    for run in range(_runs(threshold, ways, recall)):
         now = _run(sets, run, threshold, bucket, most, depth)
         found = now if found is None else found.unionByName(now)
     pairs = cut(found.distinct())
     used = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    names = cut(sets.select("sid", "doc_id").join(used, "sid", "left_semi"))
+    names = cut(sets.select("sid", "leader").join(used, "sid", "left_semi"))
     count = names.count()
-    rows = documents.where("text is not null").withColumn("_id", F.col("doc_id").cast("bigint")).select("_id", "text")
-    read = rows.join(small_broadcast(names.select(F.col("doc_id").alias("_id")).distinct(), count, 16), "_id", "left_semi")
+    rows = documents.where("text is not null").select("doc_id", "text")
+    read = rows.join(small_broadcast(names.select(F.col("leader").alias("doc_id")).distinct(), count, 64), "doc_id", "left_semi")
     grams = cut(_gram_sets(read, n).join(small_broadcast(names.select("sid"), count, 16), "sid", "left_semi").dropDuplicates(["sid"]))
-    close = _verified(pairs, grams, threshold)
-    a, b = (sets.select(F.col("sid").alias(s), F.col("doc_id").alias(f"id{s}"), F.col("doc_ids").alias(f"ids{s}")) for s in "ab")
-    first = F.col("ida") <= F.col("idb")
-    near = close.join(a, "a").join(b, "b").select(
-        F.when(first, F.col("ida")).otherwise(F.col("idb")).alias("doc_id"), F.when(first, F.col("idb")).otherwise(F.col("ida")).alias("partner_id"), "jaccard",
-        F.when(first, F.col("idsa")).otherwise(F.col("idsb")).alias("doc_ids"), F.when(first, F.col("idsb")).otherwise(F.col("idsa")).alias("partner_ids"),
-    )
-    same = sets.where(F.size("doc_ids") > 1).select("doc_id", F.col("doc_ids")[1].alias("partner_id"), F.lit(1.0).alias("jaccard"), "doc_ids", F.col("doc_ids").alias("partner_ids"))
+    return Joined(sets.select("sid", "leader"), signed.select("doc_id", "sid").distinct(), cut(_verified(pairs, grams, threshold)))
+
+
+def jaccard_join(documents: DataFrame, **options) -> DataFrame:
+    """Pairs of documents whose sets of word n-grams have a Jaccard similarity of at least threshold, without the pairs
+    that follow from others: (doc_id, partner_id, jaccard, copy), doc_id <= partner_id.
+
+    Documents with the same n-grams are one set, whose leader is its least doc_id. Rows with copy = true tie each other
+    member to its leader (jaccard 1.0), so that a thousand copies take 999 rows; rows with copy = false are the pairs of
+    leaders of different sets, all of them. all_pairs() spells out every pair, classes() counts them by document.
+
+    Options: threshold 0.5, n 3 (words in a gram), recall 0.97, and the sizes bucket, most and depth, which change costs
+    and not what is looked for.
+
+    A word is a run of ASCII letters, digits and underscores or any other non-ASCII characters, lowered; a text of
+    fewer than n words has one gram of them all. Null doc_ids, null texts and texts without words are in no pair.
+    Repeated rows count once. Rows of one doc_id with unlike texts are separate sets, and such a doc_id may be paired
+    with itself. Other columns are not read; doc_id may have any type that can be ordered. No pair is found twice, and
+    ties can't arise. An empty table gives no rows. Long texts are hashed in pieces.
+
+    Chosen paths: each set keeps WIDTH minhash tokens. A node samples ceil(1/threshold)+1 coordinates; sets that share
+    the token there go to the same child. Buckets of at most `bucket` sets are compared pair by pair on their
+    signatures, larger ones split again after the sets that are near most of the others have been compared with all of
+    them. Runs repeat with other samples until a share of `recall` of the pairs must have met at every agreement from
+    the threshold up, however many pairs each has. Every sample reports what it finds, so that a later one makes up for
+    what a split bucket lost; repetitions are dropped by (a, b).
+    Survivors (three standard errors below the threshold) are verified on the whole n-gram sets. Sets and n-grams are
+    told apart by 64-bit hashes, so among n sets about n^2 / 2^65 pairs would be confused; nothing else is approximate.
+    Each run moves 16-bit sketches (128 bytes a set) once; texts are read again only for leaders in surviving pairs.
+    """
+    joined = _joined(documents, **options)
+    close, sets = joined.close, joined.sets
+    a, b = (sets.select(F.col("sid").alias(s), F.col("leader").alias(f"id{s}")) for s in "ab")
+    near = close.join(a, "a").join(b, "b").select(F.least("ida", "idb").alias("doc_id"), F.greatest("ida", "idb").alias("partner_id"), "jaccard", F.lit(False).alias("copy"))
+    same = joined.members.join(sets, "sid").where("doc_id != leader").select(F.col("leader").alias("doc_id"), F.col("doc_id").alias("partner_id"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy"))
     return near.unionByName(same)
 
 
-def all_pairs(joined: DataFrame) -> DataFrame:
-    """(doc_id, partner_id, jaccard) with each pair of documents as its own row; as many rows as there are pairs."""
-    spelled = joined.select(F.explode("doc_ids").alias("x"), "partner_ids", "jaccard").select("x", F.explode("partner_ids").alias("y"), "jaccard").where("x != y")
-    return spelled.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("partner_id"), "jaccard").distinct()
+def all_pairs(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, partner_id, jaccard), doc_id < partner_id, with each pair of documents as its own row; as many rows as
+    there are pairs. Nulls, ties and repeated rows as in jaccard_join()."""
+    joined = _joined(documents, **options)
+    x, y = (joined.members.select(F.col("doc_id").alias(f"id{s}"), F.col("sid").alias(s)) for s in "ab")
+    near = joined.close.join(x, "a").join(y, "b").select("ida", "idb", "jaccard")
+    same = x.join(y, F.col("a") == F.col("b")).select("ida", "idb", F.lit(1.0).alias("jaccard"))
+    spelled = near.union(same).where("ida != idb")
+    return spelled.groupBy(F.least("ida", "idb").alias("doc_id"), F.greatest("ida", "idb").alias("partner_id")).agg(F.max("jaccard").alias("jaccard"))
 
 
-def edges(joined: DataFrame) -> DataFrame:
-    """Edges (u, v), u < v, that connect what all_pairs() connects; linear in the lists."""
-    star = joined.where("jaccard = 1.0 and doc_ids = partner_ids").select(F.col("doc_id").alias("u"), F.explode("doc_ids").alias("v"))
-    return joined.select(F.col("doc_id").alias("u"), F.col("partner_id").alias("v")).union(star).where("u < v").distinct()
+def classes(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, leader_id, copies, links): a row for every document that has a partner.
 
+    class_id is the least doc_id of all that pairs connect, leader_id the least with the same n-grams, copies the
+    number of documents with the same n-grams (itself too), links that of all others at the threshold, copies of them
+    counted each. Documents without a partner have no row. The result has at most a row per document, whatever the size
+    of its groups. A doc_id whose rows have unlike texts connects them and has a row for each; else as jaccard_join(),
+    which also says what nulls, empty and long texts, ties and repeated rows give.
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the least node that each node is connected to, by alternating large and small stars."""
+    A group of n copies is one node, so no task holds its documents; of n near copies that all differ every link is
+    found and counted, which takes n^2 / 2 comparisons in tiles of bounded size.
+    """
+    joined = _joined(documents, **options)
+    members, close = cut(joined.members), joined.close
+    copies = members.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"))
+    both = close.select("a", "b").union(close.select("b", "a"))
+    linked = cut(both.join(copies.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("links")))
+    several = members.groupBy("doc_id").agg(F.min("sid").alias("u"), F.max("sid").alias("last")).where("u < last")
+    across = members.join(several, "doc_id").where("sid != u").select("u", F.col("sid").alias("v"))
+    roots = components(close.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).union(across).distinct())
+    known = joined.sets.join(copies.where("copies > 1"), "sid", "left").join(linked, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    known = known.where("copies is not null or links is not null or root is not null").select("sid", "leader", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root"))
+    known = cut(known)
+    least = known.groupBy("root").agg(F.min("leader").alias("class_id"))
+    groups = cut(known.join(least, "root").select("sid", "class_id", F.col("leader").alias("leader_id"), "copies", "links"))
+    return members.join(small_broadcast(groups, groups.count(), 128), "sid").select("doc_id", "class_id", "leader_id", "copies", "links")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of edges (u, v), u < v, is connected to, by alternating large and
+    small stars until nothing changes, in O(log^2 n) rounds. The least neighbours are aggregates, joined back, so that a
+    node of many edges is not one task's."""
     now, before = cut(edges.select("u", "v")), None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("v", "u"))
-        low = F.min(F.least("u", "v")).over(Window.partitionBy("u"))
-        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = F.min("v").over(Window.partitionBy("u"))
-        marked = large.where("v < u").withColumn("m", down)
-        small = marked.select("u", F.col("m").alias("v")).union(marked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = cut(small)
+        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("v < u").distinct())
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        marked = large.join(down, "u")
+        now = cut(marked.select("u", F.col("m").alias("v")).union(marked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The rows of documents but for those near another with a smaller doc_id: of each group connected by
-    jaccard_join() the least doc_id stays. Rows with a null doc_id or without words stay; all columns are kept.
-    Rows that share a doc_id share their fate."""
-    roots = cut(components(edges(jaccard_join(documents, **options))).where("node != root").select("node"))
-    n = roots.count()
-    return documents.join(small_broadcast(roots, n, 16), documents["doc_id"].cast("bigint") == roots["node"], "left_anti")
+    """The rows of documents but for those near another with a smaller doc_id: of each of classes() the least doc_id
+    stays. Rows with a null doc_id, null texts and texts without words stay; all columns are kept, whatever their names.
+    Rows that share a doc_id share their fate; of equal rows all stay or all go. An empty table stays empty."""
+    gone = cut(classes(documents, **options).where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct())
+    return documents.join(small_broadcast(gone, gone.count(), 64), documents["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}

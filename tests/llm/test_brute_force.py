@@ -45,13 +45,78 @@ def test_jaccard_join_finds_the_pairs(spark):
             texts[len(texts)] = " ".join(own) + ("\n" + shared if base % 4 == 0 else "") + (" Dup!" if copy == 2 else "")
     texts[len(texts)], texts[len(texts)] = texts[0], texts[0].upper()
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found = {(r.doc_id, r.partner_id): r.jaccard for r in jaccard.all_pairs(jaccard.jaccard_join(rows, bucket=8, most=40)).collect()}
+    found = {(r.doc_id, r.partner_id): r.jaccard for r in jaccard.all_pairs(rows, bucket=8, most=40).collect()}
     true = brute_pairs(texts, 0.5)
     assert set(found) <= set(true)
     assert len(found) >= 0.9 * len(true) > 100
     assert all(abs(found[p] - true[p]) < 1e-12 for p in found)
 
 
+def roots(pairs):
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in parent}
+
+
+def test_classes_of_copies_and_near_copies(spark):
+    """A thousand exact copies, three hundred near copies of one text, pairs, and texts of their own; ids are strings."""
+    rng = np.random.default_rng(8)
+    text = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 30, n)]
+    copied, body = " ".join(text(40)), text(90)
+    texts = [copied] * 1000 + [" ".join(body[:k] + text(1) + body[k:]) for k in rng.integers(0, 90, 300)]
+    for _ in range(50):
+        own = text(60)
+        texts += [" ".join(own), " ".join(own[:50] + text(6))]
+    texts += [" ".join(text(30)) for _ in range(100)]
+    ids = [f"d{k:05}" for k in rng.permutation(len(texts))]
+    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string")
+    sets = defaultdict(list)
+    for i, t in zip(ids, texts):
+        sets[t].append(i)
+    leader = {t: min(own) for t, own in sets.items()}
+    true = {(min(leader[x], leader[y]), max(leader[x], leader[y])): j for (x, y), j in brute_pairs({t: t for t in sets}, 0.5).items()}
+    found = {r.doc_id: r for r in jaccard.classes(rows, most=100).collect()}
+    size = {leader[t]: len(own) for t, own in sets.items()}
+    links = Counter()
+    for a, b in true:
+        links[a] += size[b]
+        links[b] += size[a]
+    classed = roots([*true, *((leader[t], i) for t, own in sets.items() for i in own if len(own) > 1)])
+    assert set(found) == set(classed)
+    assert all(r.class_id == classed[i] for i, r in found.items())
+    assert all(r.copies == len(sets[t]) and r.leader_id == leader[t] and r.links == links[leader[t]] for t, own in sets.items() for i in own if (r := found.get(i)))
+    joined = jaccard.jaccard_join(rows, most=100).collect()
+    assert {(r.doc_id, r.partner_id): round(r.jaccard, 12) for r in joined if not r.copy} == {p: round(j, 12) for p, j in true.items()}
+    assert sorted(r.partner_id for r in joined if r.copy) == sorted(i for t, own in sets.items() for i in own if i != leader[t])
+    kept = {r.doc_id for r in jaccard.keep_one(rows).collect()}
+    assert kept == {i for i in ids if classed.get(i, i) == i}
+
+
+def test_near_copies_beyond_a_node_are_compared_in_tiles(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 16, 64)
+    sketch = np.where(rng.random((120, 64)) < 0.1, rng.integers(0, 1 << 16, (120, 64)), base).astype(np.uint16)
+    rows = spark.createDataFrame([(5, k, bytearray(x.tobytes())) for k, x in enumerate(sketch)], "node long, sid long, sketch binary")
+    tiles = jaccard._tiles(rows, 30)
+    assert tiles.groupBy("node").count().agg({"count": "max"}).first()[0] < 60
+    met = jaccard._join(tiles.repartition("node").sortWithinPartitions("node"), 0.5, 3, 8, 1 << 62).where("a is not null")
+    assert {(r.a, r.b) for r in met.collect()} == set(itertools.combinations(range(120), 2))
+
+
+def test_a_doc_id_of_unlike_texts_connects_them(spark):
+    one, two = "a b c d e f g", "t u v w x y z"
+    rows = spark.createDataFrame([(1, one), (7, one), (7, two), (9, two), (9, two), (4, "k l m n o")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.classes(rows).collect())) == [(1, 1, 1, 2, 0), (7, 1, 1, 2, 0), (7, 1, 7, 2, 0), (9, 1, 7, 2, 0)]
+
+
 def test_local_paths_recall():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 16, (30, 64))
@@ -75,7 +140,7 @@ def test_jaccard_join_runs_until_pairs_at_the_threshold_are_found(spark):
         shared = text(80)
         texts[1000 + 2 * k], texts[1001 + 2 * k] = (" ".join(shared + text(34)) for _ in range(2))
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found = {(r.doc_id, r.partner_id) for r in jaccard.all_pairs(jaccard.jaccard_join(rows)).collect()}
+    found = {(r.doc_id, r.partner_id) for r in jaccard.all_pairs(rows).collect()}
     small = {(1000 + 2 * k, 1001 + 2 * k) for k in range(250)}
     assert len(found - small) == 120 * 119 // 2
     assert len(found & small) >= 0.97 * len(small)
@@ -110,18 +175,11 @@ def test_long_texts_have_the_same_grams(monkeypatch):
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = sorted({(min(p), max(p)) for p in rng.integers(0, 300, (220, 2)).tolist() if p[0] != p[1]} | {(k, k + 1) for k in range(400, 430)})
-    parent = {x: x for p in pairs for x in p}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
+    expected = roots(pairs)
     found = dict(map(tuple, jaccard.components(spark.createDataFrame(pairs, "u long, v long")).collect()))
-    assert all(found.get(x, x) == root(x) for x in parent)
+    assert all(found.get(x, x) == expected[x] for x in expected)
+    star = [(0, k) for k in range(1, 500)]
+    assert {r.root for r in jaccard.components(spark.createDataFrame(star, "u long, v long")).collect()} == {0}
 
 
 def test_exact_dedup_against_history(spark, documents):
@@ -135,6 +193,27 @@ def test_exact_dedup_against_history(spark, documents):
     assert {r.doc_id for r in exact_dedup.exact_dedup(documents, history).collect()} == expected
 
 
+def test_exact_dedup_by_the_index(spark, monkeypatch):
+    """The later half's copies of the earlier half's texts go by look_up alone."""
+    rows = [(k, f"text {k}", k) for k in range(50)] + [(100 + k, "hot", k) for k in range(200)] + [(400 + k, f"text {k}", k) for k in range(50)] + [(None, "hot", 1), (None, None, 2), (300, "late", 1), (301, "late", 2), (301, "late", 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _same int")
+    ids = lambda: sorted((r.doc_id is None, r.doc_id or 0) for r in exact_dedup.exact_dedup(table).collect())
+    assert ids() == [(False, k) for k in [*range(50), 100, 300]] + [(True, 0)]
+    named = table.selectExpr("'doc' || lpad(doc_id, 5, '0') as doc_id", "text", "_same")
+    assert exact_dedup.exact_dedup(named).count() == 53
+    real = exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "look_up", lambda *a: real(*a).selectExpr("digest", "least", "rows", "false as member", "locator"))
+    assert len(ids()) > 53
+
+
+def test_look_up_gives_locators(spark):
+    rows = [(bytes([k]) * 32, None if k == 3 else f"doc{k}") for k in range(20)]
+    index = exact_dedup.build_index(spark.createDataFrame(rows, "digest binary, locator string"), 3)
+    asked = spark.createDataFrame([(bytes([k]) * 32, k) for k in range(40)], "digest binary, least long")
+    found = {r.least: (r.member, r.locator) for r in exact_dedup.look_up(index, asked, 3).collect()}
+    assert found == {k: (k < 20, f"doc{k}" if k < 20 and k != 3 else None) for k in range(40)}
+
+
 def test_perfect_hash():
     words = np.random.default_rng(3).integers(0, 1 << 63, (5000, 4), dtype=np.uint64)
     hashed = exact_dedup.PerfectHash.from_bytes(exact_dedup.PerfectHash.build(words).to_bytes())
@@ -192,6 +271,20 @@ def test_shards_match_the_mixture(spark, documents):
     assert {(r.doc_id, r.position) for r in again} == {(r.doc_id, r.position) for r in rows}
 
 
+def test_merged_positions_are_those_of_a_sort(spark):
+    rows = [(k, None if k % 7 == 0 else f"s{k % 3 * (k % 5)}", f"text {k}") for k in range(500)] + [(None, None, "x"), (3, "s0", "again")]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    merged, ranked = (sharding.shard(table, 8, counted=c).select("source", "source_rank", "position", "shard").collect() for c in (64, 2))
+    assert sorted(r.position for r in merged) == list(range(1, 503))
+    assert {(r.source, r.source_rank): (r.position, r.shard) for r in merged} == {(r.source, r.source_rank): (r.position, r.shard) for r in ranked}
+    size = Counter(r.source for r in merged)
+    key = lambda r: ((2 * r.source_rank - 1) / (2 * size[r.source]), r.source or "", r.source_rank)
+    assert [r.position for r in sorted(merged, key=key)] == list(range(1, 503))
+    big = spark.range(1).selectExpr("'b' source", "3000000001L rank", "20000000000L size")
+    place = sharding._merged([("a", 10_000_000_000), ("b", 20_000_000_000), (None, 5)], *map(big.__getitem__, big.columns))
+    assert big.select(place).first()[0] == 3000000001 + 1500000000 + 1
+
+
 def test_histogram(documents):
     vocabulary, pattern = token_counts.default_tokenizer()
     encoder = token_counts._encoder(vocabulary, pattern)

@@ -20,6 +20,8 @@ def rows():
 OPERATORS = {
     "exact_dedup": exact_dedup.exact_dedup,
     "jaccard_join": jaccard.jaccard_join,
+    "classes": jaccard.classes,
+    "all_pairs": jaccard.all_pairs,
     "keep_one": jaccard.keep_one,
     "license_scan": licenses.license_scan,
     "shard": sharding.shard,
