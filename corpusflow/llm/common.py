@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -14,15 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary folder serves a local master (tests);
+    on a cluster, whose machines don't share one, that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusflow-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusflow-"))
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder; Spark removes it when nothing refers to it."""
+    """Cuts the lineage by a reliable checkpoint in the shared folder. Spark removes it when nothing refers to it if
+    spark.cleaner.referenceTracking.cleanCheckpoints is true; else it stays until the folder is emptied."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -49,26 +55,26 @@ def fresh(names: Sequence[str], wanted: str) -> str:
     return wanted
 
 
-def ranked(df: DataFrame, keys: list[str], where: str, order: list[Column], rank: str, total: int, size: str | None = None, bucket_rows: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], where: str, order: list[Column], rank: str, total: int, size: str | None = None, bucket_rows: int = 4000, narrow: DataFrame | None = None) -> DataFrame:
     """Adds rank, 1.. within keys by (where, order), and size, the rows of the keys; where has doubles in [0, 1].
 
     A window over keys alone would sort a hot key in one task. Here keys and an order-preserving bucket of
     `where` make the window's partitions, of about bucket_rows rows each, and the buckets' counts, summed over
-    the lower buckets, give what to add. The rows move once; the counts are a narrow aggregate.
+    the lower buckets, give what to add. Keys are compared as strings that are never null, so the counts join on the
+    window's own partitioning: rows move once, whether or not the counts can be broadcast. narrow has the keys and
+    `where` of all rows, if they can be had for less than df's.
     """
     n = max(1, -(-total // bucket_rows))
-    bucket, below, count = (fresh(df.columns, c) for c in ("_bucket", "_below", "_count"))
-    spread = df.withColumn(bucket, F.least(F.floor(F.col(where) * n), F.lit(n - 1)).cast("int"))
-    alias = [f"_k{i}" for i in range(len(keys))]
-    counts = spread.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, alias)], F.col(bucket).alias("_b")).agg(F.count(F.lit(1)).alias(count))
-    before = Window.partitionBy(*(alias or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.sum(count).over(Window.partitionBy(*(alias or [F.lit(0)])))
-    offsets = counts.select(*alias, "_b", F.coalesce(F.sum(count).over(before), F.lit(0)).alias(below), whole.alias("_whole"))
-    inside = Window.partitionBy(*keys, bucket).orderBy(F.col(where), *order)
-    numbered = spread.withColumn(rank, F.row_number().over(inside))
-    same = numbered[bucket] == offsets["_b"]
-    for k, a in zip(keys, alias):
-        same &= numbered[k].eqNullSafe(offsets[a])
-    joined = numbered.join(offsets, same)
-    added = [(numbered[rank] + offsets[below]).cast("bigint").alias(rank), *([offsets["_whole"].alias(size)] if size else [])]
-    return joined.select(*[numbered[c] for c in df.columns], *added)
+    bucket, below, count, whole = (fresh(df.columns, c) for c in ("_bucket", "_below", "_count", "_whole"))
+    alias = [fresh(df.columns, f"_k{i}") for i in range(len(keys))]
+    extra = {a: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k, a in zip(keys, alias)}
+    extra[bucket] = F.least(F.floor(F.col(where) * n), F.lit(n - 1)).cast("int")
+    spread = df.withColumns(extra)
+    counts = (df if narrow is None else narrow).withColumns(extra).groupBy(*alias, bucket).agg(F.count(F.lit(1)).alias(count))
+    one = [F.col(a) for a in alias] or [F.lit(0)]
+    before = Window.partitionBy(*one).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*alias, bucket, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(below), F.sum(count).over(Window.partitionBy(*one)).alias(whole))
+    inside = Window.partitionBy(*alias, bucket).orderBy(F.col(where), *order)
+    joined = spread.withColumn(rank, F.row_number().over(inside)).join(offsets, [*alias, bucket])
+    added = [(F.col(rank) + F.col(below)).cast("bigint").alias(rank), *([F.col(whole).alias(size)] if size else [])]
+    return joined.select(*df.columns, *added)

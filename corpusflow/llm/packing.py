@@ -120,30 +120,33 @@ def pack(documents: DataFrame, window: int = 8192, bins: int = 256, depth: int =
     The same pieces always give the same packs, whatever the partitions: within a length, pieces are ranked by a seeded
     hash. used is the number of characters with separators, at most window.
 
-    Null and empty texts are left out. A null doc_id is carried as null. Repeated rows are packed each. Other columns
-    are not read. The result for an empty table is empty.
+    Null and empty texts are left out. A null doc_id is carried as null; doc_id keeps its type, which must be one that
+    can be ordered. Repeated rows are packed each. Other columns are not read. The result for an empty table is empty.
 
     Only the histogram reaches the driver. The plan is some hundred rows whatever the input, so it is broadcast;
-    texts move twice, to be ranked within a length (hot lengths are spread over buckets) and to their packs.
+    texts move twice, to be ranked within a length (hot lengths are spread over buckets of about 16 MB) and to their
+    packs. The scans that count lengths cut no text: a piece's length follows from its text's.
     """
     if window % bins or bins < 1:
         raise ValueError("window must be a multiple of bins")
     step, body = window // bins, window - 1
-    pieces = (
-        documents.where(F.length("text") > 0)
-        .select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / body).cast("int"))).alias("k"))
-        .select("doc_id", (F.col("k") * body).alias("start"), F.substring("text", F.col("k") * body + 1, F.lit(body)).alias("text"))
-        .select("doc_id", "start", F.length("text").alias("length"), "text")
-        .withColumn("bin", F.ceil((F.col("length") + 1) / step).cast("int"))
-    )
-    counts = {r.bin: r["count"] for r in pieces.groupBy("bin").count().collect()}  # at most `bins` rows
+    texts = documents.where(F.length("text") > 0).select("doc_id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("h"))
+    last = F.floor((F.col("n") - 1) / body).cast("int")
+    length = F.least(F.lit(body), F.col("n") - F.col("k") * body).cast("int").alias("length")
+    at = unit(hash60(F.lit(seed), "doc_id", "h", "k")).alias("at")
+    sized = texts.select("doc_id", "n", "h", F.explode(F.sequence(F.lit(0), last)).alias("k")).select(length, at).withColumn("bin", F.ceil((F.col("length") + 1) / step).cast("int"))
+    found = sized.groupBy("bin").agg(F.count(F.lit(1)).alias("pieces"), F.sum("length").alias("chars")).collect()  # at most `bins` rows
+    counts = {r.bin: r.pieces for r in found}
     made = plan(np.array([counts.get(b, 0) for b in range(1, bins + 1)]), depth)
     spark = documents.sparkSession
     places = F.broadcast(spark.createDataFrame(made.rows or [(0, 1, 0, 0)], "slot_bin int, first bigint, last bigint, base bigint"))
-    keyed = pieces.withColumn("at", unit(hash60(F.lit(seed), "doc_id", "start", "text")))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("start"), F.col("text")]
-    numbered = ranked(keyed, ["bin"], "at", order, "rank", sum(counts.values()))
+    # a regular expression cuts a long text in one pass; substring() would walk from its start for each piece
+    parts = F.when(F.col("n") <= body, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{body}}}"), F.lit(0)))
+    pieces = texts.select("doc_id", "n", "h", F.posexplode(parts).alias("k", "text")).select("doc_id", (F.col("k") * body).alias("start"), "text", length, at)
+    pieces = pieces.withColumn("bin", F.ceil((F.col("length") + 1) / step).cast("int"))
+    total = sum(counts.values())
+    mean = sum(r.chars for r in found) / max(1, total)
+    numbered = ranked(pieces, ["bin"], "at", [F.col("doc_id").asc_nulls_last(), F.col("start"), F.col("text")], "rank", total, bucket_rows=int(max(500, (16 << 20) / max(mean, 100))), narrow=sized)
     placed = numbered.join(places, (F.col("bin") == F.col("slot_bin")) & F.col("rank").between(F.col("first"), F.col("last")))
     packs = placed.groupBy((F.col("base") + F.col("rank") - F.col("first")).alias("pack_id")).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("n"), F.col("doc_id").isNull().alias("u"), "doc_id", "start", "text"))).alias("p")
