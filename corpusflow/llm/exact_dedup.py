@@ -6,8 +6,9 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.llm.common import cut, fresh, small_broadcast, table
 
@@ -86,91 +87,106 @@ def _words(digests: pa.ChunkedArray) -> np.ndarray:
 
 
 def build_index(digests: DataFrame, shards: int) -> DataFrame:
-    """(shard, hash, digests, locators, known) from distinct (digest, locator): slot i of a shard is 32 bytes of
-    digests and 8 of locators; known is 0 where the locator is null. Can be written as a table and kept."""
+    """(shard, hash, digests, locators) from distinct (digest, locator): slot i of a shard is 32 bytes of digests and
+    the i-th locator, which may be null and has any type. Can be written as a table and kept."""
+    kind = digests.schema["locator"].dataType
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("hash", T.BinaryType()), T.StructField("digests", T.BinaryType()), T.StructField("locators", T.ArrayType(kind))])
 
     def build(group: pa.Table) -> pa.Table:
         words = _words(group["digest"])
         hashed = PerfectHash.build(words)
-        slots = hashed.slots(words)
-        order = np.argsort(slots)
-        known = np.array(group["locator"].is_valid().to_pylist(), dtype=np.uint8)
-        locators = np.array(group["locator"].fill_null(0).to_pylist(), dtype=np.int64)
-        return pa.table({"shard": [group["shard"][0].as_py()], "hash": [hashed.to_bytes()], "digests": [words[order].tobytes()], "locators": [locators[order].tobytes()], "known": [known[order].tobytes()]}, schema=pa.schema([("shard", pa.int32()), ("hash", pa.binary()), ("digests", pa.binary()), ("locators", pa.binary()), ("known", pa.binary())]))
+        order = np.argsort(hashed.slots(words))
+        locators = group["locator"].combine_chunks().take(pa.array(order))
+        held = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), locators)
+        return pa.table({"shard": group["shard"].slice(0, 1), "hash": [hashed.to_bytes()], "digests": [words[order].tobytes()], "locators": held})
 
     keyed = digests.select("digest", "locator", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"))
-    return keyed.groupBy("shard").applyInArrow(build, "shard int, hash binary, digests binary, locators binary, known binary")
+    return keyed.groupBy("shard").applyInArrow(build, schema)
 
 
-def look_up(index: DataFrame, digests: DataFrame, shards: int) -> DataFrame:
-    """digests, which has distinct values in digest, with member and locator. A slot counts only if all bytes of its
+def look_up(index: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
+    """asked, which has distinct values in digest, with member and locator. A slot counts only if all bytes of its
     digest are those looked up, so that what the hash was not built on is never taken for a member."""
-    out = "digest binary, member boolean, locator bigint"
-    schema = pa.schema([("digest", pa.binary()), ("member", pa.bool_()), ("locator", pa.int64())])
+    kind = index.schema["locators"].dataType.elementType
+    schema = T.StructType([*asked.schema.fields, T.StructField("member", T.BooleanType()), T.StructField("locator", kind)])
+    names = asked.columns
 
-    def find(key: tuple, shard: pa.Table, asked: pa.Table) -> pa.Table:
-        n = asked.num_rows
-        member, locator = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
-        null = np.ones(n, dtype=bool)
+    def find(key: tuple, shard: pa.Table, rows: pa.Table) -> pa.Table:
+        rows, n = rows.select(names), rows.num_rows
+        member, locator = np.zeros(n, dtype=bool), pa.nulls(n)
         if n and shard.num_rows:
-            row = shard.to_pylist()[0]
-            words = _words(asked["digest"])
-            held = np.frombuffer(row["digests"], np.uint64).reshape(-1, 4)
-            slots = PerfectHash.from_bytes(row["hash"]).slots(words)
-            safe = np.maximum(slots, 0)
-            member = (slots >= 0) & (held[safe] == words).all(axis=1)
-            locator = np.frombuffer(row["locators"], np.int64)[safe]
-            null = ~member | (np.frombuffer(row["known"], np.uint8)[safe] == 0)
-        return pa.table([asked["digest"].cast(pa.binary()), pa.array(member), pa.array(locator, mask=null)], schema=schema)
+            words = _words(rows["digest"])
+            held = np.frombuffer(shard["digests"][0].as_buffer(), np.uint64).reshape(-1, 4)
+            slots = PerfectHash.from_bytes(shard["hash"][0].as_py()).slots(words)
+            member = (slots >= 0) & (held[np.maximum(slots, 0)] == words).all(axis=1)
+            locator = shard["locators"].combine_chunks().values.take(pa.array(slots, mask=~member))
+        return pa.table([*rows.columns, pa.array(member), locator], names=[*names, "member", "locator"])
 
-    keyed = digests.select("digest", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"))
-    return index.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInArrow(find, out)
+    keyed = asked.select("*", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"))
+    return index.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInArrow(find, schema)
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
+def _groups(documents: DataFrame, least: str) -> DataFrame:
+    return documents.where("text is not null").groupBy(_digest().alias("digest")).agg(F.min("doc_id").alias(least), F.count(F.lit(1)).alias("rows"))
+
+
+def _earlier(documents: DataFrame) -> Column:
+    """True for about the lesser half of the doc_ids: all of them are less than all others. Null ids are not among them."""
+    kind = documents.schema["doc_id"].dataType
+    # of strings and the like the first seven bytes, as a number of the same order
+    order = F.col("doc_id") if isinstance(kind, T.NumericType) else F.conv(F.rpad(F.hex(F.substring(F.col("doc_id").cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    middle = documents.agg(F.percentile_approx(order, 0.5, 100)).first()[0]
+    return F.lit(False) if middle is None else F.coalesce(order < F.lit(middle), F.lit(False))
 
 
 def exact_dedup(documents: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """The rows of documents without those whose text occurs before.
 
-    history: documents (doc_id, text) kept earlier; all rows with a text of theirs go. Without it the table is its own
-    history: the index holds the digests that occur in it more than once, with the least doc_id as the locator of the
-    winner. Texts that the index doesn't hold are grouped by digest on their own; of each group the least doc_id stays
-    (null doc_ids come last; repeated rows of one doc_id leave one row, the first by all columns' hash). Before a row
-    goes, its text is compared with the winner's, so texts are equal byte for byte. Rows with a null text all stay;
-    the empty text is a text like any other. All columns are kept, whatever their names; the order of rows isn't.
-
-    Only digests and ids are shuffled, and the texts that repeat; the other rows meet their verdict in the scan while
-    the verdicts are under 32 MB, else in one join on the digest.
+    history: documents (doc_id, text) kept earlier; all rows with a text of theirs go. Without it the table's own
+    earlier part, the lesser half of its doc_ids, is the history of the rest, and of its texts the least doc_id stays.
+    The distinct digests of the history make the index: a minimal perfect hash whose slots hold the digest and the
+    winner's doc_id. The other rows' digests are looked up; what the index holds goes, the rest is grouped by digest on
+    its own, and of each group the least doc_id stays (null doc_ids come last; repeated rows of one doc_id leave one,
+    the first by all columns' hash). Before a row goes, its text is compared with the winner's, so texts are equal byte
+    for byte. Rows with a null text all stay; the empty text is a text like any other, and so are very long ones. All
+    columns are kept, whatever their names; doc_id keeps its type. An empty table stays empty.
+
+    Only digests and ids are shuffled, and the texts that repeat: the others meet their verdict in the scan while the
+    verdicts are under 32 MB, else in one join on the digest. A winner is an aggregate and the others are joined with
+    it, so that no task holds a group of copies.
     """
     names = documents.columns
-    digest, win, gone, rank, first, past = (fresh(names, c) for c in ("_digest", "_win", "_gone", "_rank", "_first", "_past"))
-    hashed = F.unhex(F.sha2("text", 256))
-    ids = documents.where("text is not null").select(hashed.alias("digest"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    groups = cut(ids.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
-    if history is None:
-        known = groups.where("rows > 1").select("digest", F.col("least").alias("locator"))
-    else:
-        known = cut(history.where("text is not null").groupBy(hashed.alias("digest")).agg(F.min("doc_id").cast("bigint").alias("locator")))
-    shards = max(1, -(-max(known.count(), groups.count()) // SHARD_DIGESTS))
-    looked = look_up(build_index(known, shards), groups, shards).withColumnRenamed("digest", "found")
-    verdicts = cut(
-        groups.join(looked, groups.digest == looked.found)
-        .where(F.col("member") | (F.col("rows") > 1))
-        .select(F.col("digest").alias(digest), F.when(F.col("member"), F.col("locator")).otherwise(F.col("least")).alias(win), (F.col("member") & F.lit(history is not None)).alias(gone))
-    )
+    digest, other, win, gone, same = (fresh(names, c) for c in ("_digest", "_other", "_win", "_gone", "_same"))
+    within = history is None
+    early = _earlier(documents) if within else F.lit(False)
+    known = cut(_groups(documents.where(early) if within else history.select("doc_id", "text"), "locator"))
+    later = cut(_groups(documents.where(~early), "least"))
+    shards = max(1, -(-max(known.count(), later.count()) // SHARD_DIGESTS))
+    looked = cut(look_up(build_index(known.select("digest", "locator"), shards), later, shards))
+    member, kind = F.col("member"), documents.schema["doc_id"].dataType
+    verdicts = looked.where(member | (F.col("rows") > 1)).select(F.col("digest").alias(digest), F.when(member, F.col("locator")).otherwise(F.col("least").cast(looked.schema["locator"].dataType)).alias(win), (member & F.lit(not within)).alias(gone))
+    if within:  # what repeats in the earlier part only
+        verdicts = verdicts.union(known.where("rows > 1").select("digest", F.col("locator").cast(kind), F.lit(False))).distinct()
+    verdicts = cut(verdicts)
     n = verdicts.count()
     if n == 0:
         return documents
-    marked = documents.withColumn(digest, hashed).join(small_broadcast(verdicts, n, 64), digest, "left")
+    marked = documents.withColumn(digest, _digest()).join(small_broadcast(verdicts, n, 64), digest, "left")
     kept = marked.where(F.col(gone).isNull()).select(*names)
-    repeats = marked.where(F.col(gone).isNotNull()).withColumn(past, F.lit(0))
-    if history is not None:
-        old = history.where("text is not null").select("doc_id", "text").withColumn(digest, hashed).join(small_broadcast(verdicts.where(gone), n, 64), digest)
-        old = old.where(F.col("doc_id").cast("bigint").eqNullSafe(F.col(win))).withColumn(past, F.lit(1))
-        repeats = repeats.unionByName(old, allowMissingColumns=True)
-    order = [F.col(past).desc(), F.col("doc_id").cast("bigint").eqNullSafe(F.col(win)).desc(), F.col("doc_id").asc_nulls_last(), F.xxhash64(*[F.col(c).cast("string") if t == "void" or t.startswith("map") else F.col(c) for c, t in documents.dtypes])]
-    within = Window.partitionBy(digest).orderBy(*order)
-    checked = repeats.withColumn(rank, F.row_number().over(within)).withColumn(first, F.first("text").over(within))
-    stays = (F.col(past) == 0) & ((F.col(rank) == 1) | (F.col("text") != F.col(first)))
-    return kept.unionByName(checked.where(stays).select(*names))
+    repeats = cut(marked.where(F.col(gone).isNotNull()))
+    plain = [F.col(c).cast("string") if t == "void" or t.startswith("map") else F.col(c) for c, t in documents.dtypes]
+    of_winner = F.col("doc_id").eqNullSafe(F.col(win))
+    winners = repeats.where(~F.col(gone) & of_winner).groupBy(digest).agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("row"))
+    texts = winners.select(digest, F.col("row.text").alias(same))
+    if not within:
+        past = history.select(F.col("doc_id").alias("past"), F.col("text").alias(same)).withColumn(digest, F.unhex(F.sha2(same, 256)))
+        texts = texts.union(past.join(small_broadcast(verdicts.where(gone), n, 64), digest).where(F.col("past").eqNullSafe(F.col(win))).groupBy(digest).agg(F.min(same).alias(same)))
+    unlike = repeats.join(texts.withColumnRenamed(digest, other), F.col(digest) == F.col(other)).where(F.col("text") != F.col(same))
+    return kept.unionByName(winners.select("row.*")).unionByName(unlike.select(*names))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
