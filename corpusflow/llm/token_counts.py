@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.llm.common import table
 
@@ -32,18 +34,36 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: What a pattern ends with whose white space can be cut out of a text, and a run that is long enough to be.
+_BLANKS = r"\s+(?!\S)|\s+"
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def tokens_in(encoder, text: str) -> int:
+    """How many tokens a text has. The encoder's regular expression overflows its stack in very long runs of white
+    space, so these are cut out where the pattern would: all of a run at the end of the text, else all but its last
+    character, is one piece."""
+    count, at = 0, 0
+    for run in _RUN.finditer(text) if encoder._pat_str.endswith(_BLANKS) else ():
+        start, stop = run.start(), run.end() - (run.end() < len(text))
+        count += len(encoder.encode_ordinary(text[at:start])) + len(encoder._encode_single_piece(text[start:stop].encode()))
+        at = stop
+    return count + len(encoder.encode_ordinary(text[at:] if at else text))
+
+
 def encoded_lengths(documents: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, tokens): how many tokens each whole text has; 0 for a null or empty one. Special tokens' strings are
-    ordinary text. vocabulary is a path that every executor can read."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64())])
+    ordinary text. vocabulary is a path that every executor can read. doc_id may have any type and be null; repeated
+    rows are each counted, an empty table gives no rows, other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary, pattern).encode_ordinary
+        encoder = _encoder(vocabulary, pattern)
         for batch in batches:
-            lengths = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], schema=schema)
+            lengths = [tokens_in(encoder, t.as_py()) if t.is_valid else 0 for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["doc_id", "tokens"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, tokens bigint")
+    rows = documents.select("doc_id", "text")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("tokens", T.LongType())]))
 
 
 def length_histogram(lengths: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
@@ -74,7 +94,8 @@ def length_histogram(lengths: DataFrame, quantiles: tuple[float, ...] = QUANTILE
 
 
 def at_limit(histogram: DataFrame, limit: int) -> DataFrame:
-    """(limit, docs_within, docs_cut, truncated_total) for one context limit, from the histogram alone."""
+    """(limit, docs_within, docs_cut, truncated_total) for one context limit, from the histogram alone; zeros where the
+    histogram is empty. Other columns of the histogram are not read."""
     within = F.col("length") <= limit
     n = F.coalesce(F.sum(F.when(within, F.col("docs"))), F.lit(0))
     longer = F.coalesce(F.sum(F.when(~within, F.col("docs"))), F.lit(0))
