@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusflow.llm.common import cut, table
+from corpusflow.llm.common import cut, hash60, small_broadcast, table
 
 CENTERS = 16  # four bits
-_VECTOR = pa.schema([("id", pa.int64()), ("vector", pa.binary())])
+FIT_BYTES = 32 << 20  # of the sample that the driver fits on
 
 
 @dataclass(frozen=True)
@@ -88,89 +89,72 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
-def vectors(embeddings: DataFrame, dim: int) -> DataFrame:
-    """(id, vector): finite vectors of `dim` floats, as bytes; of rows with one id the first in byte order."""
+def _bytes(x: np.ndarray) -> pa.Array:
+    """Each row of x as its bytes."""
+    x = np.ascontiguousarray(x)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if v is not None and len(v) == dim and None not in v and np.isfinite(x := np.array(v, np.float32)).all():
-                    ids.append(i)
-                    out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], schema=_VECTOR)
 
-    rows = embeddings.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>"))
-    return rows.mapInArrow(run, "id bigint, vector binary").groupBy("id").agg(F.min("vector").alias("vector"))
+def _schema(*fields: tuple[str, T.DataType | str]) -> T.StructType:
+    kinds = {"binary": T.BinaryType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()}
+    return T.StructType([T.StructField(name, kinds.get(kind, kind) if isinstance(kind, str) else kind) for name, kind in fields])
 
 
-def _summed(data: DataFrame, dim: int, statistics, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
-    """Sums statistics(matrix) over all rows: each task adds up its own, and tasks are added in groups before the
-    driver, so that it receives a bounded number of rows of a size that doesn't depend on the data."""
+def vectors(embeddings: DataFrame, dim: int) -> DataFrame:
+    """(id, vector): finite vectors of `dim` floats, as bytes; of rows with one id the first in byte order."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(s) for s in shapes]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(0), dim)
-            for at in range(0, len(x), 2048):
-                for total, found in zip(sums, statistics(x[at : at + 2048])):
-                    total += found
-        raw = np.concatenate([s.ravel() for s in sums]).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([raw], pa.binary())], names=["g", "raw"])
+            lists = batch.column(1)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)  # null elements become nan
+            rows = np.flatnonzero(np.diff(offsets) == dim)
+            x = flat[offsets[rows][:, None] + np.arange(dim)].astype(np.float32).reshape(-1, dim)
+            fine = np.isfinite(x).all(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[fine])), _bytes(x[fine])], names=["id", "vector"])
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(r, np.float64) for r in group["raw"].to_pylist())
-        return pa.table({"raw": pa.array([total.tobytes()], pa.binary())})
+    rows = embeddings.where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>"))
+    return rows.mapInArrow(run, _schema(("id", rows.schema["id"].dataType), ("vector", "binary"))).groupBy("id").agg(F.min("vector").alias("vector"))
 
-    rows = data.select("vector").mapInArrow(part, "g int, raw binary").groupBy("g").applyInArrow(add, "raw binary").collect()
-    total = sum((np.frombuffer(r.raw, np.float64) for r in rows), np.zeros(sum(int(np.prod(s)) for s in shapes)))
-    out, at = [], 0
-    for s in shapes:
-        out.append(total[at : at + int(np.prod(s))].reshape(s))
-        at += int(np.prod(s))
-    return out
 
-
-def _seeds(data: DataFrame, n: int, dim: int) -> np.ndarray:
-    """n distinct vectors, the first by a hash of the id: starting points only, all rows shape what follows."""
-    rows = data.orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    return np.stack([np.frombuffer(r.vector, np.float32) for r in rows]).reshape(-1, dim)
+def _first(data: DataFrame, rows: int, n: int, salt: int) -> tuple[list, np.ndarray]:
+    """Ids and vectors of the n rows (all, if fewer) that come first by a salted hash of the id."""
+    at = hash60(F.lit(salt), "id")
+    likely = data.where(at < F.lit(int(min(1.0, 1.5 * n / rows + 64 / rows) * (1 << 60))))  # so that tasks send few rows
+    found = likely.orderBy(at, "id").limit(n).collect()
+    return [r.id for r in found], np.stack([np.frombuffer(r.vector, np.float32) for r in found])
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (x @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+    half = 0.5 * (centres**2).sum(axis=1)
+    return np.concatenate([(x[at : at + 4096] @ centres.T - half).argmax(axis=1) for at in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def _k_means(data: DataFrame, seeds: np.ndarray, rounds: int) -> np.ndarray:
-    """Lloyd over all rows; a centre left alone keeps its place."""
-    centres, dim = seeds.astype(np.float32), seeds.shape[1]
+def k_means(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """Lloyd from the first n rows; a centre left alone keeps its place."""
+    centres = x[:n].astype(np.float32)
     for _ in range(rounds):
-
-        def stats(x: np.ndarray, centres=centres) -> tuple[np.ndarray, np.ndarray]:
-            own = nearest(x, centres)
-            sums = np.zeros(centres.shape)
-            np.add.at(sums, own, x)
-            return sums, np.bincount(own, minlength=len(centres)).astype(float)
-
-        sums, counts = _summed(data, dim, stats, [centres.shape, (len(centres),)])
-        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres).astype(np.float32)
+        own = nearest(x, centres)
+        order = np.argsort(own, kind="stable")
+        there, starts, counts = np.unique(own[order], return_index=True, return_counts=True)
+        centres[there] = np.add.reduceat(x[order].astype(np.float64), starts) / counts[:, None]
     return centres
 
 
-def train_quantiser(data: DataFrame, dim: int, seeds: np.ndarray, width: int = 2, cosine: float = 0.2, rounds: int = 5) -> Quantiser:
-    """Codebooks fitted over all rows. eta follows from the cosine threshold T as (dim - 1) T^2 / (1 - T^2). Plain
-    rounds (eta 1) come first; anisotropic ones, damped as all subspaces move at once, go on while the loss falls."""
+def fit_quantiser(x: np.ndarray, width: int = 2, cosine: float = 0.2, rounds: int = 5) -> Quantiser:
+    """eta follows from the cosine threshold T as (dim - 1) T^2 / (1 - T^2). Plain rounds (eta 1) come first;
+    anisotropic ones, damped as all subspaces move at once, go on while the loss falls."""
+    dim = x.shape[1]
     s = dim // width
     eta = max(1.0, (dim - 1) * cosine**2 / (1 - cosine**2))
     rng = np.random.default_rng(3)
-    books = np.stack([seeds[rng.permutation(len(seeds))[np.arange(CENTERS) % len(seeds)], k * width : (k + 1) * width] for k in range(s)]).astype(np.float64)
+    books = np.stack([x[rng.permutation(len(x))[np.arange(CENTERS) % len(x)], k * width : (k + 1) * width] for k in range(s)]).astype(np.float64)
     books += rng.normal(scale=1e-4, size=books.shape)
-    shapes = [(s, CENTERS, width, width), (s, CENTERS, width), (1,)]
     best, least = None, np.inf
     for r in range(2 * rounds):
         plain = r < rounds
         q = Quantiser(books.astype(np.float32), 1.0 if plain else eta)
-        a, b, loss = _summed(data, dim, q.statistics, shapes)
+        a, b, loss = (sum(part) for part in zip(*(q.statistics(x[at : at + 2048]) for at in range(0, len(x), 2048))))
         if not plain:
             if loss[0] >= least * (1 - 1e-4):
                 break
@@ -182,56 +166,75 @@ def train_quantiser(data: DataFrame, dim: int, seeds: np.ndarray, width: int = 2
     return best or Quantiser(books.astype(np.float32), eta)
 
 
-def _merge(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by score, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
+def _best(k: int) -> Column:
+    """The k best of a group's (score, id, ...): by falling score, ties to the smaller id."""
+    return F.slice(F.array_sort(F.collect_list("found")), 1, k)
 
 
-def _sampled(data: DataFrame, dim: int, queries: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Some queries (the last by the hash of their ids), with their exact neighbours over all rows: ids and vectors."""
-    rows = data.orderBy(F.xxhash64("id").desc(), "id").limit(queries).collect()
-    q_ids = np.array([r.id for r in rows])
-    q = np.stack([np.frombuffer(r.vector, np.float32) for r in rows])
+def _exact(data: DataFrame, q_ids: list, q: np.ndarray, k: int) -> np.ndarray:
+    """The k exact neighbours of each query over all rows, as vectors (queries, at most k, dim). A task keeps the k best
+    of what it has seen, so it sends queries * k rows whatever it reads."""
+    dim, kind = q.shape[1], data.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, np.ndarray, np.ndarray] | None = None  # ids, scores (queries, n), vectors (queries, n, dim)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
-            scores = q @ x.T
-            scores[q_ids[:, None] == ids[None]] = -np.inf
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            at = np.arange(len(q))[:, None].repeat(top.shape[1], axis=1).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids[top.ravel()]), pa.array(scores[at, top.ravel()].astype(np.float64)), batch.column(1).take(pa.array(top.ravel()))], names=["q", "id", "score", "vector"])
-
-    found = data.select("id", "vector").mapInArrow(run, "q bigint, id bigint, score double, vector binary")
-    best = found.where("score > double('-infinity')").groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("id")).alias("id"), "vector")), asc=False), 1, k).alias("top")).collect()
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ids, x = part.column(0).to_pylist(), _matrix(part.column(1), dim)
+                scores = q @ x.T
+                at_query = pa.compute.index_in(part.column(0), pa.array(q_ids, part.column(0).type)).fill_null(-1).to_numpy()
+                scores[at_query[at_query >= 0], np.flatnonzero(at_query >= 0)] = -np.inf
+                top = np.argpartition(-scores, min(k, len(x)) - 1, axis=1)[:, :k]
+                rows = np.arange(len(q))[:, None]
+                own = ([[ids[c] for c in r] for r in top], scores[rows, top], x[top])
+                if held is not None:
+                    names = [a + b for a, b in zip(held[0], own[0])]
+                    value, vector = np.concatenate((held[1], own[1]), axis=1), np.concatenate((held[2], own[2]), axis=1)
+                    top = np.argsort(-value, axis=1, kind="stable")[:, :k]
+                    own = ([[n[c] for c in r] for n, r in zip(names, top)], value[rows, top], vector[rows, top])
+                held = own
+        if held is not None:
+            n = held[1].shape[1]
+            at = pa.array(np.repeat(np.arange(len(q)), n))
+            ids = pa.array([i for r in held[0] for i in r])
+            yield pa.RecordBatch.from_arrays([at, ids, pa.array(held[1].ravel().astype(np.float64)), _bytes(held[2].reshape(-1, dim))], names=["q", "id", "score", "vector"])
+
+    found = data.select("id", "vector").mapInArrow(run, _schema(("q", "bigint"), ("id", kind), ("score", "double"), ("vector", "binary")))
+    best = found.where("score > double('-infinity')").select("q", F.struct((-F.col("score")).alias("score"), "id", "vector").alias("found")).groupBy("q").agg(_best(k).alias("top")).collect()
     n = max(1, min((len(r.top) for r in best), default=1))
-    true_ids, true_x = np.zeros((len(q), n), np.int64), np.zeros((len(q), n, dim), np.float32)
+    near = np.zeros((len(q), n, dim), np.float32)
     for r in best:
         for j, t in enumerate(r.top[:n]):
-            true_ids[r.q, j], true_x[r.q, j] = -t.id, np.frombuffer(t.vector, np.float32)
-    return q_ids, q, true_ids, true_x
+            near[r.q, j] = np.frombuffer(t.vector, np.float32)
+    return near
+
 
+def neighbours(embeddings: DataFrame, k: int = 10, queries: Column | None = None, recall: float = 0.97, list_rows: int = 2048, tile: int = 16_384, queries_per_tile: int = 4096, rerank: int = 64, sample: int = 256) -> DataFrame:
+    """(vec_id, neighbour_id, rank, score): for every vector that meets the condition `queries` on vec_id (all, without
+    one) its k others of largest inner product among all vectors, approximately.
 
-def neighbours(embeddings: DataFrame, k: int = 10, recall: float = 0.97, tile: int = 2048, queries_per_tile: int = 4096, rerank: int = 64, sample: int = 256) -> DataFrame:
-    """(vec_id, neighbour_id, rank, score): for every vector its k others of largest inner product, approximately.
+    Vectors fall into lists of about list_rows by k-means, with 1,024 lists at most. A query visits the lists whose
+    centres have the largest inner products with it; how many is measured, as the least number that holds a share
+    `recall` of the exact neighbours of `sample` queries, themselves found over all rows: few for clustered vectors,
+    many for structureless ones. In a list, four-bit codes fitted to the anisotropic loss are scanned by table sums for
+    all its queries, and the best `rerank` of each block are scored exactly. Scores are float32 inner products as
+    doubles; ties go to the smaller id.
 
-    Vectors fall into about rows / tile lists by k-means. A query visits the lists whose centres have the largest
-    inner products with it; how many is measured, as the least number that holds a share `recall` of the exact
-    neighbours of `sample` queries, themselves found over all rows: few for clustered vectors, many for structureless
-    ones. In a list, four-bit codes fitted to the anisotropic loss are scanned by table sums for all its queries, and
-    the best `rerank` are scored exactly. Scores are float32 inner products as doubles; ties go to the smaller id.
+    Centres and codebooks are fitted on the driver, on the vectors that come first by a hash of their ids: 65,536 of
+    them or FIT_BYTES, the codebooks on 8,192. All vectors are indexed. So neither what the driver holds, nor what is
+    broadcast, nor the work of assigning a vector grows with the table.
 
     Rows with a null id, a null or non-finite element, or a length other than the commonest are left out; of rows with
     one id the first vector in byte order counts. A vector is not its own neighbour, but equal ones of other ids are.
-    Fewer than k others give fewer rows, one vector or an empty table none. Other columns are not read.
+    Fewer than k others give fewer rows, one vector or an empty table none. Other columns are not read; vec_id keeps
+    its type, which must be one that can be ordered.
 
     Lists of more than `tile` rows are cut into blocks and their queries into groups, so that no task holds more than
-    one block and one group, however skewed the lists are. Only centres, codebooks and the sample reach the driver.
+    one block and one group, however skewed the lists are.
     """
-    spark = embeddings.sparkSession
-    out = "vec_id bigint, neighbour_id bigint, rank int, score double"
+    spark, kind = embeddings.sparkSession, embeddings.schema["vec_id"].dataType
+    out = _schema(("vec_id", kind), ("neighbour_id", kind), ("rank", "int"), ("score", "double"))
     usual = embeddings.where("embedding is not null and vec_id is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if usual is None or usual.d == 0:
         return spark.createDataFrame([], out)
@@ -244,25 +247,29 @@ def neighbours(embeddings: DataFrame, k: int = 10, recall: float = 0.97, tile: i
     rows = data.count()
     if rows < 2:
         return spark.createDataFrame([], out)
-    lists = max(1, rows // tile)
-    seeds = _seeds(data, max(lists, 4 * CENTERS), even)
-    quantiser = train_quantiser(data, even, seeds[: 4 * CENTERS])
-    centres = _k_means(data, seeds[:lists], 6) if lists > 1 else np.zeros((1, even), np.float32)
-    _, q, _, true_x = _sampled(data, even, min(sample, rows), k)
+    _, fitted = _first(data, rows, min(rows, 65_536, max(1024, FIT_BYTES // (4 * even))), 1)
+    lists = max(1, min(rows // list_rows, 1024, len(fitted) // 32))
+    quantiser, centres = fit_quantiser(fitted[:8192]), k_means(fitted, lists)
+    asked = data if queries is None else data.withColumnRenamed("id", "vec_id").where(queries).withColumnRenamed("vec_id", "id")
+    n_asked = asked.count()
+    if not n_asked:
+        return spark.createDataFrame([], out)
+    q_ids, q = _first(asked, n_asked, min(sample, n_asked), 2)
+    near = _exact(data, q_ids, q, k)
     order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(lists)[None].repeat(len(q), axis=0), axis=1)
-    own = nearest(true_x.reshape(-1, even), centres).reshape(len(q), -1)
+    own = nearest(near.reshape(-1, even), centres).reshape(len(q), -1)
     probes = 1 + int(np.quantile(np.take_along_axis(place, own, axis=1), recall, method="higher"))
-    sent = spark.sparkContext.broadcast((centres, quantiser))
+    sent = spark.sparkContext.broadcast((centres, quantiser))  # 1,024 centres and 16 codes a subspace at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, quantiser = sent.value
         for batch in batches:
-            x = _matrix(batch.column(1), even)
-            codes = np.concatenate([packed(quantiser.encode(x[at : at + 2048])) for at in range(0, len(x), 2048)]) if len(x) else []
-            lists_of = nearest(x, centres) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists_of.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vector", "list", "codes"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = _matrix(part.column(1), even)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nearest(x, centres).astype(np.int32)), _bytes(packed(quantiser.encode(x)))], names=["id", "vector", "list", "codes"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, _ = sent.value
@@ -274,45 +281,44 @@ def neighbours(embeddings: DataFrame, k: int = 10, recall: float = 0.97, tile: i
                 index = pa.array(np.repeat(np.arange(part.num_rows), top.shape[1]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array(top.ravel().astype(np.int32))], names=["id", "vector", "list"])
 
-    stored = cut(data.select("id", "vector").mapInArrow(assign, "id bigint, vector binary, list int, codes binary"))
-    asked = data.select("id", "vector").mapInArrow(visit, "id bigint, vector binary, list int")
-    sizes = stored.groupBy("list").count().collect()  # one row per list, as many as there are centres
-    visits = {r.list: r["count"] for r in data.select("id", "vector").mapInArrow(visit, "id bigint, vector binary, list int").groupBy("list").count().collect()}
-    cuts = F.broadcast(spark.createDataFrame([(r.list, -(-r["count"] // tile), max(1, -(-visits.get(r.list, 0) // queries_per_tile))) for r in sizes], "list int, blocks int, groups int"))
-    left = stored.join(cuts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "id", "vector", "codes")
-    right = asked.join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("group"), "id", "vector")
-    result = pa.schema([("vec_id", pa.int64()), ("neighbour_id", pa.int64()), ("score", pa.float64())])
+    listed = (("id", kind), ("vector", "binary"), ("list", "int"))
+    stored = cut(data.select("id", "vector").mapInArrow(assign, _schema(*listed, ("codes", "binary"))))
+    visits = asked.select("id", "vector").mapInArrow(visit, _schema(*listed))
+    sizes = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks")).join(visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / queries_per_tile).cast("int").alias("groups")), "list")
+    cuts = small_broadcast(sizes, lists, 16)
+    left = stored.join(cuts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "id", "vector", "codes")
+    right = visits.join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("group"), "id", "vector")
 
     def search(key: tuple, base: pa.Table, queries: pa.Table) -> pa.Table:
         if not base.num_rows or not queries.num_rows:
-            return result.empty_table()
+            return pa.table([base["id"].slice(0, 0), base["id"].slice(0, 0), pa.array([], pa.float64())], names=["vec_id", "neighbour_id", "score"])
         books = sent.value[1].books
-        ids, x = base["id"].to_numpy(), _matrix(base["vector"], even)
-        codes = np.frombuffer(b"".join(base["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        q_ids, q_all = queries["id"].to_numpy(), _matrix(queries["vector"], even)
-        depth = min(rerank, len(ids))
+        base = base.sort_by("id")  # positions then order ties by id
+        x, codes = _matrix(base["vector"], even), np.frombuffer(b"".join(base["codes"].to_pylist()), np.uint8).reshape(base.num_rows, -1)
+        q_all, depth = _matrix(queries["vector"], even), min(rerank, len(x))
+        itself = pa.compute.index_in(queries["id"], base["id"]).fill_null(-1).to_numpy()
         parts = []
-        for at in range(0, len(q_ids), 256):
-            own, q = q_ids[at : at + 256], q_all[at : at + 256]
+        for at in range(0, len(q_all), 128):
+            q = q_all[at : at + 128]
             approximate = scan(codes, tables(books, q))
-            top = np.argpartition(-approximate, depth - 1, axis=0)[:depth].T if depth < len(ids) else np.arange(len(ids))[None].repeat(len(q), axis=0)
+            top = np.argpartition(-approximate, depth - 1, axis=0)[:depth].T if depth < len(x) else np.arange(len(x))[None].repeat(len(q), axis=0)
             exact = np.einsum("qd,qnd->qn", q, x[top])
-            names = ids[top]
-            exact[names == own[:, None]] = -np.inf
-            best = np.lexsort((names, -exact), axis=1)[:, :k]
+            exact[top == itself[at : at + 128, None]] = -np.inf
+            best = np.lexsort((top, -exact), axis=1)[:, :k]
             kept = np.take_along_axis(exact, best, axis=1)
             there = np.isfinite(kept)
-            parts.append((np.repeat(own[:, None], kept.shape[1], axis=1)[there], np.take_along_axis(names, best, axis=1)[there], kept[there]))
+            parts.append((at + np.nonzero(there)[0], np.take_along_axis(top, best, axis=1)[there], kept[there]))
         a, b, c = (np.concatenate(p) for p in zip(*parts))
-        return pa.table([pa.array(a), pa.array(b), pa.array(c.astype(np.float64))], schema=result)
+        return pa.table([queries["id"].take(pa.array(a)), base["id"].take(pa.array(b)), pa.array(c.astype(np.float64))], names=["vec_id", "neighbour_id", "score"])
 
-    found = left.groupBy("list", "block", "group").cogroup(right.groupBy("list", "block", "group")).applyInArrow(search, "vec_id bigint, neighbour_id bigint, score double")
-    ranked = found.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("neighbour_id")).alias("n"))), asc=False), 1, k).alias("top"))
-    return ranked.select("vec_id", F.posexplode("top").alias("p", "t")).select("vec_id", (-F.col("t.n")).alias("neighbour_id"), (F.col("p") + 1).cast("int").alias("rank"), "t.score")
+    found = left.groupBy("list", "block", "group").cogroup(right.groupBy("list", "block", "group")).applyInArrow(search, _schema(("vec_id", kind), ("neighbour_id", kind), ("score", "double")))
+    ranked = found.select("vec_id", F.struct((-F.col("score")).alias("score"), "neighbour_id").alias("found")).groupBy("vec_id").agg(_best(k).alias("top"))
+    return ranked.select("vec_id", F.posexplode("top").alias("p", "t")).select("vec_id", "t.neighbour_id", (F.col("p") + 1).cast("int").alias("rank"), (-F.col("t.score")).alias("score"))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(table(spark, sf_dir, "embeddings"))
+    """Every vector whose id is divisible by 100, against all vectors."""
+    return neighbours(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0)
 
 
 QUERIES = {"op2_nearest_neighbours": op2_nearest_neighbours}
