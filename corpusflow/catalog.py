@@ -281,6 +281,12 @@ def index_page(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.documents(spark, d).select("doc_id", T.looks_like_index("text").alias("listed"), T.is_chapter_link(F.substring("text", 1, 12)).alias("chapter"))
 
 
+def _agrees(x: str, y: str) -> str:
+    """Whether two texts of which _normal() is x and y share enough."""
+    a, b = _grams(x), _grams(y)
+    return f"(least(len({a}), len({b})) = 0 OR len(list_intersect({a}, {b})) / CAST(least(len({a}), len({b})) AS DOUBLE) >= 5e-2)"
+
+
 def _valid(t: str, least: str = "5e-1") -> str:
     """Whether text t, never null, passes without a keyword or baseline."""
     s, c = _strip(t), _curve(t)
@@ -293,15 +299,15 @@ _PAIR = f"d AS (SELECT doc_id, text, substr(text, 100) AS base FROM docs)"
 
 @query("validate_gate", f"""WITH {_with('docs')}, {_PAIR}, c AS (SELECT *, {_completeness(_strip('text'))} AS full_, {_curve('text')} AS curve FROM d),
     m AS MATERIALIZED (SELECT *, {_normal('text')} AS x, {_normal('base')} AS y FROM c), g AS (SELECT *, {_grams('x')} AS a, {_grams('y')} AS b FROM m),
-    e AS (SELECT doc_id, full_, CASE WHEN length(text) >= 200 AND length(base) >= 200 THEN CASE WHEN least(len(a), len(b)) = 0 THEN 1e0 ELSE len(list_intersect(a, b)) / CAST(least(len(a), len(b)) AS DOUBLE) END END AS same,
+    e AS (SELECT doc_id, full_, curve, CASE WHEN length(text) >= 200 AND length(base) >= 200 THEN CASE WHEN least(len(a), len(b)) = 0 THEN 1e0 ELSE len(list_intersect(a, b)) / CAST(least(len(a), len(b)) AS DOUBLE) END END AS same,
         [CASE WHEN full_ < 3e-1 THEN 'completeness' END, CASE WHEN NOT contains(lower(text), '三体') THEN 'keyword' END,
          CASE WHEN len(curve) >= 5 AND curve[1] > 0 AND curve[5] / curve[1] < 3e-1 THEN 'front_heavy' END, CASE WHEN {_has('substr(text, 1, 2000)', _PUA)} THEN 'font_encryption' END,
          CASE WHEN {_words('lower(substr(text, 1, 500))', rules.BOILERPLATE)} >= 3 THEN 'boilerplate' END,
          CASE WHEN {_count('substr(text, 1, 2000)', '[' + chr(92) + 'x{4E00}-' + chr(92) + 'x{9FFF}]')} / CAST(length(substr(text, 1, 2000)) AS DOUBLE) < 5e-2 AND length(text) > 500 THEN 'language' END,
          CASE WHEN length({_sub('text', chr(92) + 's', '')}) < 100 THEN 'too_short' END] AS f FROM g),
-    r AS (SELECT doc_id, full_, same, list_filter(list_append(f, CASE WHEN same < 5e-2 THEN 'inconsistent' END), lambda x: x IS NOT NULL) AS f FROM e)
+    r AS (SELECT doc_id, full_, same, curve, list_filter(list_append(f, CASE WHEN same < 5e-2 THEN 'inconsistent' END), lambda x: x IS NOT NULL) AS f FROM e)
     SELECT doc_id, len(f) = 0 AS passes, CAST(len(f) AS INTEGER) AS failed,
-        CAST(NOT list_contains(f, 'completeness') AS INTEGER) + CAST(NOT list_contains(f, 'keyword') AS INTEGER) + CAST(NOT list_contains(f, 'too_short') AS INTEGER) + CAST(coalesce(same >= 5e-2, false) AS INTEGER) AS passed,
+        CAST(NOT list_contains(f, 'completeness') AS INTEGER) + CAST(NOT list_contains(f, 'keyword') AS INTEGER) + CAST(len(curve) > 0 AND NOT list_contains(f, 'front_heavy') AS INTEGER) + CAST(coalesce(same >= 5e-2, false) AS INTEGER) AS passed,
         array_to_string(f, ',') AS checks, {_int('full_')} AS completeness, {_int('same')} AS consistency FROM r""")
 def validate_gate(spark: SparkSession, d: str) -> DataFrame:
     rows = fixtures.documents(spark, d).select("doc_id", "text", F.substr("text", F.lit(100)).alias("base"))
@@ -362,7 +368,8 @@ _JUDGED = f"""@source@, g AS (SELECT *, length(text) > ([50, 100, 0, 100, 200, 5
     e AS (SELECT *, coalesce(max(CASE WHEN good THEN own END) OVER (PARTITION BY query_id, url_rank ORDER BY stage_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= @least@, false) AS enough FROM c),
     b AS (SELECT *, coalesce(max(CASE WHEN stage_index = 2 THEN CAST(NOT enough AS INTEGER) END) OVER (PARTITION BY query_id, url_rank), 0) = 1 AS opened, stage_index IN (1, 2) AND enough AS skipped FROM e),
     j AS (SELECT *, good AND NOT skipped AND (stage_index < 3 OR opened) AS effective FROM b),
-    v AS (SELECT *, effective AND {_valid('text', '@least@')} AS passes, dense_rank() OVER (PARTITION BY query_id ORDER BY url_rank) AS nth FROM j),
+    l AS MATERIALIZED (SELECT *, {_normal('text')} AS nx, {_normal('preview')} AS ny FROM j),
+    v AS (SELECT * EXCLUDE (nx, ny), effective AND {_valid('text', '@least@')} AND (length(text) < 200 OR length(preview) < 200 OR {_agrees('nx', 'ny')}) AS passes, dense_rank() OVER (PARTITION BY query_id ORDER BY url_rank) AS nth FROM l),
     x AS (SELECT *, coalesce(sum(CAST(passes AND own >= @least@ AS INTEGER)) OVER (PARTITION BY query_id ORDER BY url_rank, stage_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM v WHERE nth <= 3),
     r AS (SELECT * FROM x WHERE ended = 0)"""
 _CHAIN = f"""w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (passes AND own > 0) DESC, (effective AND own > 0) DESC, own DESC, url_rank, stage_index) AS p,
@@ -447,22 +454,38 @@ def multi_pass(spark: SparkSession, d: str) -> DataFrame:
     return select.passes_until(rows, 0.45).select("key", T.scaled(F.col("score")).alias("score"), "passes", "text")
 
 
-@query("run_pipeline", f"""WITH {_MERGED}, {_with("docs")}, pv AS ({_VERDICT.replace("@from@", "top")}),
-    pa AS (SELECT DISTINCT url, CAST(hash_ AS BIGINT) AS h FROM (SELECT url, ascii(right(url, 1)) * 7 + length(url) AS hash_ FROM top)),
-    pc AS (SELECT query_id, pv.rank AS pos, url, {_strip("text")} AS t FROM pv JOIN pa USING (url) JOIN docs ON doc_id = h WHERE is_content OR type = 'novel_index'),
+def _run_sql(keywords: str, quality: str, word: str) -> str:
+    """Every document is a text of one address and stage: by doc_id modulo seven times the number of addresses."""
+    judged = _staged(_JUDGED).replace(_with("stages"), "")
+    return f"""WITH {_MERGED}, {_with("docs")}, pv AS ({_VERDICT.replace("@from@", "top")}),
+    pa AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS r, count(*) OVER () AS m FROM (SELECT DISTINCT url FROM serp)),
+    pd AS (SELECT url, doc_id, text, CAST(doc_id % (7 * m) % 7 AS INTEGER) AS i FROM docs JOIN pa ON doc_id % (7 * m) // 7 = r),
+    pp AS (SELECT url, arg_min(text, doc_id) AS preview FROM pd GROUP BY 1), po AS (SELECT url, i, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM pd GROUP BY 1, 2),
+    pc AS (SELECT query_id, pv.rank AS pos, url, preview, {_strip("preview")} AS t{keywords} FROM pv JOIN pp USING (url) WHERE is_content OR type = 'novel_index'),
     ps AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, url) AS n FROM pc QUALIFY n <= 10), pk AS ({_typed("ps")}),
-    pq AS (SELECT *, {_quality()} - CASE WHEN kind = 'novel_index' THEN 3e-1 ELSE 0e0 END AS quality FROM pk WHERE length(t) >= 50),
-    pw AS (SELECT query_id, url, CAST(row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, n) AS INTEGER) AS url_rank FROM pq WHERE quality > 0 QUALIFY url_rank <= 3),
-    stages AS (SELECT query_id, url_rank, url, CAST(i AS INTEGER) AS stage_index, 'stage' || i AS stage_name, text FROM pw JOIN pa USING (url), range(7) r(i) JOIN docs ON doc_id = h + i)
-    {_staged(_JUDGED).replace(_with("stages"), "")}, {_staged(_CHAIN)}""")
-def run_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    pq AS (SELECT *, {quality} - CASE WHEN kind = 'novel_index' THEN 3e-1 ELSE 0e0 END AS quality FROM pk WHERE length(t) >= 50),
+    pf AS (SELECT *, {"coalesce(sum(CAST(quality >= 7e-1 AND " + word + " AS INTEGER)) OVER (PARTITION BY query_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)" if word else "0"} AS stopped FROM pq WHERE quality > 0),
+    pw AS (SELECT * EXCLUDE (rank), CAST(row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, n) AS INTEGER) AS url_rank FROM (SELECT *, 0 AS rank FROM pf) WHERE stopped = 0 QUALIFY url_rank <= 3),
+    stages AS (SELECT query_id, url_rank, url, i AS stage_index, 'stage' || i AS stage_name, text, substr(preview, 1, 2000) AS preview{", keyword" if keywords else ""} FROM pw JOIN po USING (url))
+    {judged}, {_staged(_CHAIN)}"""
+
+
+def _run(spark: SparkSession, d: str, keywords: DataFrame | None = None) -> DataFrame:
     results, docs = fixtures.serp(spark, d), fixtures.documents(spark, d)
-    h = (F.ascii(F.right("url", F.lit(1))) * 7 + F.length("url")).cast("bigint").alias("h")
-    urls = results.select("url").distinct().select("url", h)
-    previews = urls.join(docs, F.col("h") == F.col("doc_id")).select("url", F.col("text").alias("preview"))
-    stages = urls.select("url", "h", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")).join(docs, F.col("h") + F.col("i") == F.col("doc_id"))
-    stages = stages.select("url", F.col("i").alias("stage_index"), F.concat(F.lit("stage"), F.col("i").cast("string")).alias("stage_name"), "text")
-    return pipeline.run(results, previews, stages, pipeline.Config(min_completeness=0.3)).withColumn("completeness", T.scaled(F.col("completeness")))
+    urls = results.select("url").distinct()
+    m = urls.count()
+    # the addresses are few (a hundred whatever the scale), so one task may number them
+    numbered = urls.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("url")) - 1)
+    texts = docs.withColumn("i", (F.col("doc_id") % (7 * m) % 7).cast("int")).join(numbered, F.floor(F.col("doc_id") % (7 * m) / 7) == F.col("r"))
+    previews = texts.groupBy("url").agg(F.min_by("text", "doc_id").alias("preview"))
+    stages = texts.groupBy("url", F.col("i").alias("stage_index")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    stages = stages.select("url", "stage_index", F.concat(F.lit("stage"), F.col("stage_index").cast("string")).alias("stage_name"), F.array_join("t.text", "\n").alias("text"))
+    return pipeline.run(results, previews, stages, pipeline.Config(min_completeness=0.3), keywords).withColumn("completeness", T.scaled(F.col("completeness")))
+
+
+@query("run_pipeline", _run_sql("", _quality(), ""))
+def run_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d)
 
 
 _LINK = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>" + "(.*?)</a>"

@@ -8,7 +8,7 @@ from operator import add, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusflow.functions import rules, rx
+from corpusflow.functions import rules, rx, scoring
 from corpusflow.functions import text as T
 from corpusflow.functions.text import col
 
@@ -64,78 +64,19 @@ def is_likely_content(url: Column | str) -> Column:
 
 def content_type(text: Column | str) -> Column:
     """struct(type, score): the signature with the highest positive score, the earlier one at ties; else unknown, 0."""
-    t = col(text)
-
-    def score(s: rules.Signature) -> Column:
-        must = [rx.found(t, p).cast("int") * w for p, w in s.must]
-        some = reduce(or_, [rx.found(t, p) for p, _ in s.must])
-        total = reduce(add, must + [rx.found(t, p).cast("int") * w for p, w in s.others])
-        return F.when(some & (F.length(t) >= s.least), total).otherwise(0)
-
-    rows = F.array(*[F.struct(score(s).alias("score"), F.lit(-k).alias("order"), F.lit(s.kind).alias("type")) for k, s in enumerate(rules.SIGNATURES)])
-    named = lambda best: F.struct(F.when(best["score"] > 0, best["type"]).otherwise("unknown").alias("type"), F.greatest(best["score"], F.lit(0)).alias("score"))
-    return T.let(F.array_max(rows), named)
-
-
-def match_keywords(text: Column | str, keyword: str) -> Column:
-    """struct(hits, density, head_bonus, matches, positions): words of two or more characters, as substrings where half
-    of a word is CJK, else not inside longer runs of Latin letters. Density: hits per 100 characters."""
-    t = F.coalesce(col(text), F.lit(""))
-    low = F.lower(t)
-    hits, places, names = [], [], []
-    for word in dict.fromkeys(w for w in keyword.split() if len(w) >= 2):
-        cjk = sum("一" <= c <= "鿿" for c in word) >= len(word) * 0.5
-        literal = rx.either([word.lower()])
-        pattern = literal if cjk else f"(?<![a-zA-Z])(?:{literal})(?![a-zA-Z])"
-        times = sum(w == word for w in keyword.split())
-        hits.append(F.regexp_count(low, F.lit(pattern)) * times)
-        # the position of the first hit: what precedes it, by cutting at it once
-        place = F.length(F.split(low, pattern, 2)[0])
-        places.append(F.when(F.rlike(low, F.lit(pattern)), place))
-        names.append(F.when(F.rlike(low, F.lit(pattern)), F.lit(word)))
-    if not hits:
-        hits, places, names = [F.lit(0)], [F.lit(None).cast("int")], [F.lit(None).cast("string")]
-    n = F.greatest(F.length(t), F.lit(1))
-    total = reduce(add, hits)
-    first = F.array_min(F.array(*places))
-    return F.struct(
-        total.cast("int").alias("hits"), (total / (n / F.lit(100.0))).alias("density"), F.coalesce(first < n * 0.2, F.lit(False)).alias("head_bonus"),
-        F.array_compact(F.array(*names)).alias("matches"), F.slice(F.array_compact(F.array(*places)), 1, 5).alias("positions"),
-    )
-
-
-def score_content(text: Column | str, keyword: str | None = None) -> Column:
+    return scoring.content_type_of(col(text))
+
+
+def match_keywords(text: Column | str, keyword: Column | str) -> Column:
+    """struct(hits, density, head_bonus, matches, positions) of the words of keyword, which may be a column."""
+    return scoring.match_of(col(text), scoring.keyword_column(keyword))
+
+
+def score_content(text: Column | str, keyword: Column | str | None = None) -> Column:
     """struct(quality, type, type_confidence, dense, index_page, keyword_density, keyword_head_bonus). Texts of under
-    50 characters are empty. dense and index_page are the signals of walls and of tables of contents."""
-    return T.let(rx.strip(F.coalesce(col(text), F.lit(""))), lambda t: T.let(content_type(t), lambda kind: _scored(t, kind, keyword)))
-
-
-def _scored(t: Column, kind: Column, keyword: str | None) -> Column:
-    n = F.length(t)
-    paragraphs, sentences = rx.count(t, r"\n\s*\n"), F.regexp_count(t, F.lit(r"[。！？.!?\n]"))
-    match = match_keywords(t, keyword) if keyword else F.struct(F.lit(0.0).alias("density"), F.lit(False).alias("head_bonus"))
-    parts = F.struct(paragraphs.alias("p"), sentences.alias("s"), T.boilerplate_hits(F.substring(t, 1, 500)).alias("w"), match["density"].alias("density"), match["head_bonus"].alias("head"))
-
-    def finish(c: Column) -> Column:
-        quality = (
-            F.when(n >= 2000, 0.35).when(n >= 1000, 0.25).when(n >= 500, 0.15).when(n >= 200, 0.08).otherwise(0.0)
-            + F.when(c["p"] >= 10, 0.20).when(c["p"] >= 5, 0.12).when(c["p"] >= 2, 0.06).otherwise(0.0)
-            + F.when(c["s"] >= 20, 0.15).when(c["s"] >= 5, 0.08).otherwise(0.0)
-            + F.when(c["w"] >= 3, -0.25).when(c["w"] >= 1, -0.10).otherwise(0.0)
-            + F.when(kind["type"] == "novel_index", -0.15).otherwise(0.0)
-        )
-        if keyword:
-            quality = quality + F.when(c["head"], 0.10).otherwise(0.0) + F.least(c["density"] * 8, F.lit(0.15))
-        full = n >= 50
-        return F.struct(
-            F.when(full, F.greatest(F.least(quality, F.lit(1.0)), F.lit(0.0))).otherwise(0.0).alias("quality"),
-            F.when(full, kind["type"]).otherwise("empty").alias("type"),
-            F.when(full, F.least(kind["score"] / F.lit(40.0), F.lit(1.0))).otherwise(0.0).alias("type_confidence"),
-            (full & (c["w"] >= 3)).alias("dense"), (full & (kind["type"] == "novel_index")).alias("index_page"),
-            F.when(full, c["density"]).otherwise(0.0).alias("keyword_density"), (full & c["head"]).alias("keyword_head_bonus"),
-        )
-
-    return T.let(parts, finish)
+    50 characters are empty. dense and index_page are the signals of walls and of tables of contents. keyword may be a
+    column; where it is null or empty there is none."""
+    return scoring.score_of(col(text), scoring.keyword_column(keyword))
 
 
 def detect_captcha(html: Column | str) -> Column:
@@ -153,39 +94,11 @@ def is_streaming_host(url: Column | str) -> Column:
     return F.coalesce(F.rlike(F.try_parse_url(url, F.lit("HOST")), F.lit(f"(?i){rules.STREAMING_HOSTS}")), F.lit(False))
 
 
-def validate(text: Column | str, baseline: Column | str | None = None, keyword: str | None = None, least: float = 0.5, front: float = 0.3) -> Column:
+def validate(text: Column | str, baseline: Column | str | None = None, keyword: Column | str | None = None, least: float = 0.5, front: float = 0.3, full: Column | None = None) -> Column:
     """struct(passes, passed, failed, checks, completeness, consistency): eight checks of an extracted text.
 
-    failed counts all that fail; passed only those of completeness, keyword, length and consistency that hold.
-    checks names the failed ones. A null text is checked as the empty one."""
-    t = F.coalesce(col(text), F.lit(""))
-    same = F.lit(None).cast("double")
-    if baseline is not None:
-        same = F.when((F.length(t) >= 200) & (F.length(baseline) >= 200), T.consistency(t, baseline))
-    known = F.struct(T.completeness(t).alias("full"), T.density_curve(t).alias("curve"), same.alias("same"))
-    return T.let(known, lambda k: _validated(t, k["full"], k["curve"], k["same"], baseline is not None, keyword, least, front))
-
-
-def _validated(t: Column, full: Column, curve: Column, same: Column, compared: bool, keyword: str | None, least: float, front: float) -> Column:
-    visible = F.length(F.regexp_replace(t, rx.WS, ""))
-    bad: list[tuple[str, Column]] = [("completeness", full < least)]
-    good: list[Column] = [full >= least]
-    if keyword:
-        has = F.lower(t).contains(keyword.lower())
-        bad.append(("keyword", ~has))
-        good.append(has)
-    bad.append(("front_heavy", (F.size(curve) >= 5) & (F.get(curve, F.lit(0)) > 0) & (F.try_divide(F.get(curve, F.lit(4)), F.get(curve, F.lit(0))) < front)))
-    bad.append(("font_encryption", T.has_private_use(t)))
-    bad.append(("boilerplate", T.boilerplate_hits(F.substring(t, 1, 500)) >= 3))
-    if keyword and any("一" <= c <= "鿿" for c in keyword[:10]):
-        bad.append(("language", (T.cjk_ratio(F.substring(t, 1, 2000)) < 0.05) & (F.length(t) > 500)))
-    bad.append(("too_short", visible < 100))
-    good.append(visible >= 100)
-    if compared:
-        bad.append(("inconsistent", F.coalesce(same < 0.05, F.lit(False))))
-        good.append(F.coalesce(same >= 0.05, F.lit(False)))
-    failing = [F.coalesce(c, F.lit(False)) for _, c in bad]
-    return F.struct(
-        (~reduce(or_, failing)).alias("passes"), reduce(add, [g.cast("int") for g in good]).alias("passed"), reduce(add, [f.cast("int") for f in failing]).alias("failed"),
-        F.array_compact(F.array(*[F.when(f, F.lit(name)) for f, (name, _) in zip(failing, bad)])).alias("checks"), full.alias("completeness"), same.alias("consistency"),
-    )
+    failed counts all that fail; passed only those of completeness, keyword, density curve and consistency that hold.
+    checks names the failed ones. A null text is checked as the empty one. full is the text's completeness if it is
+    known already; keyword may be a column."""
+    none = F.lit(None)
+    return scoring.verdict_of(col(text), none.cast("string") if baseline is None else col(baseline), scoring.keyword_column(keyword), F.lit(float(least)), F.lit(float(front)), none.cast("double") if full is None else full)

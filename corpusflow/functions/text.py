@@ -9,7 +9,7 @@ from operator import add, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusflow.functions import rules, rx
+from corpusflow.functions import rules, rx, scoring
 
 
 def col(c: Column | str) -> Column:
@@ -77,32 +77,7 @@ def strip_reader_header(text: Column | str) -> Column:
 
 def completeness(text: Column | str) -> Column:
     """How complete an article a text looks, 0 to 0.93; texts of under 100 characters score 0. Null scores 0."""
-    return let(rx.strip(F.coalesce(col(text), F.lit(""))), lambda t: F.when(F.length(t) < 100, 0.0).otherwise(_completeness(t)))
-
-
-def _completeness(t: Column) -> Column:
-    n = F.length(t)
-    top = F.substring(t, 1, 800)
-    counts = let(
-        F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(rx.NOT_WS))),
-        lambda lines: F.struct(F.greatest(F.size(lines), F.lit(1)).alias("rows"), F.size(F.filter(lines, lambda x: F.length(x) > 80)).cast("double").alias("long")),
-    )
-    skeleton = holds(top, rules.SKELETON) + F.rlike(top, F.lit("(?i)loading")).cast("int")
-    by_lines = let(
-        counts,
-        lambda c: F.struct(F.least(rx.count(t, r"[。！？.!?\n]").cast("double") / c["rows"], F.lit(1.0)).alias("sentences"), F.least(c["long"] / c["rows"] * 2, F.lit(1.0)).alias("long")),
-    )
-    total = lambda c: (
-        F.least(n / F.lit(5000.0), F.lit(1.0)) * 0.30
-        + F.least(rx.count(t, r"\n\s*\n") / F.lit(15.0), F.lit(1.0)) * 0.20
-        + c["sentences"] * 0.15
-        + c["long"] * 0.10
-        - F.least(holds(F.lower(top), rules.BOILERPLATE) * 0.04 + skeleton * 0.06, F.lit(0.25))
-        + F.least(F.size(F.array_distinct(chars(t))).cast("double") / F.greatest(n, F.lit(1)) * 5, F.lit(1.0)) * 0.10
-        + F.when(F.rlike(t, F.lit("[│┌├└─|]")), 0.05).otherwise(0.0)
-        + F.when(rx.found(t, r"^\s*[-*]\s", lines=True), 0.03).otherwise(0.0)
-    )
-    return let(by_lines, lambda c: F.greatest(F.least(total(c), F.lit(1.0)), F.lit(0.0)))
+    return scoring.completeness_of(col(text))
 
 
 def is_complete(text: Column | str, least: float = 0.5) -> Column:
@@ -142,18 +117,10 @@ def looks_like_code(text: Column | str) -> Column:
     return reduce(or_, [col(text).contains(m) for m in rules.CODE_MARKS])
 
 
-def _trigrams(text: Column | str) -> Column:
-    # by index into the characters: substring would walk the string for each
-    grams = lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
-    return F.array_distinct(let(chars(F.substring(F.regexp_replace(F.lower(text), rx.WS, ""), 1, 4000)), grams))
-
-
 def consistency(one: Column | str, two: Column | str) -> Column:
     """Shared share of the smaller set of character trigrams (lowered, without white space, 4000 characters at most);
     1 if either has none."""
-    sets = F.struct(_trigrams(one).alias("a"), _trigrams(two).alias("b"))
-    least = lambda s: F.least(F.size(s["a"]), F.size(s["b"]))
-    return let(sets, lambda s: F.when(least(s) == 0, 1.0).otherwise(F.size(F.array_intersect(s["a"], s["b"])) / least(s)))
+    return scoring.consistency_of(col(one), col(two))
 
 
 def looks_like_index(text: Column | str) -> Column:
@@ -175,8 +142,8 @@ def is_chapter_link(label: Column | str) -> Column:
 
 def cn_number(text: Column | str) -> Column:
     """A Chinese numeral as an integer: digits as they are, else units by accumulation up to the first other
-    character; 1 if that gives nothing."""
-    t = col(text)
+    character; 1 if that gives nothing. White space around it doesn't count."""
+    t = rx.strip(col(text))
     digit = F.create_map(*[x for c, v in rules.NUMERALS.items() for x in (F.lit(c), F.lit(v))])
     unit = F.create_map(*[x for c, v in rules.UNITS.items() for x in (F.lit(c), F.lit(v))])
 

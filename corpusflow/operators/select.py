@@ -13,39 +13,59 @@ from corpusflow.functions import text as T
 STAGE_LEAST = (50, 100, 0, 100, 200, 50, 50)
 
 
-def verify(candidates: DataFrame, keyword: str | None = None, most: int = 10, least: int = 50, early: bool = True, keyword_required: bool = False) -> DataFrame:
+def _given(rows: DataFrame, keyword: Column | str | None) -> Column | str | None:
+    """The keyword given for all rows, else the rows' own column `keyword`, if they have one."""
+    return F.col("keyword") if keyword is None and "keyword" in rows.columns else keyword
+
+
+def verify(candidates: DataFrame, keyword: Column | str | None = None, most: int = 10, least: int = 50, early: bool = True, keyword_required: bool = False) -> DataFrame:
     """Ranked candidates of (query_id, pos, url, preview): position, quality, type and rank.
 
     Of the first `most` by pos, previews of under `least` visible characters go; a table of contents loses 0.3 of its
-    quality; what has none left goes, and without a hit of the keyword too if that is required. With early, the scan
-    ends after the first of quality 0.7 whose head has the keyword. rank: by quality, then pos.
+    quality; what has none left goes, and without a hit of its keyword too if that is required. With early, the scan
+    ends after the first of quality 0.7 whose head has the keyword. rank: by quality, then pos. Without `keyword` each
+    row's own column of that name counts, if there is one.
     """
     order = Window.partitionBy("query_id").orderBy("pos", "url")
-    score = C.score_content(F.col("preview"), keyword)
+    word = _given(candidates, keyword)
     rows = candidates.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).where(F.length(rx.strip(F.col("preview"))) >= least)
-    rows = rows.withColumn("score", score)
+    rows = rows.withColumn("score", C.score_content(F.col("preview"), word))
+    if keyword_required and word is not None:
+        word = F.coalesce(word if isinstance(word, Column) else F.lit(word), F.lit(""))
+        rows = rows.where((F.col("score.keyword_density") > 0) | (word == ""))
     quality = F.col("score.quality") - F.when(F.col("score.type") == "novel_index", 0.30).otherwise(0.0)
-    rows = rows.select("query_id", "pos", "url", "n", quality.alias("quality"), F.col("score.type").alias("type"), F.col("score.keyword_density").alias("density"), F.col("score.keyword_head_bonus").alias("head"))
-    if keyword_required and keyword:
-        rows = rows.where(F.col("density") > 0)
+    rows = rows.select("query_id", "pos", "url", "n", quality.alias("quality"), F.col("score.type").alias("type"), F.col("score.keyword_head_bonus").alias("head"))
     rows = rows.where(F.col("quality") > 0)
     if early:
         stop = ((F.col("quality") >= 0.7) & F.col("head")).cast("int")
         before = Window.partitionBy("query_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("stopped", F.coalesce(F.sum(stop).over(before), F.lit(0))).where("stopped = 0").drop("stopped")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("quality"), "n"))).drop("n", "head", "density")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("quality"), "n"))).drop("n", "head")
+
 
+def content_verdict(verified: DataFrame) -> DataFrame:
+    """(query_id, top_score, top_type): of the first candidate of each query that verify() leaves."""
+    return verified.where("rank = 1").select("query_id", F.col("quality").alias("top_score"), F.col("type").alias("top_type"))
 
-def judged(outputs: DataFrame, keyword: str | None = None, least: float = 0.5, browser: bool = True) -> DataFrame:
+
+def judged(outputs: DataFrame, keyword: Column | str | None = None, least: float = 0.5, browser: bool = True, most_urls: int | None = None) -> DataFrame:
     """(query_id, url_rank, url, stage_index, stage_name, text) with completeness, effective, passes and stop.
 
     A stage counts if its text is long enough and isn't in a hidden font (stage 0), and it isn't skipped: stages 1
     and 2 are when an earlier stage of the address is complete enough, and 3 to 6 need the browser that stage 2 opens.
+    A column `preview` is what the address showed before, with which a text must agree; a column `keyword` is the row's
+    own one, unless one is given for all. Only the first most_urls addresses of a query are scored, and only texts that
+    count are validated.
     """
+    word = _given(outputs, keyword)
+    if most_urls is not None:
+        rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("url_rank"))
+        outputs = outputs.withColumn("nth", rank).where(F.col("nth") <= most_urls).drop("nth")
     text = F.coalesce(F.col("text"), F.lit(""))
     need = F.element_at(F.array(*[F.lit(n) for n in STAGE_LEAST]), F.least(F.col("stage_index"), F.lit(6)) + 1)
     long_enough = (F.length(text) > need) & ~((F.col("stage_index") == 0) & T.has_private_use(text))
-    rows = outputs.withColumn("own", F.when(long_enough, T.completeness(text)).otherwise(0.0)).withColumn("good", long_enough)
+    rows = outputs.withColumn("good", long_enough)
+    rows = rows.withColumn("own", T.completeness(F.when(F.col("good"), F.col("text"))))
     here = Window.partitionBy("query_id", "url_rank").orderBy("stage_index").rowsBetween(Window.unboundedPreceding, -1)
     enough = F.coalesce(F.max(F.when(F.col("good"), F.col("own"))).over(here) >= least, F.lit(False))
     rows = rows.withColumn("enough", enough)
@@ -55,23 +75,24 @@ def judged(outputs: DataFrame, keyword: str | None = None, least: float = 0.5, b
     skipped = F.col("stage_index").isin(1, 2) & F.col("enough")
     effective = F.col("good") & ~skipped & ((F.col("stage_index") < 3) | F.col("opened"))
     rows = rows.withColumn("skipped", skipped).withColumn("effective", effective)
-    passes = F.col("effective") & C.validate(F.col("text"), None, keyword, least)["passes"]
-    return rows.withColumn("passes", passes).withColumn("stop", F.col("passes") & (F.col("own") >= least)).withColumnRenamed("own", "completeness").drop("good", "enough", "opened")
+    only = lambda c: F.when(F.col("effective"), F.col(c))
+    valid = C.validate(only("text"), only("preview") if "preview" in rows.columns else None, word, least, full=F.col("own"))["passes"]
+    rows = rows.withColumn("passes", F.col("effective") & valid)
+    return rows.withColumn("stop", F.col("passes") & (F.col("own") >= least)).withColumnRenamed("own", "completeness").drop("good", "enough", "opened")
 
 
-def executed(rows: DataFrame, most_urls: int = 3) -> DataFrame:
-    """The stages that run: of the first addresses of a query, up to and with the first that stops."""
+def executed(rows: DataFrame) -> DataFrame:
+    """The stages that run: of each query up to and with the first that stops."""
     before = Window.partitionBy("query_id").orderBy("url_rank", "stage_index").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("url_rank"))
-    rows = rows.withColumn("nth", rank).where(F.col("nth") <= most_urls).drop("nth")
     return rows.withColumn("ended", F.coalesce(F.sum(F.col("stop").cast("int")).over(before), F.lit(0))).where("ended = 0").drop("ended")
 
 
-def chain(outputs: DataFrame, keyword: str | None = None, least: float = 0.5, most_urls: int = 3, browser: bool = True) -> DataFrame:
+def chain(outputs: DataFrame, keyword: Column | str | None = None, least: float = 0.5, most_urls: int = 3, browser: bool = True) -> DataFrame:
     """One row per query: the winner among passing texts, else the most complete one as best effort.
 
-    (query_id, url, winning_stage, text, completeness, success, result, attempted, succeeded)."""
-    rows = executed(judged(outputs, keyword, least, browser), most_urls)
+    (query_id, url, winning_stage, text, completeness, success, result, attempted, succeeded). Columns `preview` and
+    `keyword` of outputs as in judged()."""
+    rows = executed(judged(outputs, keyword, least, browser, most_urls))
     key = F.struct("completeness", (-F.col("url_rank")).alias("u"), (-F.col("stage_index")).alias("s"), "url", "stage_name", "text")
     best = F.max(F.when(F.col("passes") & (F.col("completeness") > 0), key))
     fallback = F.max(F.when(F.col("effective") & (F.col("completeness") > 0), key))
@@ -84,9 +105,9 @@ def chain(outputs: DataFrame, keyword: str | None = None, least: float = 0.5, mo
     )
 
 
-def failures(outputs: DataFrame, keyword: str | None = None, least: float = 0.5, most_urls: int = 3) -> DataFrame:
+def failures(outputs: DataFrame, keyword: Column | str | None = None, least: float = 0.5, most_urls: int = 3) -> DataFrame:
     """(query_id, url_rank, url, attempted, best_completeness): addresses after which there was still no valid text."""
-    rows = executed(judged(outputs, keyword, least), most_urls)
+    rows = executed(judged(outputs, keyword, least, most_urls=most_urls))
     per = rows.groupBy("query_id", "url_rank", "url").agg(F.count(F.lit(1)).alias("attempted"), F.max(F.when(F.col("effective"), F.col("completeness")).otherwise(0.0)).alias("best_completeness"), F.count_if(F.col("passes") & (F.col("completeness") > 0)).alias("ok"))
     upto = Window.partitionBy("query_id").orderBy("url_rank").rowsBetween(Window.unboundedPreceding, 0)
     return per.withColumn("found", F.sum("ok").over(upto)).where("found = 0").drop("found", "ok")
@@ -110,6 +131,23 @@ def pick_layer(layers: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("r = 1").drop("r", "n", "place")
 
 
+def first_layer(layers: DataFrame) -> DataFrame:
+    """(key, layer, text, pos) → (key, layer, text): of each key the first text of over 50 visible characters, by layers
+    1, 3, 6, 2, 4, 5, then pos, stripped. No row if there's none."""
+    place = F.array_position(F.array(*[F.lit(k) for k in (1, 3, 6, 2, 4, 5)]), F.col("layer"))
+    rows = layers.select("key", "layer", rx.strip(F.col("text")).alias("text"), "pos", place.alias("place")).where((F.col("place") > 0) & (F.length("text") > 50))
+    return rows.groupBy("key").agg(F.min_by(F.struct("layer", "text"), F.struct("place", "pos")).alias("b")).select("key", "b.layer", "b.text")
+
+
+def quick_or_full(layers: DataFrame) -> DataFrame:
+    """The layered extraction without stages: a first layer that is complete ends it, and its text is taken; else all
+    layers compete as in pick_layer(). (key, layer, text, tier), tier 0 for an early end."""
+    early = layers.where((F.col("layer") == 1) & T.is_complete(F.col("text"))).groupBy("key").agg(F.min_by("text", "pos").alias("text"))
+    ended = early.select("key", F.lit(1).alias("layer"), rx.strip(F.col("text")).alias("text"), F.lit(0).alias("tier"))
+    rest = pick_layer(layers.join(early.select("key"), "key", "left_anti")).select("key", "layer", rx.strip(F.col("text")).alias("text"), "tier")
+    return ended.unionByName(rest)
+
+
 def layer_confidence(layer: Column, text: Column) -> Column:
     return F.when(layer == 1, F.when(T.completeness(text) >= 0.5, 0.9).otherwise(0.3)).when(layer == 2, F.when(F.length(text) > 50, 0.7).otherwise(0.4)).when(layer == 3, 0.8).when(layer == 4, 0.5).when(layer == 5, 0.6).otherwise(0.75)
 
@@ -139,10 +177,14 @@ def frame_batches(frames: DataFrame, size: int = 4) -> DataFrame:
 
 
 def heap_string(strings: DataFrame) -> DataFrame:
-    """(key, pos, text) → of the five longest strings of a key the first of 200 characters that isn't configuration,
-    keys, an image or markup."""
+    """(key, pos, text) → of the five longest strings of a key the first of 200 characters that isn't configuration
+    (an object with "version" or "disable" near its start), a key file ("encryptAttrs" or "events" near it, or a long
+    text that starts PG) or markup (starts < and closes a tag)."""
     rows = strings.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.length("text")), "pos"))).where("r <= 5")
-    junk = F.rlike("text", F.lit(r"\A\s*[\{\[]\s*\"|encryptAttrs|\APG|\A\s*<"))
+    near = lambda word, n: F.substring("text", 1, n).contains(word)
+    start, text = rx.strip(F.col("text")), F.col("text")
+    junk = (start.startswith("{") & (near('"version"', 200) | near('"disable"', 500))) | near('"encryptAttrs"', 500) | near('"events"', 500)
+    junk = junk | (start.startswith("PG") & (F.length(text) > 500)) | (start.startswith("<") & (text.contains("</") | text.contains("/>")))
     rows = rows.where((F.length("text") >= 200) & ~junk)
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("r"))).where("k = 1").drop("k", "r")
 

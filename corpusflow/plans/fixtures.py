@@ -83,11 +83,16 @@ def serp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, url_rank, url, stage_index, stage_name, text): documents 21 to a query, seven stages to an address."""
+    """(query_id, url_rank, url, stage_index, stage_name, text, preview): documents 21 to a query, seven stages to an
+    address, whose preview is its first document's beginning."""
+    from pyspark.sql import Window
+
     i = F.col("doc_id")
-    return documents(spark, sf_dir).select(
-        F.floor(i / 21).alias("query_id"), (F.floor(i % 21 / 7)).cast("int").alias("url_rank"), F.concat(F.lit("https://u.example/"), F.floor(i / 7).cast("string")).alias("url"),
-        (i % 7).cast("int").alias("stage_index"), F.concat(F.lit("stage"), (i % 7).cast("string")).alias("stage_name"), "text",
+    first = F.first("text").over(Window.partitionBy("url").orderBy("doc_id"))
+    rows = documents(spark, sf_dir).withColumn("url", F.concat(F.lit("https://u.example/"), F.floor(i / 7).cast("string")))
+    return rows.select(
+        F.floor(i / 21).alias("query_id"), (F.floor(i % 21 / 7)).cast("int").alias("url_rank"), "url", (i % 7).cast("int").alias("stage_index"),
+        F.concat(F.lit("stage"), (i % 7).cast("string")).alias("stage_name"), "text", F.substring(first, 1, 2000).alias("preview"),
     )
 
 
@@ -107,5 +112,6 @@ SQL = {
     "serp": f"""SELECT query_id, backend, ascii(backend) AS backend_pos, row_number() OVER (PARTITION BY query_id, backend ORDER BY ts, event_id) - 1 AS rank,
         CASE WHEN k % 4 = 0 THEN ({_list(URLS)})[k % 24 + 1] ELSE 'https://site.example/' || k END AS url
         FROM (SELECT user_id % 50 AS query_id, event_type AS backend, ts, event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events)""",
-    "stages": "SELECT doc_id // 21 AS query_id, CAST(doc_id % 21 // 7 AS INTEGER) AS url_rank, 'https://u.example/' || (doc_id // 7) AS url, CAST(doc_id % 7 AS INTEGER) AS stage_index, 'stage' || (doc_id % 7) AS stage_name, text FROM docs",
+    "stages": """SELECT doc_id // 21 AS query_id, CAST(doc_id % 21 // 7 AS INTEGER) AS url_rank, 'https://u.example/' || (doc_id // 7) AS url, CAST(doc_id % 7 AS INTEGER) AS stage_index, 'stage' || (doc_id % 7) AS stage_name, text,
+        substr(first_value(text) OVER (PARTITION BY doc_id // 7 ORDER BY doc_id), 1, 2000) AS preview FROM docs""",
 }

@@ -21,16 +21,21 @@ class Config:
     early_stop: bool = True
 
 
-def run(results: DataFrame, previews: DataFrame, outputs: DataFrame, config: Config = Config()) -> DataFrame:
+def run(results: DataFrame, previews: DataFrame, outputs: DataFrame, config: Config = Config(), keywords: DataFrame | None = None) -> DataFrame:
     """One row per query that has a candidate.
 
     results: (query_id, backend, backend_pos, rank, url); previews: (url, preview); outputs: (url, stage_index,
-    stage_name, text). Addresses are merged, ranked and filtered before any text is read; what remains of a query
-    meets its texts by address and then stays with the query.
+    stage_name, text); keywords: (query_id, keyword) of queries that have one of their own, else config.keyword is
+    everyone's. Addresses are merged, ranked and filtered before any text is read; what remains of a query meets its
+    texts by address and then stays with the query. A text must agree with the first 2,000 characters of its preview.
     """
     ranked = serp.worth_reading(serp.top(serp.merge(results), config.max_results)).select("query_id", F.col("rank").alias("pos"), "url")
     candidates = ranked.join(previews, "url").select("query_id", "pos", "url", "preview")
+    own = keywords is not None
+    if own:
+        candidates = candidates.join(keywords.select("query_id", "keyword"), "query_id", "left")
     verified = select.verify(candidates, config.keyword, config.max_candidates, config.min_preview, config.early_stop)
     tried = verified.where(F.col("rank") <= config.max_urls).select("query_id", F.col("rank").alias("url_rank"), "url")
-    stages = tried.join(outputs, "url").select("query_id", "url_rank", "url", "stage_index", "stage_name", "text")
+    seen = candidates.select("query_id", "url", F.substring("preview", 1, 2000).alias("preview"), *(["keyword"] if own else []))
+    stages = tried.join(outputs, "url").join(seen, ["query_id", "url"]).select("query_id", "url_rank", "url", "stage_index", "stage_name", "text", "preview", *(["keyword"] if own else []))
     return select.chain(stages, config.keyword, config.min_completeness, config.max_urls)
