@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import classify as C
@@ -36,6 +36,10 @@ def _q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _list_of(values: list[str]) -> str:
+    return "[" + ", ".join(map(_q, values)) + "]"
+
+
 def _p(pattern: str, icase: bool = False, lines: bool = False) -> str:
     flags = ("i" if icase else "") + ("m" if lines else "")
     return _q((f"(?{flags})" if flags else "") + rx.wide(pattern))
@@ -152,12 +156,38 @@ def text_consistency(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.scaled(T.consistency("text", "other")).alias("same"))
 
 
-_NUMBERS = [("十", 10), ("三十五", 35), ("一百二十三", 123), ("一百零五", 105), ("二千三百", 2300), ("零", 1), ("两百", 1), ("42", 42), ("", 1), ("七x八", 7), ("九", 9)]
+#: doc_id in Chinese numerals as far as its thousands, by doc_id % 6 with blanks, a stray character, as digits, or bare
+_DIGITS = ["", *"一二三四五六七八九"]
+_PLACES = [(1000, "千"), (100, "百"), (10, "十"), (1, "")]
+
+
+def _numeral(i: Column) -> Column:
+    digit = lambda k: (F.floor(i / k) % 10).cast("int")
+    spelled = F.concat(*[F.when(digit(k) > 0, F.concat(F.element_at(F.array(*[F.lit(d) for d in _DIGITS]), digit(k) + 1), F.lit(unit))).otherwise("") for k, unit in _PLACES])
+    kinds = [spelled, F.concat(F.lit(" "), spelled, F.lit("　")), F.concat(spelled, F.lit("x九")), F.concat(F.lit(" "), i.cast("string"), F.lit("\n")), F.concat(F.lit("零"), spelled), F.concat(F.lit("十"), spelled)]
+    return F.element_at(F.array(*kinds), (i % 6).cast("int") + 1)
+
+
+_SPELLED = " || ".join(f"CASE WHEN i // {k} % 10 > 0 THEN ({_list_of(_DIGITS)})[i // {k} % 10 + 1] || '{unit}' ELSE '' END" for k, unit in _PLACES)
+_NUMERAL = f"""n AS (SELECT i, ([p, ' ' || p || '　', p || 'x九', ' ' || i || chr(10), '零' || p, '十' || p])[i % 6 + 1] AS numeral FROM (SELECT doc_id AS i, {_SPELLED} AS p FROM (SELECT doc_id, CAST(doc_id AS INTEGER) AS i FROM documents)))"""
+
 
+def _number(t: str) -> str:
+    """The value of a numeral, character by character: total, what stands before the next unit, and whether it goes on."""
+    of = lambda m: "CASE x.c " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in m.items()) + " END"
+    digit, unit = of(rules.NUMERALS), of(rules.UNITS)
+    zero = "{'c': '', 'total': 0, 'last': 0, 'on': true}"
+    step = f"""{{'c': '', 'total': CASE WHEN s.on AND {unit} IS NOT NULL THEN s.total + greatest(s.last, 1) * {unit} ELSE s.total END,
+        'last': CASE WHEN s.on THEN coalesce({digit}, CASE WHEN {unit} IS NOT NULL THEN 0 END, s.last) ELSE s.last END, 'on': s.on AND coalesce({digit}, {unit}) IS NOT NULL}}"""
+    chars = f"list_transform(string_split({t}, ''), lambda c: {{'c': c, 'total': 0, 'last': 0, 'on': true}})"
+    end = f"list_reduce(list_prepend({zero}, {chars}), lambda s, x: {step})"
+    return f"CASE WHEN regexp_matches({t}, '^[0-9]{{1,18}}$') THEN CAST({t} AS BIGINT) ELSE CAST(greatest(({end}).total + ({end}).last, 1) AS BIGINT) END"
 
-@query("cn_numeral", "SELECT * FROM (VALUES " + ", ".join(f"({_q(a)}, CAST({b} AS BIGINT))" for a, b in _NUMBERS) + ") v(numeral, value)")
+
+@query("cn_numeral", f"WITH {_NUMERAL}, t AS (SELECT i, numeral, {_strip('numeral')} AS t FROM n) SELECT i AS doc_id, numeral, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN TRY_CAST(t AS BIGINT) ELSE {_number('t')} END AS value FROM t")
 def cn_numeral(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in _NUMBERS], "numeral string").select("numeral", T.cn_number("numeral").alias("value"))
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", _numeral(F.col("doc_id")).alias("numeral"))
+    return rows.withColumn("value", T.cn_number("numeral"))
 
 
 @query("chapter_url_guess", f"""WITH {_with('urls')} SELECT id, CASE WHEN regexp_matches(url, '^(.+/)(\\p{{Nd}}+)(\\.html?)?$') THEN regexp_replace(url, '^(.+/)(\\p{{Nd}}+)(\\.html?)?$', '\\1' || id || '\\3')
@@ -257,6 +287,27 @@ def keyword_match(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "m.hits", T.scaled(F.col("m.density")).alias("density"), F.array_join("m.matches", ",").alias("matches"))
 
 
+_KEYS = ["三体", "login", "", "章", "paragraph", "中文", "loading"]
+_KEY_HITS = "CASE WHEN length(keyword) < 2 THEN 0 WHEN regexp_matches(keyword, '^[a-z]+$') THEN len(list_filter(regexp_extract_all(lower(t), '[a-zA-Z]+'), lambda x: x = keyword)) ELSE len(string_split(lower(t), keyword)) - 1 END"
+_KEY_AT = "CASE WHEN length(keyword) < 2 THEN 0 WHEN regexp_matches(keyword, '^[a-z]+$') THEN length(regexp_extract(lower(t), '(?s)^(.*?(?:^|[^a-zA-Z]))' || keyword || '(?:[^a-zA-Z]|$)', 1)) + CASE WHEN hits > 0 THEN 1 ELSE 0 END ELSE strpos(lower(t), keyword) END"
+_KEYED = f"""m AS (SELECT *, {_KEY_HITS} AS hits FROM k), a AS (SELECT *, {_KEY_AT} AS spot FROM m),
+    h AS (SELECT *, hits / (length(t) / 1e2) AS density, hits > 0 AND spot - 1 < length(t) * 2e-1 AS head FROM a)"""
+_KEY_GAIN = " + CASE WHEN head THEN 1e-1 ELSE 0e0 END + least(density * 8, 15e-2)"
+
+
+def _key(number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in _KEYS]), (number % len(_KEYS)).cast("int") + 1)
+
+
+@query("content_score_keys", f"""WITH {_with('docs')}, s AS (SELECT doc_id, ({_list_of(_KEYS)})[CAST(doc_id % {len(_KEYS)} AS INTEGER) + 1] AS keyword, {_strip('text')} AS t FROM docs), k AS ({_typed('s')}), {_KEYED}
+    SELECT doc_id, keyword, {_int(_quality(_KEY_GAIN))} AS quality, CASE WHEN length(t) >= 50 THEN {_int('density')} ELSE 0 END AS density, length(t) >= 50 AND head AS head FROM h""")
+def content_score_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Every row has a keyword of its own."""
+    rows = fixtures.documents(spark, d).withColumn("keyword", _key(F.col("doc_id")))
+    rows = rows.select("doc_id", "keyword", C.score_content("text", F.col("keyword")).alias("s"))
+    return rows.select("doc_id", "keyword", T.scaled(F.col("s.quality")).alias("quality"), T.scaled(F.col("s.keyword_density")).alias("density"), F.col("s.keyword_head_bonus").alias("head"))
+
+
 def _captcha() -> tuple[str, str]:
     kind = key = "CASE"
     for k, patterns in rules.CAPTCHAS:
@@ -341,9 +392,10 @@ def search_filter(spark: SparkSession, d: str) -> DataFrame:
     return serp.worth_reading(serp.top(serp.merge(fixtures.serp(spark, d)))).select("query_id", "rank", "url", "verdict.type")
 
 
-@query("search_report", f"WITH {_MERGED} SELECT query_id, string_agg(rank || '. ' || url || ' (' || cross_hits || ')', chr(10) ORDER BY rank) AS report FROM top GROUP BY 1")
+@query("search_report", f"WITH {_MERGED} SELECT query_id, '# Search results' || chr(10) || chr(10) || string_agg(rank || '. [' || url || '](' || url || ') — ' || replace(rtrim(backends, ','), ',', ', '), chr(10) ORDER BY rank) AS report, string_agg(url, chr(10) ORDER BY rank) AS plain FROM top GROUP BY 1")
 def search_report(spark: SparkSession, d: str) -> DataFrame:
-    return batch.search_report(serp.top(serp.merge(fixtures.serp(spark, d))))
+    top = serp.top(serp.merge(fixtures.serp(spark, d)))
+    return batch.search_report(top).join(batch.search_report(top, "text").withColumnRenamed("report", "plain"), "query_id")
 
 
 def _verify_sql(required: bool) -> str:
@@ -363,6 +415,17 @@ def _verified(spark: SparkSession, d: str, required: bool) -> DataFrame:
 QUERIES["verify_rank"], SQL["verify_rank"] = lambda s, d: _verified(s, d, False), _verify_sql(False)
 QUERIES["quick_scan_rank"], SQL["quick_scan_rank"] = lambda s, d: _verified(s, d, True), _verify_sql(True)
 
+@query("verify_keys", f"""WITH {_with('docs')}, s AS (SELECT doc_id % 50 AS query_id, ({_list_of(_KEYS)})[CAST(doc_id % 50 % {len(_KEYS)} AS INTEGER) + 1] AS keyword, doc_id AS pos, {_strip('text')} AS t, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS n FROM docs QUALIFY n <= 10),
+    k AS ({_typed('s')}), {_KEYED}, q AS (SELECT *, {_quality(_KEY_GAIN)} - CASE WHEN kind = 'novel_index' THEN 3e-1 ELSE 0e0 END AS quality FROM h WHERE length(t) >= 50),
+    f AS (SELECT *, coalesce(sum(CAST(quality >= 7e-1 AND head AS INTEGER)) OVER (PARTITION BY query_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM q WHERE quality > 0)
+    SELECT query_id, {_int('quality')} AS top_score, kind AS top_type FROM f WHERE stopped = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, n) = 1""")
+def verify_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The verdict on each query's best candidate, each query with a keyword of its own."""
+    rows = fixtures.documents(spark, d).select((F.col("doc_id") % 50).alias("query_id"), F.col("doc_id").alias("pos"), F.lit("u").alias("url"), F.col("text").alias("preview"))
+    verified = select.verify(rows.withColumn("keyword", _key(F.col("query_id"))))
+    return select.content_verdict(verified).withColumn("top_score", T.scaled(F.col("top_score")))
+
+
 _JUDGED = f"""@source@, g AS (SELECT *, length(text) > ([50, 100, 0, 100, 200, 50, 50])[stage_index + 1] AND NOT (stage_index = 0 AND {_has('substr(text, 1, 2000)', _PUA)}) AS good FROM stages),
     c AS (SELECT *, CASE WHEN good THEN {_completeness(_strip('text'))} ELSE 0e0 END AS own FROM g),
     e AS (SELECT *, coalesce(max(CASE WHEN good THEN own END) OVER (PARTITION BY query_id, url_rank ORDER BY stage_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= @least@, false) AS enough FROM c),
@@ -440,10 +503,39 @@ def frame_batches(spark: SparkSession, d: str) -> DataFrame:
     return select.frame_batches(rows).withColumn("frames", F.array_join("frames", ","))
 
 
-@query("heap_string", f"""WITH {_with("docs")}, f AS (SELECT doc_id // 9 AS key, doc_id AS pos, text, row_number() OVER (PARTITION BY doc_id // 9 ORDER BY length(text) DESC, doc_id) AS r FROM docs QUALIFY r <= 5)
-    SELECT key, pos FROM f WHERE length(text) >= 200 AND NOT regexp_matches(text, '\\A[ \\t\\n\\x0b\\f\\r]*[\\{{\\[][ \\t\\n\\x0b\\f\\r]*"|encryptAttrs|\\APG|\\A[ \\t\\n\\x0b\\f\\r]*<') QUALIFY row_number() OVER (PARTITION BY key ORDER BY r) = 1""")
+_DUMPS = ["", '{"title": "x"} ', '{"version": 1} ', "<3 ", "<p>x</p> ", "PG", '"events": 1 ', '["a"] ', ' {"disable": 1} ', '"encryptAttrs" ']
+
+
+@query("heap_string", f"""WITH {_with("docs")}, p AS (SELECT doc_id, ({_list_of(_DUMPS)})[CAST(doc_id % {len(_DUMPS)} AS INTEGER) + 1] || text AS text FROM docs),
+    f AS (SELECT doc_id // 9 AS key, doc_id AS pos, text, {_strip("text")} AS t, row_number() OVER (PARTITION BY doc_id // 9 ORDER BY length(text) DESC, doc_id) AS r FROM p QUALIFY r <= 5)
+    SELECT key, pos FROM f WHERE length(text) >= 200 AND NOT (starts_with(t, '{{') AND (contains(substr(text, 1, 200), '"version"') OR contains(substr(text, 1, 500), '"disable"'))) AND NOT contains(substr(text, 1, 500), '"encryptAttrs"')
+        AND NOT contains(substr(text, 1, 500), '"events"') AND NOT (starts_with(t, 'PG') AND length(text) > 500) AND NOT (starts_with(t, '<') AND (contains(text, '</') OR contains(text, '/>'))) QUALIFY row_number() OVER (PARTITION BY key ORDER BY r) = 1""")
 def heap_string(spark: SparkSession, d: str) -> DataFrame:
-    return select.heap_string(fixtures.documents(spark, d).select(F.floor(F.col("doc_id") / 9).alias("key"), F.col("doc_id").alias("pos"), "text")).select("key", "pos")
+    i = F.col("doc_id")
+    text = F.concat(F.element_at(F.array(*[F.lit(x) for x in _DUMPS]), (i % len(_DUMPS)).cast("int") + 1), "text")
+    return select.heap_string(fixtures.documents(spark, d).select(F.floor(i / 9).alias("key"), i.alias("pos"), text.alias("text"))).select("key", "pos")
+
+
+@query("layer_first", f"""WITH {_LAYERS} SELECT key, layer, {_strip("text")} AS text FROM n WHERE n > 50 QUALIFY row_number() OVER (PARTITION BY key ORDER BY place, pos) = 1""")
+def layer_first(spark: SparkSession, d: str) -> DataFrame:
+    return select.first_layer(_layers(spark, d))
+
+
+@query("layer_quick", f"""WITH {_LAYERS}, e AS (SELECT key, arg_min({_strip("text")}, pos) AS text FROM n WHERE layer = 1 AND own >= 5e-1 GROUP BY 1)
+    SELECT key, CAST(1 AS INTEGER) AS layer, text, CAST(0 AS INTEGER) AS tier FROM e UNION ALL
+    SELECT key, layer, {_strip("text")}, tier FROM t WHERE tier IS NOT NULL AND key NOT IN (SELECT key FROM e) QUALIFY row_number() OVER (PARTITION BY key ORDER BY tier, CASE WHEN tier = 1 THEN place ELSE -length(text) END, pos) = 1""")
+def layer_quick(spark: SparkSession, d: str) -> DataFrame:
+    return select.quick_or_full(_layers(spark, d))
+
+
+@query("ocr_first", f"""WITH {_with("docs")}, f AS (SELECT doc_id // 24 AS key, CAST(doc_id % 24 // 4 AS INTEGER) AS frame, CAST(doc_id % 4 AS INTEGER) AS provider, CASE WHEN doc_id % 3 = 0 THEN ' too short ' ELSE {_strip("text")} END AS t FROM docs),
+    g AS (SELECT * FROM f WHERE length({_strip("t")}) > 20 QUALIFY row_number() OVER (PARTITION BY key, frame ORDER BY provider) = 1), j AS (SELECT key, string_agg(t, chr(10) || chr(10) ORDER BY frame) AS t FROM g GROUP BY 1),
+    o AS (SELECT key, regexp_replace(regexp_replace(regexp_replace(t, ' {{3,}}', '  ', 'g'), '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '\\r\\n?', chr(10), 'g') AS o FROM j)
+    SELECT key, {_strip("regexp_replace(o, '" + chr(92) + "n{4,}', chr(10) || chr(10) || chr(10), 'g')")} AS text FROM o""")
+def ocr_first(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    text = F.when(i % 3 == 0, " too short ").otherwise(F.col("text"))
+    return select.first_readings(fixtures.documents(spark, d).select(F.floor(i / 24).alias("key"), F.floor(i % 24 / 4).cast("int").alias("frame"), (i % 4).cast("int").alias("provider"), text.alias("text")))
 
 
 @query("multi_pass", f"""WITH {_with("docs")}, f AS (SELECT doc_id // 4 AS key, doc_id % 4 AS p, text, {_completeness(_strip("text"))} AS s FROM docs WHERE doc_id % 4 < 3),
@@ -465,7 +557,7 @@ def _run_sql(keywords: str, quality: str, word: str) -> str:
     ps AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, url) AS n FROM pc QUALIFY n <= 10), pk AS ({_typed("ps")}),
     pq AS (SELECT *, {quality} - CASE WHEN kind = 'novel_index' THEN 3e-1 ELSE 0e0 END AS quality FROM pk WHERE length(t) >= 50),
     pf AS (SELECT *, {"coalesce(sum(CAST(quality >= 7e-1 AND " + word + " AS INTEGER)) OVER (PARTITION BY query_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)" if word else "0"} AS stopped FROM pq WHERE quality > 0),
-    pw AS (SELECT * EXCLUDE (rank), CAST(row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, n) AS INTEGER) AS url_rank FROM (SELECT *, 0 AS rank FROM pf) WHERE stopped = 0 QUALIFY url_rank <= 3),
+    pw AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, n) AS INTEGER) AS url_rank FROM pf WHERE stopped = 0 QUALIFY url_rank <= 3),
     stages AS (SELECT query_id, url_rank, url, i AS stage_index, 'stage' || i AS stage_name, text, substr(preview, 1, 2000) AS preview{", keyword" if keywords else ""} FROM pw JOIN po USING (url))
     {judged}, {_staged(_CHAIN)}"""
 
@@ -488,15 +580,15 @@ def run_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d)
 
 
-_LINK = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>" + "(.*?)</a>"
+_LINK = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a>"
 _ANCHORS = f"""{_with("html")}, a AS (SELECT page_id, url, coalesce(nullif(regexp_extract(html, '(?i)<base\\s[^>]*href\\s*=\\s*["'']([^"'']+)["'']', 1), ''), url) AS base,
         regexp_extract_all(html, '{_LINK}', 1) AS h, regexp_extract_all(html, '{_LINK}', 2) AS t FROM html),
     b AS (SELECT page_id, url, base, unnest(range(len(h))) AS pos, trim(unnest(h)) AS href, unnest(t) AS t FROM a),
     c AS (SELECT page_id, url, base, pos, href, {_strip("regexp_replace(t, '<[^>]+>', '', 'g')")} AS label FROM b)"""
-_RESOLVED = """r AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '^[a-z]+:') || href
-        WHEN href = 'x/../9.html' THEN regexp_extract(base, '^(.*/)', 1) || '9.html' WHEN starts_with(href, '/') THEN regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || href
+_RESOLVED = """r AS (SELECT * EXCLUDE (u), CASE WHEN contains(u, '/../') THEN regexp_replace(u, '/[^/]+/\\.\\./', '/') ELSE u END AS abs_url FROM (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '^[a-z]+:') || href
+        WHEN starts_with(href, '/') THEN regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || href
         WHEN starts_with(href, '?') THEN regexp_extract(base, '^([^?#]*)', 1) || href WHEN starts_with(href, '#') THEN regexp_extract(base, '^([^#]*)', 1) || href
-        ELSE regexp_extract(regexp_extract(base, '^([^?#]*)', 1), '^(.*/)', 1) || href END AS abs_url FROM c WHERE label <> '' AND href <> '' AND NOT starts_with(lower(href), 'javascript:')),
+        ELSE regexp_extract(regexp_extract(base, '^([^?#]*)', 1), '^(.*/)', 1) || href END AS u FROM c WHERE label <> '' AND href <> '' AND NOT starts_with(lower(href), 'javascript:'))),
     f AS (SELECT * FROM r WHERE regexp_matches(abs_url, '^https?://') QUALIFY row_number() OVER (PARTITION BY page_id, abs_url ORDER BY pos) = 1),
     k AS (SELECT *, regexp_extract(label, '(\\p{Nd}+)', 1) AS n FROM f)"""
 _DISCOVERED = """SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN n = '' THEN label WHEN length(n) >= 8 THEN n ELSE lpad(n, 8, '0') END, pos) AS INTEGER) AS rank, label, abs_url FROM k WHERE """
@@ -518,37 +610,84 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return links.page_links(fixtures.pages(spark, d))
 
 
-@query("page_follow", """WITH RECURSIVE e AS (SELECT conv_id || '/' || turn AS url, CASE WHEN turn % 13 = 12 THEN conv_id || '/' || 0 ELSE lead(conv_id || '/' || turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS next_page, text FROM conversations),
-    w(start, here, path) AS (SELECT url, url, [url] FROM e UNION ALL SELECT w.start, e.next_page, list_append(w.path, e.next_page) FROM w JOIN e ON w.here = e.url WHERE e.next_page IS NOT NULL AND NOT list_contains(w.path, e.next_page) AND len(w.path) < 10)
-    SELECT start, CAST(max(len(path)) AS INTEGER) AS pages, string_agg(text, chr(10) ORDER BY len(path)) AS text FROM w JOIN e ON w.here = e.url GROUP BY 1""")
+@query("page_follow", f"""WITH RECURSIVE p AS (SELECT *, conv_id || '/' || turn AS url FROM conversations),
+    e AS (SELECT url, CASE WHEN turn % 13 = 12 THEN conv_id || '/0' ELSE lead(url) OVER (PARTITION BY conv_id ORDER BY turn) END AS next_page, CASE WHEN turn % 17 = 16 THEN '/next' END AS next_chapter,
+        regexp_replace(CASE turn % 5 WHEN 3 THEN '' WHEN 2 THEN text || ' 加入书架 x' ELSE text END, '({rules.TAIL_WORDS})[^\\n]*', '', 'g') AS text FROM p),
+    w(start, here, path) AS (SELECT url, url, [url] FROM e UNION ALL SELECT w.start, e.next_page, list_append(w.path, e.next_page) FROM w JOIN e ON w.here = e.url WHERE e.next_chapter IS NULL AND e.next_page IS NOT NULL AND NOT list_contains(w.path, e.next_page) AND len(w.path) < 10)
+    SELECT start, CAST(max(len(path)) AS INTEGER) AS pages, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY len(path)) FILTER (text <> ''), '') AS text FROM w JOIN e ON w.here = e.url GROUP BY 1""")
 def page_follow(spark: SparkSession, d: str) -> DataFrame:
-    at = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    t = F.col("turn")
+    at = F.concat(F.col("conv_id").cast("string"), F.lit("/"), t.cast("string"))
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text", at.alias("url"))
     ahead = F.lead("url").over(Window.partitionBy("conv_id").orderBy("turn"))
-    nav = rows.select("url", F.when(F.col("turn") % 13 == 12, F.concat(F.col("conv_id").cast("string"), F.lit("/0"))).otherwise(ahead).alias("next_page"))
-    return links.follow(nav, rows.select("url", "text"))
+    nav = rows.select("url", F.when(t % 13 == 12, F.concat(F.col("conv_id").cast("string"), F.lit("/0"))).otherwise(ahead).alias("next_page"), F.when(t % 17 == 16, "/next").alias("next_chapter"))
+    return links.follow(nav, rows.select("url", F.when(t % 5 == 3, "").when(t % 5 == 2, F.concat("text", F.lit(" 加入书架 x"))).otherwise(F.col("text")).alias("text")))
 
 
-@query("crawl_merge", """WITH i AS (SELECT doc_id // 20 AS key, doc_id % 20 AS idx, CASE WHEN doc_id % 20 = 7 THEN 'x' ELSE '第' || (doc_id % 15) || '章 名' END AS label, 'https://site.example/' || doc_id AS url, text FROM documents),
+@query("crawl_merge", """WITH i AS (SELECT doc_id // 20 AS key, doc_id % 20 AS idx, CASE WHEN doc_id % 20 = 7 THEN 'x' ELSE '第' || (doc_id % 15) || '章 名' END AS label, 'https://site.example/' || doc_id AS url, CASE WHEN doc_id // 20 % 5 = 4 THEN 'short' ELSE text END AS text FROM documents),
     s AS (SELECT *, CASE WHEN label = 'x' THEN 'i' || lpad(CAST(idx AS VARCHAR), 6, '0') ELSE 'n' || lpad(regexp_extract(label, '[0-9]+'), 6, '0') END AS slug FROM i),
-    f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key, slug ORDER BY idx) = 1), g AS (SELECT * FROM f WHERE length(text) > 100),
-    b AS (SELECT key, count(*) AS extracted, CAST(sum(length(text)) AS BIGINT) AS total_chars, string_agg('## ' || label || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY idx) AS body, arg_min(label, idx) AS label FROM g GROUP BY 1)
-    SELECT key, extracted, total_chars, '# ' || CASE WHEN label = 'x' THEN 'x' ELSE '名' END || chr(10) || chr(10) || '> 共 ' || extracted || ' 篇 | 总字数约 ' || format('{:,}', total_chars) || ' | 来源：site.example' || chr(10) || chr(10) || body AS markdown FROM b""")
+    f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key, slug ORDER BY idx) = 1),
+    b AS (SELECT key, count(*) AS total, count_if(length(text) > 100) AS extracted, coalesce(CAST(sum(length(text)) FILTER (length(text) > 100) AS BIGINT), 0) AS total_chars, coalesce(string_agg('## ' || label || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY idx) FILTER (length(text) > 100), '') AS body, arg_min(label, idx) FILTER (length(text) > 100) AS label FROM f GROUP BY 1)
+    SELECT key, total, extracted, total - extracted AS failed, total_chars, '# ' || CASE WHEN label IS NULL THEN 'site.example' WHEN label = 'x' THEN 'x' ELSE '名' END || chr(10) || chr(10) || CASE WHEN total_chars > 0 THEN '共 ' || extracted || ' 篇 | 总字数约 ' || format('{:,}', total_chars) || ' | 来源：site.example' || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || body AS markdown FROM b""")
 def crawl_merge(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     label = F.when(i % 20 == 7, "x").otherwise(F.concat(F.lit("第"), (i % 15).cast("string"), F.lit("章 名")))
-    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(i / 20).alias("key"), (i % 20).alias("idx"), label.alias("label"), F.concat(F.lit("https://site.example/"), i.cast("string")).alias("url"), "text")
+    text = F.when(F.floor(i / 20) % 5 == 4, "short").otherwise(F.col("text"))
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(i / 20).alias("key"), (i % 20).alias("idx"), label.alias("label"), F.concat(F.lit("https://site.example/"), i.cast("string")).alias("url"), text.alias("text"))
     return links.crawl_document(rows)
 
 
-_HEADS = "第三章 雨 https://a.example/3.html\n第1章 起\nhref=\"/one.html\"\n\n第十二章 无\n.\n.\n.\n第2节 <a href='b/2.html'>"
+#: lines of a contents page; @ is its number, ¤ its number in Chinese numerals
+_CONTENTS = ["第 @ 章 起 first", 'HREF = "/a/@.html" and https://abs.example/@', "第¤节w", '<a href="b/@.html">', "https://late.example/@", "text of @", "第十二回 终", ".", ".", "第二卷 x https://v.example/@ 'q'", "第百部"]
+
+
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    text = F.replace(F.replace(F.lit("\n".join(_CONTENTS)), F.lit("@"), i.cast("string")), F.lit("¤"), rx.strip(_numeral(i)))
+    text = F.concat(text, F.lit("\n"), "text")
+    return spark.read.parquet(f"{d}/documents.parquet").select(i.alias("key"), F.when(i % 2 == 0, F.concat(F.lit("https://s.example/dir/"), i.cast("string"), F.lit(".html"))).otherwise("https://s.example/dir/").alias("base"), text.alias("text"))
+
+
+_CHAPTER_HEAD = r"第\s*([一二三四五六七八九十百千\d]+)\s*[章节回卷部]\s*(.*?)(?:\s|$)"
+_ADDRESS = lambda c: f"""coalesce(nullif(regexp_extract({c}, {_p("(https?://[^" + chr(92) + "s" + chr(34) + "']+)")}, 1), ''), nullif(regexp_extract({c}, '(?i)href\\s*=\\s*"([^"]+)"', 1), ''))"""
 
 
-@query("chapter_lines", f"""SELECT * FROM (SELECT DISTINCT lang AS key FROM documents), (VALUES (8, CAST(2 AS BIGINT), {_q("第2节 <a href='b/2.html'>")}, 'https://s.example/dir/b/2.html'), (0, 3, '第三章 雨 https://a.example/3.html', 'https://a.example/3.html'),
-    (1, 1, '第1章 起', 'https://s.example/one.html'), (4, 12, '第十二章 无', 'https://s.example/dir/12.html')) v(pos, number, title, url)""")
+@query("chapter_lines", f"""WITH {_NUMERAL}, c AS (SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'https://s.example/dir/' || doc_id || '.html' ELSE 'https://s.example/dir/' END AS base,
+        string_split(replace(replace({_q(chr(10).join(_CONTENTS))}, '@', CAST(doc_id AS VARCHAR)), '¤', {_strip('numeral')}) || chr(10) || text, chr(10)) AS ls FROM documents JOIN n ON doc_id = i),
+    l AS (SELECT key, base, unnest(range(len(ls))) AS pos, unnest(ls) AS line, unnest(list_append(ls[2:], '')) AS line1, unnest(list_concat(ls[3:], ['', ''])) AS line2 FROM c),
+    h AS (SELECT *, {_strip(f"regexp_extract(line, {_p(_CHAPTER_HEAD)}, 1)")} AS t, substr({_strip(f"regexp_extract(line, {_p(_CHAPTER_HEAD)}, 2)")}, 1, 60) AS title FROM l WHERE {_has('line', _CHAPTER_HEAD)}),
+    v AS (SELECT *, {_number('t')} AS number, coalesce({_ADDRESS('line')}, {_ADDRESS('line1')}, {_ADDRESS('line2')}) AS u FROM h),
+    g AS (SELECT *, coalesce(u, CASE WHEN regexp_matches(base, '^(.+/)([0-9]+)(\\.html?)?$') THEN regexp_replace(base, '^(.+/)([0-9]+)(\\.html?)?$', '\\1' || number || '\\3') ELSE rtrim(base, '/') || '/' || number || '.html' END) AS u2 FROM v)
+    SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY number, pos) AS INTEGER) AS rank, CAST(pos AS INTEGER) AS pos, number, title, CASE WHEN starts_with(u2, 'http') THEN u2 WHEN starts_with(u2, '/') THEN 'https://s.example' || u2 ELSE 'https://s.example/dir/' || u2 END AS url FROM g""")
 def chapter_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("key")).distinct()
-    return links.chapter_lines(rows.select("key", F.lit("https://s.example/dir/").alias("base"), F.lit(_HEADS).alias("text")))
+    return links.chapter_lines(_contents(spark, d))
+
+
+def _toc(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with links to some chapters put before it: page_id % 6 + 1 of them, from page_id % 9 on, the first of
+    them again at the end, and a script."""
+    k = F.col("page_id")
+    link = lambda n: F.concat(F.lit("<a href='/c/"), n.cast("string"), F.lit(".html'>第"), n.cast("string"), F.lit("章 t</a>"))
+    chapters = F.array_join(F.transform(F.sequence(k % 9, k % 9 + k % 6), link), " ")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.concat(F.lit('<a href="javascript:x">第99章</a>'), chapters, F.lit('<a href="again">第'), (k % 9).cast("string"), F.lit("章</a>"), "html").alias("html"))
+
+
+_TOC = f"""html AS (SELECT page_id, url, '<a href="javascript:x">第99章</a>' || array_to_string(list_transform(range(page_id % 9, page_id % 9 + page_id % 6 + 1), lambda n: '<a href=''/c/' || n || '.html''>第' || n || '章 t</a>'), ' ') || '<a href="again">第' || (page_id % 9) || '章</a>' || html AS html FROM pages),
+    {_ANCHORS.split(', a AS (')[1].join(['a AS (', ''])}"""
+_HOST = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+
+
+@query("chapter_harvest", f"""WITH {_TOC}, f AS (SELECT url, pos, label, href, CAST(regexp_extract(label, '第\\s*([0-9]+)\\s*章', 1) AS BIGINT) AS number FROM c WHERE regexp_matches(label, '第\\s*[0-9]+\\s*章') AND href <> '' AND NOT starts_with(href, 'javascript:')),
+    o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url, number ORDER BY pos) = 1), k AS (SELECT *, count(*) OVER (PARTITION BY url) AS found FROM o)
+    SELECT url, greatest(number, 1) AS number, label AS title, {_HOST} || href AS chapter_url FROM k WHERE found >= 3 AND number > 0""")
+def chapter_harvest(spark: SparkSession, d: str) -> DataFrame:
+    return links.harvest(_toc(spark, d)).where("number > 0")
+
+
+@query("first_chapter", f"""WITH {_TOC}, f AS (SELECT url, arg_min(label, pos) AS label, arg_min(href, pos) AS href FROM c WHERE regexp_matches(label, '第[0-9]+[章节回卷部]') AND href <> '' GROUP BY 1)
+    SELECT url, substr(label, 1, 60) AS title, href AS chapter_url FROM f""")
+def first_chapter(spark: SparkSession, d: str) -> DataFrame:
+    return links.first_chapter(_toc(spark, d))
 
 
 @query("resume_crawl", "SELECT url FROM pages EXCEPT SELECT url FROM pages WHERE page_id % 3 = 0")
@@ -581,8 +720,11 @@ _MERGE = """WITH r AS (SELECT doc_id // 30 AS work_id, CAST(doc_id % 30 // 3 AS
     m AS (SELECT *, list_sort(list(n) OVER (PARTITION BY work_id, row)) AS ns FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY work_id, row ORDER BY {order}, i) AS p FROM m),
     b AS (SELECT work_id, row, arg_min(text, p) AS best, arg_min(n, p) AS bn, arg_min(i, p) AS bi FROM o GROUP BY ALL),
     g AS (SELECT work_id, row, any_value(best) || coalesce(string_agg(chr(10) || chr(10) || '[补充内容 from s' || i || ']' || chr(10) || text, '' ORDER BY i) FILTER (p > 1 AND n > bn * 13e-1), '') AS t,
-        count(*) AS k, count_if(p > 1 AND n > bn * 13e-1) AS more, 's' || any_value(bi) || coalesce(string_agg(',s' || i, '' ORDER BY i) FILTER (p > 1), '') AS sources FROM o JOIN b USING (work_id, row) GROUP BY ALL)
-    SELECT work_id, row AS num, '第' || row || '章' AS title, regexp_replace(t, '\\n{4,}', chr(10) || chr(10) || chr(10), 'g') AS text, sources, CASE WHEN k = 1 THEN 10000 WHEN more > 0 THEN 7000 ELSE 9000 END AS confidence FROM g"""
+        count(*) AS k, count_if(p > 1 AND n > bn * 13e-1) AS more, 's' || any_value(bi) || coalesce(string_agg(',s' || i, '' ORDER BY i) FILTER (p > 1 AND n > bn * 13e-1), '') AS sources FROM o JOIN b USING (work_id, row) GROUP BY ALL)
+    SELECT work_id, row AS num, '第' || row || '章' AS title, @strip@ AS text, sources, CASE WHEN k = 1 THEN 10000 WHEN more > 0 THEN 7000 ELSE 9000 END AS confidence FROM g"""
+
+
+_MERGE = _MERGE.replace("@strip@", _strip("regexp_replace(t, '" + chr(92) + "n{4,}', chr(10) || chr(10) || chr(10), 'g')"))
 
 
 def _merge(strategy: str) -> Query:
@@ -620,14 +762,23 @@ def _book(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("key", F.array_join(F.col("a.p"), "\n============\n第1章\n============\n").alias("text"))
 
 
-_WANTED = [(p, c, "数据 工程", n) for p in ("51job", "boss", "lagou", "liepin", "maimai", "zhaopin", "other") for c in ("北京", "武汉") for n in (1, 2)]
+_SITES = [*rules.PLATFORMS, "other"]
+_CITIES = ["北京", "武汉", "长沙", "上海"]
 
 
-@query("job_urls", "SELECT * FROM (VALUES " + ", ".join(
-    f"({_q(p)}, {_q(k)}, {_q(c)}, {n}, {_q(rules.PLATFORMS[p][0].replace('{keyword}', '%E6%95%B0%E6%8D%AE+%E5%B7%A5%E7%A8%8B').replace('{city_code}', rules.PLATFORMS[p][2].get(c, c)).replace('{city}', c).replace('{page}', str(n)))})"
-    for p, c, k, n in _WANTED if p in rules.PLATFORMS) + ") v(platform, keyword, city, page, url)")
+def _site_sql() -> str:
+    """(platform, template, city, code) of every platform and city above, as far as there are codes."""
+    rows = [(p, t, c, codes.get(c, c)) for p, (t, _, codes) in rules.PLATFORMS.items() for c in _CITIES]
+    return "(VALUES " + ", ".join("(" + ", ".join(map(_q, r)) + ")" for r in rows) + ") s(platform, template, city, code)"
+
+
+@query("job_urls", f"""WITH w AS (SELECT doc_id, ({_list_of(_SITES)})[CAST(doc_id % {len(_SITES)} AS INTEGER) + 1] AS platform, ({_list_of(_CITIES)})[CAST(doc_id // 7 % 4 AS INTEGER) + 1] AS city, substr(text, 1, 12) || ' 工程' AS keyword, CAST(doc_id AS INTEGER) AS page FROM documents)
+    SELECT platform, keyword, city, page, replace(replace(replace(replace(template, '{{keyword}}', keyword), '{{city_code}}', code), '{{city}}', city), '{{page}}', CAST(page AS VARCHAR)) AS url FROM w JOIN {_site_sql()} USING (platform, city)""")
 def job_urls(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.search_urls(spark.createDataFrame(_WANTED, "platform string, city string, keyword string, page int"))
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int") + 1)
+    i = F.col("doc_id")
+    wanted = spark.read.parquet(f"{d}/documents.parquet").select(pick(_SITES, i).alias("platform"), pick(_CITIES, F.floor(i / 7)).alias("city"), F.concat(F.substring("text", 1, 12), F.lit(" 工程")).alias("keyword"), i.cast("int").alias("page"))
+    return jobs.search_urls(wanted)
 
 
 _RESPONSES = [
@@ -737,11 +888,25 @@ def batch_parse(spark: SparkSession, d: str) -> DataFrame:
     return batch.items(rows)
 
 
-@query("result_render", """SELECT conv_id AS key, string_agg(coalesce(text, ''), chr(10) || chr(10) || '=====' || chr(10) || chr(10) ORDER BY turn) AS plain, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS md FROM conversations GROUP BY 1""")
+@query("result_render", """WITH r AS (SELECT *, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'https://r.example/' || turn END AS url, turn / 8e0 AS score FROM conversations)
+    SELECT conv_id AS key, string_agg(coalesce(text, ''), chr(10) || chr(10) || '=====' || chr(10) || chr(10) ORDER BY turn) AS plain,
+        '# Batch results' || chr(10) || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || '- Score: ' || format('{:.3f}', score) || chr(10) || '- URL: ' || coalesce(url, '') || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS md FROM r GROUP BY 1""")
 def result_render(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), F.col("role").alias("input"), "text")
-    md = batch.document(rows, "md").withColumnRenamed("document", "md")
-    return batch.document(rows).withColumnRenamed("document", "plain").join(md, "key")
+    t = F.col("turn")
+    url = F.when(t % 3 != 0, F.concat(F.lit("https://r.example/"), t.cast("string")))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("key"), t.alias("pos"), F.col("role").alias("input"), "text", url.alias("url"), (t / 8).alias("score"))
+    return batch.document(rows, "md").withColumnRenamed("document", "md").join(batch.document(rows).withColumnRenamed("document", "plain"), "key")
+
+
+@query("result_single", """WITH r AS (SELECT *, turn % 2 = 0 AS good FROM conversations)
+    SELECT conv_id, turn, '# Extraction result' || chr(10) || chr(10) || '- Status: ' || CASE WHEN good THEN 'success' ELSE 'best-effort' END || chr(10) || '- Score: ' || format('{:.3f}', turn / 16e0) || chr(10) || '- URL: ' || chr(10) || '- Stage: ' || CASE WHEN good THEN role ELSE 'none' END || chr(10) || '- Time: ' || turn || ' ms' || chr(10) || chr(10) || '## Content' || chr(10) || chr(10) || text || chr(10) AS md,
+        '{"success":' || good || ',"score":null,"url":null,"text":null,"winning_stage":' || CASE WHEN good THEN '"' || role || '"' ELSE 'null' END || ',"stages_attempted":' || turn || ',"stages_succeeded":null,"total_time_ms":null,"search_candidates_total":null,"search_candidates_scanned":null,"validation":null,"extraction_chain":null}' AS json FROM r""")
+def result_single(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("success", t % 2 == 0).withColumn("winning_stage", F.when(F.col("success"), F.col("role")))
+    md = batch.results(rows.withColumns({"score": t / 16, "total_time_ms": t})).select("conv_id", "turn", batch.result_markdown().alias("md"))
+    json = batch.results(rows.withColumn("stages_attempted", t).drop("text")).select("conv_id", "turn", batch.result_json().alias("json"))
+    return md.join(json, ["conv_id", "turn"])
 
 
 @query("domain_extract", f"""WITH {_with("urls")} SELECT id, coalesce(nullif(lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/:?#]+)', 1)), ''), url) AS domain, coalesce(nullif(regexp_extract(url, 'https?://(?:www\\.)?([^/]+)', 1), ''), substr(url, 1, 40)) AS source_name,
@@ -751,15 +916,10 @@ def domain_extract(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "domain", "source_name", T.profile_name("url").alias("profile"), C.is_streaming_host("url").alias("streaming"))
 
 
-@query("llm_trim", f"""WITH {_with("docs")} SELECT doc_id, CASE WHEN length(text) <= 8000 THEN text END AS short FROM docs WHERE length(text) <= 8000""")
+@query("llm_trim")
 def llm_trim(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.documents(spark, d).where(F.length("text") <= 8000).select("doc_id", jobs.trim("text").alias("short"))
-
-
-@query("llm_trim_long")
-def llm_trim_long(spark: SparkSession, d: str) -> DataFrame:
-    """The texts that llm_trim, which has SQL, leaves out: those that are trimmed."""
-    return fixtures.documents(spark, d).where(F.length("text") > 8000).select("doc_id", jobs.trim("text").alias("short"))
+    """All texts. The rule is a running choice of lines, which SQL hasn't; a test compares with it written plainly."""
+    return fixtures.documents(spark, d).select("doc_id", jobs.trim("text").alias("short"))
 
 
 _BODY = '{"web": {"results": [{"url": "a%s"}, {"url": "b"}, {"url": "a%s"}]}, "results": [{"url": "c%s"}, {"url": null}], "RelatedTopics": [{"FirstURL": "d%s"}, {"Topics": []}], "Results": [{"FirstURL": "d%s"}, {"FirstURL": "e"}]}'

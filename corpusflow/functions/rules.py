@@ -57,8 +57,7 @@ class Signature(NamedTuple):
 
 
 _CHAPTER = rf"第[{_N}\d]+章"
-_SOME = r"\d{1,2}"
-_DAY = "[-/]".join([r"\d{4}", _SOME, _SOME])
+_DAY = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 #: In order of precedence at equal scores; every pattern counts once.
 SIGNATURES = [
     Signature("novel_chapter", 500, [(_CHAPTER, 10), (_CHAPTER[:-1] + "[节回卷]", 8), ("(章|节)" + r"[\s\n]", 5)],
@@ -88,26 +87,23 @@ CODE_MARKS = "=>|=== |constructor(|export |function(|import {|require(|super(|ty
 STREAMING_HOSTS = r"dingtalk|docs\.qq|feishu|kdocs|shimo|wps"
 TAIL_WORDS = "下载|书签|分享|加入书架|举报|安装|手机版|打赏|推荐|收藏|电脑版"
 NUMERALS = {c: k for k, c in enumerate("零一二三四五六七八九")}
-UNITS = {c: 10**k for k, c in enumerate("十百千", 1)}
+UNITS = {"十": 10, "百": 100, "千": 1000}
 
 
 
-def _address(site: str, /, **parameters: str) -> str:
-    """A template whose parameters are filled by the fields of the given names."""
-    return f"https://{site}?" + "&".join(f"{k}={{{v}}}" for k, v in parameters.items())
-
-
 def _codes(text: str) -> dict[str, str]:
     return dict(zip(text.split()[::2], text.split()[1::2]))
 
 
 #: platform: (address with {keyword}, {city}, {city_code} and {page}, pattern of a detail address, codes of cities)
 PLATFORMS = {
-    "51job": (_address("we.51job.com/pc/search", keyword="keyword", area="city_code", page="page"), r"51job\.com/" + r"\w+/\d+\.html", _codes("北京 010000 深圳 040000 长沙 180200")),
-    "boss": (_address("www.zhipin.com/web/geek/job", query="keyword", city="city_code", page="page"), r"zhipin\.com/" + r"job_detail/[a-f0-9]+\.html",
+    "51job": ("https://we.51job.com/pc/search?keyword={keyword}&area={city_code}&page={page}", r"51job\.com/\w+/\d+\.html", _codes("北京 010000 深圳 040000 长沙 180200")),
+    "boss": ("https://www.zhipin.com/web/geek/job?query={keyword}&city={city_code}&page={page}", r"zhipin\.com/job_detail/[a-f0-9]+\.html",
              _codes("上海 101020100 北京 101010100 南京 101190100 广州 101280100 成都 101270100 杭州 101210100 武汉 101200100 深圳 101280600 长沙 100010000")),
-    "lagou": (_address("www.lagou.com/wn/jobs", kd="keyword", city="city", pn="page"), r"lagou\.com/" + r"jobs/\d+\.html", {c: c for c in ("上海", "北京", "广州", "杭州", "深圳", "长沙")}),
-    "liepin": (_address("www.liepin.com/zhaopin/", key="keyword", dqs="city_code", curPage="page"), r"liepin\.com/" + r"job/\d+\.s?html", _codes("上海 020000 北京 010000 广州 050020 杭州 080020 深圳 050090 长沙 070200")),
-    "maimai": (_address("maimai.cn/web/jobs", query="keyword", city="city", page="page"), r"maimai\.cn/" + r"web/jobs\?", {}),
-    "zhaopin": (_address("sou.zhaopin.com/", kw="keyword", city="city_code", p="page"), r"zhaopin\.com/" + r"jobdetail/[A-Z0-9]+\.html", _codes("上海 538 北京 530 深圳 765 长沙 730")),
+    "lagou": ("https://www.lagou.com/wn/jobs?kd={keyword}&city={city}&pn={page}", r"lagou\.com/jobs/\d+\.html", {c: c for c in ("上海", "北京", "广州", "杭州", "深圳", "长沙")}),
+    "liepin": ("https://www.liepin.com/zhaopin/?key={keyword}&dqs={city_code}&curPage={page}", r"liepin\.com/job/\d+\.s?html", _codes("上海 020000 北京 010000 广州 050020 杭州 080020 深圳 050090 长沙 070200")),
+    "maimai": ("https://maimai.cn/web/jobs?query={keyword}&city={city}&page={page}", r"maimai\.cn/web/jobs\?", {}),
+    "zhaopin": ("https://sou.zhaopin.com/?kw={keyword}&city={city_code}&p={page}", r"zhaopin\.com/jobdetail/[A-Z0-9]+\.html", _codes("上海 538 北京 530 深圳 765 长沙 730")),
 }
+#: where a platform's relative addresses belong
+PLATFORM_SITES = {"51job": "https://we.51job.com", "boss": "https://www.zhipin.com", "lagou": "https://www.lagou.com", "liepin": "https://www.liepin.com", "maimai": "https://maimai.cn", "zhaopin": "https://sou.zhaopin.com"}

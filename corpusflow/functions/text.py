@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 from operator import add, or_
 
 from pyspark.sql import Column
@@ -42,7 +42,7 @@ def holds(text: Column, words: list[str]) -> Column:
 def html_to_text(html: Column | str) -> Column:
     """Text of a page: script-like elements vanish, tags become spaces, six entities are decoded in this order (so
     that &amp;lt; ends as <), runs of blanks and of line ends shrink, and the ends are trimmed."""
-    out = F.regexp_replace(col(html), "(?is)<(iframe|noscript|script|svg|style)" + r"[^>]*>.*?</\1>", "")
+    out = F.regexp_replace(col(html), r"(?is)<(iframe|noscript|script|svg|style)[^>]*>.*?</\1>", "")
     out = F.regexp_replace(out, "<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         out = F.replace(out, F.lit(entity), F.lit(char))
@@ -163,7 +163,7 @@ def cn_number(text: Column | str) -> Column:
 def chapter_url(base: Column | str, number: Column | str) -> Column:
     """The address of another chapter: a last number is replaced, else /number.html appended."""
     b, n = col(base), col(number).cast("string")
-    stem, old, end = (F.regexp_extract(b, "^(.+/)" + r"(\p{Nd}+)" + r"(\.html?)?$", k) for k in (1, 2, 3))
+    stem, old, end = (F.regexp_extract(b, r"^(.+/)(\p{Nd}+)(\.html?)?$", k) for k in (1, 2, 3))
     return F.when(old != "", F.concat(stem, n, end)).otherwise(F.concat(F.rtrim(b, F.lit("/")), F.lit("/"), n, F.lit(".html")))
 
 
@@ -184,7 +184,7 @@ def domain(url: Column | str) -> Column:
 
 
 def source_name(url: Column | str) -> Column:
-    host = F.regexp_extract(url, "https?://" + r"(?:www\.)?" + "([^/]+)", 1)
+    host = F.regexp_extract(url, r"https?://(?:www\.)?([^/]+)", 1)
     return F.when(host != "", host).otherwise(F.substring(url, 1, 40))
 
 
@@ -208,7 +208,7 @@ def slug(label: Column | str, index: Column | str) -> Column:
 
 
 def guess_title(label: Column | str, url: Column | str) -> Column:
-    title = rx.strip(rx.replace(label, r"\s*".join(["第", r"\d+", "章", ""]), ""))
+    title = rx.strip(rx.replace(label, r"第\s*\d+\s*章\s*", ""))
     return F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(domain(url))
 
 
@@ -218,3 +218,67 @@ def fingerprint(text: Column | str) -> Column:
 
 def estimated_tokens(text: Column | str) -> Column:
     return F.floor(F.length(text) / 4).cast("int")
+
+
+#: Tried in this order after a hint.
+ENCODINGS = ("utf-8", "gbk", "gb18030", "big5")
+
+
+@cache
+def _decoder():
+    import pyarrow as pa
+    from pyspark.sql.types import StringType
+
+    def one(body: bytes | None, hint: str | None) -> str | None:
+        if body is None:
+            return None
+        for name in (hint, *ENCODINGS):
+            try:
+                if name:
+                    return body.decode(name)
+            except (UnicodeDecodeError, LookupError):
+                pass
+        return body.decode("utf-8", errors="replace")
+
+    # the legacy encodings, and failing on bytes that aren't theirs, are Python's
+    return F.arrow_udf(lambda body, hint: pa.array(map(one, body.to_pylist(), hint.to_pylist()), pa.string()), StringType())
+
+
+def decoded(body: Column | str, hint: Column | str | None = None) -> Column:
+    """Bytes as text by the first encoding that fits: the hint (a column), then ENCODINGS; else UTF-8 with replacement
+    characters. Unknown hints are passed over."""
+    return _decoder()(col(body), F.lit(None).cast("string") if hint is None else col(hint))
+
+
+def api_text(url: Column | str, content_type: Column | str, body: Column | str) -> Column:
+    """What a response to a page's own request gives: of JSON its longest text, of HTML from an address with /api/ the
+    decoded body if it has over 200 characters; else null. body is binary."""
+    from corpusflow.functions import json_dig
+
+    kind = F.lower(content_type)
+    html = decoded(F.when(kind.contains("html") & col(url).contains("/api/"), col(body)))
+    found = json_dig.longest_text(F.when(kind.contains("json"), F.decode(col(body), "UTF-8")))
+    return F.when(F.length(html) > 200, html).otherwise(found)
+
+
+def captured_body(content_type: Column | str, body: Column | str) -> Column:
+    """What a browser keeps of a response: the first 5,000 characters of JSON of over 200, or 10,000 of HTML of over
+    500; else null."""
+    kind, n = F.lower(content_type), F.length(body)
+    return F.when(kind.contains("json"), F.when(n > 200, F.substring(body, 1, 5000))).when(kind.contains("html") & (n > 500), F.substring(body, 1, 10000))
+
+
+def browser_text(parts: Column, bodies: Column) -> Column:
+    """A page's collected parts, blank lines between, then the kept bodies with rules between, stripped."""
+    page = F.array_join(parts, "\n\n")
+    return rx.strip(F.when(F.size(bodies) > 0, F.concat(page, F.lit("\n\n"), F.array_join(bodies, "\n---\n"))).otherwise(page))
+
+
+def fast_text(reader: Column | str, browser: Column | str) -> Column:
+    """A quick look at a page: what a reader service gives if that is over 200 visible characters, 5,000 at most; else
+    what a browser gives."""
+    return F.when(F.length(rx.strip(col(reader))) > 200, F.substring(reader, 1, 5000)).otherwise(col(browser))
+
+
+def error_text(message: Column | str, most: int = 200) -> Column:
+    return F.substring(message, 1, most)

@@ -67,8 +67,8 @@ def merge(rows: DataFrame, strategy: str = "longest") -> DataFrame:
     """(work_id, row, source_idx, source_name, title, text) → (work_id, num, title, text, sources, confidence).
 
     longest; most_consistent (nearest to the upper median length); voting (of more than two, the most similar to the
-    others). Texts over 1.3 times the chosen one's length are appended as supplements. Confidence 1 for one source,
-    0.9 for several, 0.7 with a supplement.
+    others). Texts over 1.3 times the chosen one's length are appended as supplements; sources are the chosen one's and
+    theirs. The text is stripped. Confidence 1 for one source, 0.9 for several, 0.7 with a supplement.
     """
     rows = rows.where(F.length("text") > 0).withColumn("chars", F.length("text"))
     key = Window.partitionBy("work_id", "row")
@@ -94,10 +94,10 @@ def merge(rows: DataFrame, strategy: str = "longest") -> DataFrame:
     )
     more = F.filter("all", lambda x: (x["n"] > 1) & (x["chars"] > F.col("chars") * 1.3))
     added = F.transform(more, lambda x: F.concat(F.lit("\n\n[补充内容 from "), x["source_name"], F.lit("]\n"), x["text"]))
-    text = rx.shorter_gaps(F.concat("text", F.array_join(added, "")))
+    text = rx.strip(rx.shorter_gaps(F.concat("text", F.array_join(added, ""))))
     title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.format_string("第%d章", F.col("row")))
     sure = F.when(F.col("k") == 1, 1.0).when(F.size(more) > 0, 0.7).otherwise(0.9)
-    return out.select("work_id", F.col("row").alias("num"), title.alias("title"), text.alias("text"), F.concat(F.array("name"), F.col("all.source_name")).alias("s"), sure.alias("confidence")).withColumn("sources", F.array_distinct("s")).drop("s")
+    return out.select("work_id", F.col("row").alias("num"), title.alias("title"), text.alias("text"), F.concat(F.array("name"), F.transform(more, lambda x: x["source_name"])).alias("sources"), sure.alias("confidence"))
 
 
 def differences(rows: DataFrame) -> DataFrame:

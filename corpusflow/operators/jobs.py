@@ -18,14 +18,14 @@ _WANTED = "加分 学历 技能 技术栈 福利 经验 职责 薪资 要求".sp
 
 
 def search_urls(wanted: DataFrame) -> DataFrame:
-    """(platform, keyword, city, page) with url. A city that a platform has no code for stands for itself; unknown
+    """(platform, keyword, city, page) with url, the keyword as it is. A city that a platform has no code for stands for itself; unknown
     platforms have no row."""
     spark = wanted.sparkSession
     sites = spark.createDataFrame([(p, t) for p, (t, _, _) in rules.PLATFORMS.items()], "platform string, template string")
     codes = spark.createDataFrame([(p, c, k) for p, (_, _, m) in rules.PLATFORMS.items() for c, k in m.items()], "platform string, city string, code string")
     rows = wanted.join(F.broadcast(sites), "platform").join(F.broadcast(codes), ["platform", "city"], "left")
     url = F.col("template")
-    for name, value in (("keyword", F.url_encode("keyword")), ("city_code", F.coalesce("code", "city")), ("city", F.col("city")), ("page", F.col("page").cast("string"))):
+    for name, value in (("keyword", F.col("keyword")), ("city_code", F.coalesce("code", "city")), ("city", F.col("city")), ("page", F.col("page").cast("string"))):
         url = F.replace(url, F.lit(f"{{{name}}}"), value)
     return rows.select("platform", "keyword", "city", "page", url.alias("url"))
 
@@ -84,6 +84,14 @@ def trim(text: Column | str, most: int = 8000) -> Column:
     return F.when(F.length(t) <= most, t).when(F.length(kept) <= most, kept).otherwise(short)
 
 
+def absolute(url: Column | str, platform: Column | str) -> Column:
+    """A posting's address on its platform; unknown platforms leave it as it is, null becomes ''."""
+    u = F.coalesce(col(url), F.lit(""))
+    base = F.try_element_at(F.create_map(*[F.lit(x) for pair in rules.PLATFORM_SITES.items() for x in pair]), col(platform))
+    full = F.when(u.startswith("/"), F.concat(base, u)).otherwise(F.concat(base, F.lit("/"), u))
+    return F.when((u == "") | u.startswith("http") | base.isNull(), u).otherwise(full)
+
+
 def listed(answers: DataFrame) -> DataFrame:
     """(platform, base, response, text) → (platform, pos, title, url): the jobs of a JSON array, root-relative
     addresses resolved; from answers that aren't one, the detail addresses in the text, by first sight, at most 30."""

@@ -163,6 +163,14 @@ def pick_reading(readings: DataFrame, frames: int = 5, providers: int = 2, least
     return rows.withColumn("r", F.row_number().over(best)).where((F.col("r") == 1) & (F.col("confidence") >= least)).drop("r")
 
 
+def first_readings(readings: DataFrame, least: int = 20, separator: str = "\n\n") -> DataFrame:
+    """(key, frame, provider, text) → (key, text): of each frame what the first provider gives that gives over `least`
+    visible characters, joined and cleaned. With least=100 and one frame, the reading of a whole stitched page."""
+    rows = readings.withColumn("text", rx.strip(F.col("text"))).where(F.length("text") > least)
+    first = rows.groupBy("key", "frame").agg(F.min_by("text", "provider").alias("text"))
+    return joined_readings(first, separator).withColumn("text", T.clean_ocr("text"))
+
+
 def joined_readings(picked: DataFrame, separator: str = "\n---\n") -> DataFrame:
     """(key, text): the readings of a key by frame."""
     rows = picked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("frame", "text"))).alias("t"))
