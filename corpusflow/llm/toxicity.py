@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.common import fresh, table
+from corpusflow.llm.common import cut, fresh, table
 
 ORDERS = (3, 4, 5)
 SLICE = 1 << 20
@@ -91,69 +91,172 @@ def _sparse(texts: list[str | None], bits: int) -> Iterator[tuple[np.ndarray, np
         yield np.unique(np.concatenate(found), return_counts=True)
 
 
-def fit(texts: list[str | None], toxic: list[int], bits: int = 20, alpha: float = 1.0, l2: float = 1e-6, steps: int = 300) -> ToxicityModel:
-    """Every fifth text, in the order given, is held out to choose the threshold."""
-    y = np.array(toxic, dtype=np.float64)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(1 << bits, np.float32), 0.0, float("inf"), bits)
-    held = np.zeros(len(y), dtype=bool)
-    for label in (0, 1):
-        held[np.flatnonzero(y == label)[4::5]] = True
-    seen, p, q = (np.zeros(1 << bits) for _ in range(3))
-    for (slots, _), label, out in zip(_sparse(texts, bits), y, held):
-        if not out:
-            (p if label else q)[slots] += 1
-            seen[slots] += 1
-    ratio = np.log(((alpha + p) / (alpha + p).sum()) / ((alpha + q) / (alpha + q).sum()))
-    used = np.flatnonzero((seen >= 2) & (np.abs(ratio) >= 0.25))
+@dataclass(frozen=True)
+class Examples:
+    """Distinct slots and their counts, text after text (begin: where each text's start), and which texts are toxic."""
+
+    slots: np.ndarray
+    counts: np.ndarray
+    begin: np.ndarray
+    toxic: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str | None], toxic: list[int], bits: int) -> Examples:
+        slots, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for s, c in _sparse(texts, bits):
+            slots.append(s.astype(np.uint32))
+            counts.append(c.astype(np.uint32))
+        begin = np.cumsum([len(s) for s in slots])
+        joined = np.concatenate(slots)
+        del slots
+        return Examples(joined, np.concatenate(counts), begin, np.array(toxic, dtype=np.float64))
+
+
+def log_count_ratios(examples: Examples, use: np.ndarray, bits: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each slot log (p / |p|) / (q / |q|), where p and q are alpha plus in how many of the toxic and the other texts
+    among `use` it occurs; and in how many of both it does."""
+    p, q = np.zeros(1 << bits), np.zeros(1 << bits)
+    for k in np.flatnonzero(use):
+        (p if examples.toxic[k] else q)[examples.slots[examples.begin[k] : examples.begin[k + 1]]] += 1
+    return np.log(((alpha + p) / (alpha + p).sum()) / ((alpha + q) / (alpha + q).sum())), p + q
+
+
+def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS with backtracking; f gives value and gradient."""
+    value, g = f(x)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, kept = -g, []
+        for s, y, rho in reversed(pairs):
+            kept.append(rho * (s @ d))
+            d = d - kept[-1] * y
+        if pairs:
+            s, y, _ = pairs[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, np.linalg.norm(d))
+        for (s, y, rho), a in zip(pairs, reversed(kept)):
+            d = d + s * (a - rho * (y @ d))
+        slope, t = g @ d, 1.0
+        if slope > -1e-12:
+            break
+        while True:
+            moved = x + t * d
+            new, grad = f(moved)
+            if new <= value + 1e-4 * t * slope or t < 1e-8:
+                break
+            t /= 2
+        s, y = moved - x, grad - g
+        if s @ y > 1e-14:
+            pairs = [*pairs, (s, y, 1.0 / (s @ y))][-memory:]
+        done = value - new < 1e-7 * max(1.0, abs(value))
+        x, value, g = moved, new, grad
+        if done:
+            break
+    return x
+
+
+def _linear(examples: Examples, use: np.ndarray, bits: int, alpha: float, l2: float, steps: int, least_texts: int, least_ratio: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, bias, scores of all texts) of the classifier fitted to those in `use`."""
+    ratio, seen = log_count_ratios(examples, use, bits, alpha)
+    chosen = np.flatnonzero((seen >= least_texts) & (np.abs(ratio) >= least_ratio))
     column = np.full(1 << bits, -1, dtype=np.int32)
-    column[used] = np.arange(len(used))
-    rows, cols, values = [], [], []
-    for i, (slots, counts) in enumerate(_sparse(texts, bits)):  # again, rather than held: most n-grams are not used
-        keep = column[slots] >= 0
-        rows.append(np.full(int(keep.sum()), i, dtype=np.int32))
-        cols.append(column[slots[keep]])
-        values.append((100.0 * counts[keep] / max(1, counts.sum()) * ratio[slots[keep]]).astype(np.float32))
-    rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    parts = [slice(at, at + (1 << 20)) for at in range(0, len(rows), 1 << 20)]  # temporaries of a part only
-
-    def margins(v: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(rows[p], values[p] * v[cols[p]], len(y)) for p in parts), np.zeros(len(y)))
-
-    weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
-    v, bias = np.full(len(used), 1.0), 0.0
-    m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    for t in range(1, steps + 1):
-        z = margins(v) + bias
+    column[chosen] = np.arange(len(chosen))
+    rows, cols, values = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for k, (low, high) in enumerate(zip(examples.begin[:-1], examples.begin[1:])):
+        own, counts = column[examples.slots[low:high]], examples.counts[low:high]
+        keep = own >= 0
+        rows.append(np.full(int(keep.sum()), k, dtype=np.int32))
+        cols.append(own[keep])
+        values.append((100.0 * counts[keep] / max(1, counts.sum()) * ratio[chosen[own[keep]]]).astype(np.float32))
+    row, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    y = examples.toxic
+    weight = np.where(y == 1, 0.5 / max(1, (y[use] == 1).sum()), 0.5 / max(1, (y[use] == 0).sum())) * use
+    fitted = use[row]
+    own_row, own_cols, own_values = (row, cols, values) if fitted.all() else (row[fitted], cols[fitted], values[fitted])
+    parts = [slice(at, at + (1 << 20)) for at in range(0, len(own_row), 1 << 20)]  # temporaries of a part only
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        v, z = x[:-1].astype(np.float32), np.full(len(y), x[-1])
+        for p in parts:
+            z += np.bincount(own_row[p], own_values[p] * v[own_cols[p]], len(y))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grad = np.append(sum((np.bincount(cols[p], values[p] * g[rows[p]], len(used)) for p in parts), np.zeros(len(used))) + l2 * (v - 1), g.sum())
-        m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
-        v, bias = v - step[:-1], bias - step[-1]
+        grad = l2 * (x[:-1] - 1)
+        g32 = g.astype(np.float32)
+        for p in parts:
+            grad += np.bincount(own_cols[p], own_values[p] * g32[own_row[p]], len(chosen))
+        value = (weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum() + 0.5 * l2 * ((x[:-1] - 1) ** 2).sum()
+        return float(value), np.append(grad, g.sum())
+
+    x = minimise(loss, np.append(np.ones(len(chosen)), 0.0), steps)
     weights = np.zeros(1 << bits, dtype=np.float32)
-    weights[used] = 100.0 * v * ratio[used]
-    z = margins(v) + bias
-    pick = held if held.any() and y[held].min() != y[held].max() else np.ones(len(y), bool)
-    order = np.argsort(z[pick])
-    zs, ys = z[pick][order], y[pick][order]
-    positive, negative = (ys == 1).sum(), (ys == 0).sum()
-    missed = np.concatenate(([0], np.cumsum(ys == 1))) / positive
-    wrong = (negative - np.concatenate(([0], np.cumsum(ys == 0)))) / negative
+    weights[chosen] = 100.0 * x[:-1] * ratio[chosen]
+    scores, v = np.full(len(y), x[-1]), x[:-1].astype(np.float32)
+    for at in range(0, len(row), 1 << 20):
+        p = slice(at, at + (1 << 20))
+        scores += np.bincount(row[p], values[p] * v[cols[p]], len(y))
+    return weights, float(x[-1]), scores
+
+
+def pick_threshold(scores: np.ndarray, toxic: np.ndarray, most_wrong: float) -> float:
+    """The threshold of least error (share of toxic texts missed plus share of others rejected) among those that reject
+    at most the share most_wrong of the others; of several the middle one."""
+    order = np.argsort(scores)
+    zs, ys = scores[order], toxic[order]
+    missed = np.concatenate(([0], np.cumsum(ys == 1))) / (ys == 1).sum()
+    wrong = 1 - np.concatenate(([0], np.cumsum(ys == 0))) / (ys == 0).sum()
     edges = np.concatenate(([zs[0] - 1], (zs[1:] + zs[:-1]) / 2, [zs[-1] + 1]))
-    best = np.flatnonzero(missed + wrong <= (missed + wrong).min() + 1e-12)
-    return ToxicityModel(weights, float(bias), float(edges[best[len(best) // 2]]), bits)
+    error = np.where(wrong <= most_wrong + 1e-12, missed + wrong, np.inf)
+    best = np.flatnonzero(error <= error.min() + 1e-12)
+    return float(edges[best[len(best) // 2]])
+
 
+def fit(texts: list[str | None], toxic: list[int], bits: int = 20, alpha: float = 0.3, l2: float = 1e-8, steps: int = 60, folds: int = 4, most_wrong: float = 0.01, least_texts: int = 2, least_ratio: float = 1.5) -> ToxicityModel:
+    """A logistic regression on n-gram counts scaled by the log-count ratios, both classes weighing the same. n-grams
+    in fewer than least_texts training texts, or with a ratio nearer 0 than least_ratio, are not used.
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, bits: int = 20, seed: str = "nb") -> ToxicityModel:
-    """Fits on at most per_class documents of each class, the first by md5(seed, doc_id): a fixed bound on what the
-    driver holds. A doc_id labelled both ways counts as toxic; labels without doc_id or class are left out."""
+    The threshold is chosen on scores that each text gets from a model fitted without it: text k is in fold k mod folds
+    of its class. So with few labels too all of them count, and at most the share most_wrong of the texts that aren't
+    toxic is rejected among them. Without texts of both classes nothing is learnt and nothing rejected; with fewer texts
+    of a class than folds the threshold is chosen on the fitted scores."""
+    y = np.array(toxic, dtype=np.float64)
+    if not len(y) or y.min() == y.max():
+        return ToxicityModel(np.zeros(1 << bits, np.float32), 0.0, float("inf"), bits)
+    examples = Examples.of(texts, toxic, bits)
+    how = (bits, alpha, l2, steps, least_texts, least_ratio)
+    weights, bias, scores = _linear(examples, np.ones(len(y), dtype=bool), *how)
+    if min((y == 1).sum(), (y == 0).sum()) >= folds:
+        fold = np.zeros(len(y), dtype=np.int64)
+        for label in (0, 1):
+            own = np.flatnonzero(y == label)
+            fold[own] = np.arange(len(own)) % folds
+        for k in range(folds):
+            scores[fold == k] = _linear(examples, fold != k, *how)[2][fold == k]
+    return ToxicityModel(weights, bias, pick_threshold(scores, y, most_wrong), bits)
+
+
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, class_chars: int = 8_000_000, bits: int = 20, seed: str = "nb") -> ToxicityModel:
+    """Fits on at most per_class documents of each class, the first by md5(seed, doc_id), less those that would bring
+    the class above class_chars characters: fixed bounds on what the driver holds. Texts are used whole.
+
+    A doc_id labelled both ways counts as toxic; labels without doc_id or class are left out, and so are documents
+    without a text. Of several texts with one doc_id the least counts. If a class has no text, as in an empty table, the
+    model rejects nothing. Other columns, whatever their names, are not read.
+    """
     label = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     key = F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
     chosen = [label.where(F.col("y") == y).orderBy(key, "doc_id").limit(per_class) for y in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows of 12 bytes
-    rows = documents.select("doc_id", "text").where("text is not null").join(ids, "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (hash_key(seed, r.doc_id), r.text))
-    return fit([r.text for r in rows], [r.y for r in rows], bits)
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows of an id and a class
+    rows = cut(documents.select("doc_id", "text").where("text is not null").join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    sizes = sorted(((hash_key(seed, r.doc_id), str(r.doc_id), r.y, r.n, r.doc_id) for r in rows.select("doc_id", "y", F.length("text").alias("n")).collect()), key=lambda r: r[:2])
+    left, used = [class_chars, class_chars], {}
+    for *_, y, n, doc_id in sizes:
+        if n <= left[y]:
+            left[y] -= n
+            used[doc_id] = len(used)
+    found = [r for r in rows.where(F.length("text") <= class_chars).toLocalIterator() if r.doc_id in used]
+    found.sort(key=lambda r: used[r.doc_id])
+    return fit([r.text for r in found], [r.y for r in found], bits)
 
 
 def hash_key(seed: str, value: object) -> str:
@@ -188,7 +291,9 @@ def score(documents: DataFrame, model: ToxicityModel, name: str = "toxicity") ->
 
 
 def keep_clean(documents: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
-    """The rows of documents that the model doesn't reject, with their score. Null and empty texts stay."""
+    """The rows of documents that the model doesn't reject, with their score in a column `name` (with underscores where
+    taken). Null and empty texts stay; equal texts get equal scores, so repeated rows stay or go together; a score equal
+    to the threshold is rejected; an empty table stays empty."""
     name = fresh(documents.columns, name)
     return score(documents, model, name).where(F.col(name).isNull() | (F.col(name) < model.threshold))
 
