@@ -13,6 +13,7 @@ from corpusflow.functions import text as T
 from corpusflow.operators import align, dedup, frames, jobs, links, schedule, select, serp
 from corpusflow.plans import fixtures, pipeline
 from corpusflow.sources import batch
+from corpusflow.streaming import limiter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -781,30 +782,32 @@ def job_urls(spark: SparkSession, d: str) -> DataFrame:
     return jobs.search_urls(wanted)
 
 
-_RESPONSES = [
-    ("clean", '{"title": "Engineer", "company": "Acme", "requirements": ["a", "b"], "tech_stack": ["x"]}'), ("fenced", '```json\n{"title": "Lead", "salary": "20k"}\n```'),
-    ("prose", 'Here it is: {"title": "Nurse", "location": "Paris", "benefits": []} bye'), ("garbage", "no json here"), ("missing", "{}"), ("none", None),
-]
+#: models' answers by doc_id % 6: bare, fenced, in prose, none, empty, missing; @ is doc_id
+_RESPONSES = ['{"title": "Engineer @", "company": "Acme @", "requirements": ["a@", "b"], "tech_stack": ["x@", "y"], "education": "E@"}', '```json\n{"title": "Lead @", "salary": "@k"}\n```', 'Here it is: {"title": "Nurse @", "location": "Paris @", "benefits": []} bye', "no json here @", "{}", None]
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    text = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    answers = spark.createDataFrame([(k, i, r) for k, (i, r) in enumerate(_RESPONSES)], "k int, id string, response string")
-    return text.join(F.broadcast(answers), F.col("doc_id") % 6 == F.col("k")).select("doc_id", "id", jobs.parse("response", "text", F.lit("u")).alias("job"))
+    i = F.col("doc_id")
+    answer = F.replace(F.element_at(F.array(*[F.lit(r) for r in _RESPONSES]), (i % 6).cast("int") + 1), F.lit("@"), i.cast("string"))
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.when(i % 5 == 0, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"), answer.alias("response"))
+    return rows.select("doc_id", jobs.parse("response", "text", F.lit("u")).alias("job"))
 
 
-_PARSED = f"""p AS (SELECT doc_id, length({_strip("text")}) >= 50 AS enough, doc_id % 6 AS k, substr(string_split({_strip("text")}, chr(10))[1], 1, 80) AS first, length(text) AS n FROM documents),
-    j AS (SELECT doc_id, n, CASE WHEN NOT enough THEN '' WHEN k = 0 THEN 'Engineer' WHEN k = 1 THEN 'Lead' WHEN k = 2 THEN 'Nurse' WHEN k = 5 THEN first ELSE '' END AS title,
-        CASE WHEN enough AND k = 0 THEN 'Acme' ELSE '' END AS company, CASE WHEN enough AND k = 1 THEN '20k' ELSE '' END AS salary, CASE WHEN enough AND k = 2 THEN 'Paris' ELSE '' END AS location, enough AND k = 0 AS full_ FROM p)"""
+_JSON = lambda f: f"coalesce(j->>'$.{f}', '')"
+_PARSED = f"""s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 40) ELSE text END AS text, replace(([{', '.join('NULL' if r is None else _q(r) for r in _RESPONSES)}])[CAST(doc_id % 6 AS INTEGER) + 1], '@', CAST(doc_id AS VARCHAR)) AS r FROM documents),
+    p AS (SELECT doc_id, r, length({_strip("text")}) >= 50 AS enough, substr(string_split({_strip("text")}, chr(10))[1], 1, 80) AS first, length(text) AS n, TRY_CAST(nullif(regexp_extract(r, '(?s)\\{{.*\\}}'), '') AS JSON) AS j FROM s),
+    j AS (SELECT doc_id, n, CASE WHEN NOT enough THEN '' WHEN r IS NULL THEN first ELSE {_JSON('title')} END AS title, {', '.join(f"CASE WHEN enough THEN {_JSON(f)} ELSE '' END AS {f}" for f in ('company', 'salary', 'location', 'education'))},
+        {', '.join(f"CASE WHEN enough THEN coalesce(CAST(j->'$.{f}' AS VARCHAR[]), []) ELSE [] END AS {f}" for f in ('requirements', 'tech_stack'))} FROM p)"""
 
 
-@query("jd_parse", f"WITH {_PARSED} SELECT doc_id, title, company, salary, location, CASE WHEN full_ THEN 'a,b' ELSE '' END AS requirements, CAST(n AS INTEGER) AS raw_length FROM j")
+@query("jd_parse", f"WITH {_PARSED} SELECT doc_id, title, company, salary, location, education, array_to_string(requirements, ',') AS requirements, CAST(n AS INTEGER) AS raw_length FROM j")
 def jd_parse(spark: SparkSession, d: str) -> DataFrame:
-    return _postings(spark, d).select("doc_id", "job.title", "job.company", "job.salary", "job.location", F.array_join("job.requirements", ",").alias("requirements"), "job.raw_length")
+    return _postings(spark, d).select("doc_id", "job.title", "job.company", "job.salary", "job.location", "job.education", F.array_join("job.requirements", ",").alias("requirements"), "job.raw_length")
 
 
 @query("jd_text", f"""WITH {_PARSED} SELECT doc_id, concat_ws(chr(10), CASE WHEN title <> '' THEN '【' || title || '】' END, CASE WHEN company <> '' THEN '公司：' || company END, CASE WHEN salary <> '' THEN '薪资：' || salary END,
-    CASE WHEN location <> '' THEN '地点：' || location END, CASE WHEN full_ THEN chr(10) || '要求：' || chr(10) || '  a' || chr(10) || '  b' END, CASE WHEN full_ THEN chr(10) || '技术栈：x' END) AS text FROM j""")
+    CASE WHEN location <> '' THEN '地点：' || location END, CASE WHEN education <> '' THEN '学历：' || education END, CASE WHEN len(requirements) > 0 THEN chr(10) || '要求：' || chr(10) || '  ' || array_to_string(requirements, chr(10) || '  ') END,
+    CASE WHEN len(tech_stack) > 0 THEN chr(10) || '技术栈：' || array_to_string(tech_stack, ', ') END) AS text FROM j""")
 def jd_text(spark: SparkSession, d: str) -> DataFrame:
     return _postings(spark, d).select("doc_id", jobs.to_text(F.col("job")).alias("text"))
 
@@ -922,15 +925,66 @@ def llm_trim(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.documents(spark, d).select("doc_id", jobs.trim("text").alias("short"))
 
 
-_BODY = '{"web": {"results": [{"url": "a%s"}, {"url": "b"}, {"url": "a%s"}]}, "results": [{"url": "c%s"}, {"url": null}], "RelatedTopics": [{"FirstURL": "d%s"}, {"Topics": []}], "Results": [{"FirstURL": "d%s"}, {"FirstURL": "e"}]}'
-_LITE = """<a class="result-link" href="//ad">x</a><a class='result-link' rel=n href='https://r/%s'>y</a><a href="/l?uddg=https%%3A%%2F%%2Fz%%2F%s&amp;k=1">"""
+#: answers of four services with @, the page, in some addresses
+_BODY = '{"web": {"results": [{"url": "a@"}, {"url": "b"}, {"url": "a@"}]}, "results": [{"url": "c@"}, {"url": null}, {"url": "c@"}, {"url": "c"}], "RelatedTopics": [{"FirstURL": "d@"}, {"Topics": []}], "Results": [{"FirstURL": "d@"}, {"FirstURL": "e"}]}'
+_LITE = """<a class="result-link" href="//ad">x</a><a class='result-link' rel=n href='https://r/@'>y</a><a href="/l?uddg=https%3A%2F%2Fz%2F@&amp;k=1"><a href="/l?uddg=https%3A%2F%2Fz%2F">"""
+_FIRST = lambda l, most: f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter({l}, lambda x: x IS NOT NULL AND x <> ''), lambda x: [x])), lambda s, x: CASE WHEN list_contains(s, x[1]) THEN s ELSE list_concat(s, x) END)[1:{most}]"
+_URLS_AT = lambda path: f"CAST(json_extract_string(body, '{path}') AS VARCHAR[])"
 
 
-@query("serp_parse", """SELECT page_id, 'a' || page_id || ',b' AS brave, 'c' || page_id AS searxng, 'd' || page_id || ',e' AS instant, CASE page_id % 2 WHEN 0 THEN 'https://r/' ELSE 'https://z/' END || page_id AS lite FROM pages""")
+@query("serp_parse", f"""WITH b AS (SELECT page_id, replace(CASE WHEN page_id % 5 = 4 THEN '{{}}' ELSE {_q(_BODY)} END, '@', CAST(page_id % 7 AS VARCHAR)) AS body, replace(replace({_q(_LITE)}, '@', CAST(page_id AS VARCHAR)), CASE WHEN page_id % 2 = 1 THEN 'class=' || chr(39) || 'result-link' || chr(39) ELSE '@' END, '') || CASE WHEN page_id % 11 = 10 THEN '<p class="anomaly-modal">' ELSE '' END AS lite FROM pages),
+    l AS (SELECT *, list_filter(regexp_extract_all(lite, 'class=["'']result-link["''][^>]*href=["'']([^"'']+)["'']', 1), lambda x: NOT starts_with(x, '//')) AS direct, list_transform(regexp_extract_all(lite, 'uddg=([^&"'']+)', 1), lambda x: url_decode(x)) AS sent FROM b),
+    u AS (SELECT page_id, {_FIRST(_URLS_AT('$.web.results[*].url'), 20)} AS brave, {_FIRST(_URLS_AT('$.results[*].url'), 20)} AS searxng, {_FIRST(_URLS_AT('$.results[*].url'), 10)} AS exa,
+        {_FIRST(f"list_concat({_URLS_AT('$.RelatedTopics[*].FirstURL')}, {_URLS_AT('$.Results[*].FirstURL')})", 20)} AS instant, CASE WHEN contains(lite, 'anomaly-modal') THEN [] ELSE {_FIRST("CASE WHEN len(direct) > 0 THEN direct ELSE sent END", 20)} END AS lite FROM l)
+    SELECT page_id, array_to_string(brave, ',') AS brave, array_to_string(exa, ',') AS exa, array_to_string(CASE WHEN len(instant) > 0 AND page_id % 3 = 0 THEN instant ELSE searxng END, ',') AS searxng, array_to_string(instant, ',') AS instant, array_to_string(lite, ',') AS lite FROM u""")
 def serp_parse(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("page_id").cast("string")
-    body, lite = F.format_string(_BODY, i, i, i, i, i), F.format_string(_LITE, i, i)
-    lite = F.when(F.col("page_id") % 2 == 1, F.replace(lite, F.lit("class='result-link'"), F.lit(""))).otherwise(lite)
+    i = F.col("page_id")
+    body = F.replace(F.when(i % 5 == 4, "{}").otherwise(_BODY), F.lit("@"), (i % 7).cast("string"))
+    lite = F.replace(F.lit(_LITE), F.lit("@"), i.cast("string"))
+    lite = F.concat(F.when(i % 2 == 1, F.replace(lite, F.lit("class='result-link'"), F.lit(""))).otherwise(lite), F.when(i % 11 == 10, '<p class="anomaly-modal">').otherwise(""))
     rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", body.alias("body"), lite.alias("lite"))
     joined = lambda c: F.array_join(c, ",")
-    return rows.select("page_id", joined(serp.brave_urls("body")).alias("brave"), joined(serp.first_backend(serp.duckduckgo_instant_urls(F.lit("{}")), serp.searxng_urls("body"))).alias("searxng"), joined(serp.duckduckgo_instant_urls("body")).alias("instant"), joined(serp.duckduckgo_lite_urls("lite")).alias("lite"))
+    chosen = serp.first_backend(serp.duckduckgo_instant_urls(F.when(i % 3 == 0, F.col("body")).otherwise("{}")), serp.searxng_urls("body"))
+    return rows.select("page_id", joined(serp.brave_urls("body")).alias("brave"), joined(serp.exa_urls("body")).alias("exa"), joined(chosen).alias("searxng"), joined(serp.duckduckgo_instant_urls("body")).alias("instant"), joined(serp.duckduckgo_lite_urls("lite")).alias("lite"))
+
+
+_ASCII = "regexp_replace(text, '[^\\x01-\\x7f]', '', 'g')"
+
+
+@query("decode_bytes", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '中文' || {_ASCII} ELSE '中文' || {_ASCII} END AS text FROM documents")
+def decode_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """UTF-8, GBK without a hint, and Big5 with one."""
+    i = F.col("doc_id")
+    plain = F.encode(F.regexp_replace("text", r"[^\x{1}-\x{7f}]", ""), "UTF-8")
+    body = F.when(i % 3 == 0, F.encode("text", "UTF-8")).when(i % 3 == 1, F.concat(F.unhex(F.lit("D6D0CEC4")), plain)).otherwise(F.concat(F.unhex(F.lit("A4A4A4E5")), plain))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.decoded(body, F.when(i % 3 == 2, "big5").when(i % 3 == 1, "no-such-encoding")).alias("text"))
+
+
+@query("response_bodies", """WITH r AS (SELECT doc_id, (['https://h.example/api/x', 'https://h.example/page', 'https://h.example/api/y'])[CAST(doc_id % 3 AS INTEGER) + 1] AS url, (['application/json', 'text/html; charset=utf-8', 'image/png'])[CAST(doc_id // 3 % 3 AS INTEGER) + 1] AS kind, text FROM documents),
+    b AS (SELECT *, CASE WHEN contains(kind, 'json') THEN CAST(json_object('code', 0, 'data', json_object('t', text)) AS VARCHAR) ELSE text END AS body FROM r)
+    SELECT doc_id, CASE WHEN contains(kind, 'json') THEN CASE WHEN length(text) > 50 THEN text END WHEN contains(kind, 'html') AND contains(url, '/api/') AND length(body) > 200 THEN body END AS api,
+        CASE WHEN contains(kind, 'json') THEN CASE WHEN length(body) > 200 THEN substr(body, 1, 5000) END WHEN contains(kind, 'html') AND length(body) > 500 THEN substr(body, 1, 10000) END AS kept FROM b""")
+def response_bodies(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int") + 1)
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", pick(["https://h.example/api/x", "https://h.example/page", "https://h.example/api/y"], i).alias("url"), pick(["application/json", "text/html; charset=utf-8", "image/png"], F.floor(i / 3)).alias("kind"))
+    rows = rows.withColumn("body", F.when(F.col("kind").contains("json"), F.to_json(F.struct(F.lit(0).alias("code"), F.struct(F.col("text").alias("t")).alias("data")))).otherwise(F.col("text")))
+    return rows.select("doc_id", T.api_text("url", "kind", F.encode("body", "UTF-8")).alias("api"), T.captured_body("kind", "body").alias("kept"))
+
+
+@query("multi_extract", """WITH r AS (SELECT doc_id // 5 AS query_id, doc_id % 5 AS round, 'u' || (doc_id % 4 // 2) AS url, CASE WHEN doc_id % 7 = 3 THEN '' ELSE text END AS text, (doc_id % 10) / 1e1 AS score FROM documents WHERE doc_id % 5 < 3),
+    e AS (SELECT *, coalesce(max(CAST(score < 3e-1 AS INTEGER)) OVER (PARTITION BY query_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM r)
+    SELECT query_id, round, url, text, score FROM e WHERE ended = 0 AND text <> '' QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY round) = 1""")
+def multi_extract(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(i / 5).alias("query_id"), (i % 5).alias("round"), F.concat(F.lit("u"), F.floor(i % 4 / 2).cast("string")).alias("url"), F.when(i % 7 == 3, "").otherwise(F.col("text")).alias("text"), (i % 10 / 10).alias("score"))
+    return dedup.best_of_many(rows, 3, 0.3)
+
+
+@query("requests_in_flight", """WITH e AS (SELECT event_type AS domain, event_id AS pos, epoch_us(ts) AS s, epoch_us(ts) + event_id % 600 * 1000000 AS f FROM events),
+    v AS (SELECT domain, pos, s AS t, 1 AS d FROM e UNION ALL SELECT domain, pos, f, -1 FROM e), r AS (SELECT *, sum(d) OVER (PARTITION BY domain ORDER BY t, d, pos ROWS UNBOUNDED PRECEDING) AS n FROM v)
+    SELECT domain, pos, CAST(n AS BIGINT) AS in_flight, n <= 4 AS ok FROM r WHERE d = 1""")
+def requests_in_flight(spark: SparkSession, d: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("domain"), F.col("event_id").alias("pos"), at.alias("start"), (at + F.col("event_id") % 600 * 1000000).alias("finish"))
+    return limiter.admitted(rows, 4).select("domain", "pos", "in_flight", "ok")

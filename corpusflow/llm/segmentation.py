@@ -12,12 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusflow.llm.common import table
+from corpusflow.llm.common import fresh, table
 
 SPACE = "▁"
-BATCH_CHARS = 3 << 20
-LONG = 64  # words of more characters take the scalar path
+BATCH_CHARS = 2 << 20
+LONG = 64  # longer words are searched one by one
 STORED = 400_000  # a worker forgets the words it has searched when it holds more
 _U = np.uint64
 _TABLE_BITS = 22
@@ -59,7 +60,15 @@ class Pieces:
             raise ValueError("two pieces have one hash")
         self.likely = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.likely[(self.hashes >> _U(64 - _TABLE_BITS)).astype(np.int64)] = True
-        self.kept: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self.kept: dict[tuple[str, int], list[tuple[float, list[int], bool]]] = {}
+        spelled = {i: piece.replace(SPACE, " ").encode() for piece, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        table = [spelled.get(i, b"") for i in range(sp.get_piece_size())]
+        self.bytes_of = np.array([i in spelled for i in range(len(table))])
+        self.opens = np.zeros(len(table), dtype=bool)  # pieces whose first byte is a space before a word
+        self.opens[[i for piece, i in self.ids.items() if piece[0] == SPACE]] = True
+        self.byte_count = np.array([len(t) for t in table], np.int64)
+        self.byte_start = np.cumsum(self.byte_count) - self.byte_count
+        self.byte_table = np.frombuffer(b"".join(table), np.uint8)
         self.forget()
 
     @staticmethod
@@ -122,15 +131,99 @@ class Pieces:
                 heapq.heappush(heap, (-(forward[start] + (done + score)), start, pushed, done + score, (ids, tail)))
         return found
 
-    def n_best_kept(self, word: str, n: int) -> list[tuple[float, list[int]]]:
+    def _edges(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The lattice as arrays: start, piece (-1: unknown character) and score of the edges by (end, start), and where
+        those of each end position begin."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+        n, h = len(codes), np.zeros(len(codes), dtype=_U)
+        starts, ends, ids = [], [], []
+        for k in range(min(self.longest, n)):
+            h = self._step(h[: n - k], codes[k:])
+            full = self._finish(h)
+            maybe = np.flatnonzero(self.likely[(full >> _U(64 - _TABLE_BITS)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, full[maybe]), len(self.hashes) - 1)
+            hit = self.hashes[at] == full[maybe]
+            start, piece = maybe[hit], self.hash_ids[at[hit]]
+            if k == 0:
+                every = np.full(n, -1, dtype=np.int32)
+                every[start] = piece
+                start, piece = np.arange(n), every
+            starts.append(start)
+            ends.append(start + k + 1)
+            ids.append(piece)
+        start, end, piece = (np.concatenate(x) for x in (starts, ends, ids))
+        order = np.lexsort((start, end))
+        piece = piece[order]
+        score = np.where(piece >= 0, self.scores[np.maximum(piece, 0)], self.unknown_score)
+        return start[order], piece, score, np.searchsorted(end[order], np.arange(n + 2))
+
+    def n_best_long(self, word: str, n: int) -> list[tuple[float, list[int]]]:
+        """n_best() for words of any length: the lattice is arrays, the forward pass keeps the n best scores of the last
+        positions, and A* leaves out what can't come up to the n-th best path, so that it visits about n nodes for each
+        position (more only at ties)."""
+        start, piece, score, begin = self._edges(word)
+        size, span = len(word), min(self.longest, len(word))
+        forward, best = np.zeros(size + 1), [[0.0]] + [[]] * span  # best: a ring of the last positions
+        for low in range(1, size + 1, 1 << 14):  # edges become Python numbers a block at a time
+            high = min(size + 1, low + (1 << 14))
+            first = int(begin[low])
+            s, c, b = start[first : begin[high]].tolist(), score[first : begin[high]].tolist(), (begin[low : high + 1] - first).tolist()
+            tops = []
+            for end in range(low, high):
+                found = [x + c[e] for e in range(b[end - low], b[end - low + 1]) for x in best[s[e] % (span + 1)]]
+                found.sort(reverse=True)
+                best[end % (span + 1)] = found[:n]
+                tops.append(found[0])
+            forward[low:high] = tops
+        least = best[size % (span + 1)][-1]
+        least -= 1e-9 * (1 + abs(least))
+        heap, done, parent, via = [(-float(forward[size]), size, 0)], [0.0], [-1], [-1]
+        found = []
+        while heap and len(found) < n:
+            _, at, own = heapq.heappop(heap)
+            if at == 0:
+                total, ids = done[own], []
+                while own:
+                    ids.append(via[own])
+                    own = parent[own]
+                tokens = piece[np.array(ids, np.int64)]
+                found.append((total, [i for e, t in zip(ids, tokens.tolist()) for i in ([t] if t >= 0 else self.spelled(word[start[e]]))]))
+                continue
+            for e in range(begin[at], begin[at + 1]):
+                so_far = done[own] + float(score[e])
+                value = float(forward[start[e]]) + so_far
+                if value >= least:
+                    heapq.heappush(heap, (-value, int(start[e]), len(done)))
+                    done.append(so_far)
+                    parent.append(own)
+                    via.append(e)
+        return found
+
+    def n_best_kept(self, word: str, n: int) -> list[tuple[float, list[int], bool]]:
+        """The n best paths, each with whether it spells the word."""
         if len(word) > LONG:
-            return self.n_best(word, n)
+            return self._checked(word, self.n_best_long(word, n))
         if (word, n) not in self.kept:
             if len(self.kept) > 20_000:
                 self.kept.clear()
-            self.kept[word, n] = self.n_best(word, n)
+            self.kept[word, n] = self._checked(word, self.n_best(word, n))
         return self.kept[word, n]
 
+    def _checked(self, word: str, paths: list[tuple[float, list[int]]]) -> list[tuple[float, list[int], bool]]:
+        ids = np.array([i for _, path in paths for i in path], np.int64)
+        spelled = self.text_of(ids, np.cumsum([len(path) for _, path in paths]))
+        return [(score, path, raw == _written(word)) for (score, path), raw in zip(paths, spelled)]
+
+    def text_of(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
+        """The bytes that each stretch of ids stands for, without the space before the first word; None if it holds
+        pieces that stand for none of their own."""
+        written = self.bytes_of[ids]
+        upto = np.concatenate(([0], np.cumsum(self.byte_count[ids])))
+        whole = self.byte_table[np.repeat(self.byte_start[ids] - upto[:-1], self.byte_count[ids]) + np.arange(upto[-1])].tobytes()
+        bad = np.concatenate(([0], np.cumsum(~written)))
+        low = np.concatenate(([0], ends[:-1]))
+        return [None if bad[b] > bad[a] else whole[upto[a] + (b > a and self.opens[ids[a]]) : upto[b]] for a, b in zip(low.tolist(), ends.tolist())]
+
     # many words at a time
 
     def _best_of(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +295,7 @@ class Pieces:
                 found.append((own, *self._best_of([words[i] for i in own], high)))
             low = high
         for i in np.flatnonzero(length > LONG):
-            two = self.n_best(words[i], 2)
+            two = self.n_best_long(words[i], 2)
             gap = two[0][0] - two[1][0] if len(two) > 1 else np.inf
             ids = np.array(two[0][1], np.int64)
             found.append((np.array([i]), np.array([two[0][0]]), np.array([gap]), ids, np.array([len(ids)])))
@@ -210,6 +303,12 @@ class Pieces:
             return
         order, best, gap, tokens, count = (np.concatenate(x) for x in zip(*found))
         tokens, count = self.spell(tokens, count)
+        exact = []
+        for at in range(0, len(order), 4096):
+            ends = np.cumsum(count[at : at + 4096])
+            first = int(count[:at].sum())
+            exact += [raw == _written(words[i]) for i, raw in zip(order[at : at + 4096], self.text_of(tokens[first : first + int(ends[-1])], ends))]
+        self.exact = np.append(self.exact, np.array(exact, dtype=bool))
         for i in order:
             self.number[words[i]] = len(self.number)
         self.best, self.gap, self.count = np.append(self.best, best), np.append(self.gap, gap), np.append(self.count, count)
@@ -218,7 +317,7 @@ class Pieces:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.best, self.gap = np.zeros(0), np.zeros(0)
+        self.best, self.gap, self.exact = np.zeros(0), np.zeros(0), np.zeros(0, bool)
         self.count, self.offset, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def spell(self, tokens: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +339,20 @@ class Pieces:
         return out, upto[ends] - upto[ends - count]
 
 
+def _written(word: str) -> bytes:
+    """What a word's pieces stand for, without the space before it."""
+    return word[word.startswith(SPACE) :].replace(SPACE, " ").encode("utf-8", "surrogatepass")
+
+
 @cache
 def _pieces(path: str) -> Pieces:
     """One model per Python worker."""
     return Pieces(path)
 
 
-def segment(pieces: Pieces, texts: list[str], n: int) -> Iterator[tuple[int, int, float, np.ndarray]]:
-    """(text's index, rank from 1, score, ids) of the n best segmentations of each text.
+def segment(pieces: Pieces, texts: list[str], n: int) -> Iterator[tuple[int, int, float, np.ndarray, bool]]:
+    """(text's index, rank from 1, score, ids, exact) of the n best segmentations of each text. exact: the words' pieces
+    spell them, and they the text; a distinct word is spelled once and not wherever it occurs.
 
     Words are independent parts of the lattice. A path that departs from the best one in a word loses at least the
     word's gap to its second-best path, so the n best depart only in the n - 1 words of the smallest gaps (ties: the
@@ -266,7 +371,11 @@ def segment(pieces: Pieces, texts: list[str], n: int) -> Iterator[tuple[int, int
         total = int(ends[-1]) if len(ends) else 0
         index = np.arange(total) + np.repeat(offset[which] - (ends - size), size)
         ids, score = tokens[index], float(best[which].sum())
-        yield i, 1, score, ids
+        plain = "".join(words).replace(SPACE, " ")
+        same = plain[plain.startswith(" ") :] == texts[i]
+        exact = pieces.exact[which]
+        wrong = int((~exact).sum())
+        yield i, 1, score, ids, same and not wrong
         if n < 2 or not len(which):
             continue
         gaps = gap[which]
@@ -280,24 +389,26 @@ def segment(pieces: Pieces, texts: list[str], n: int) -> Iterator[tuple[int, int
         for w in near:
             lists[w] = pieces.n_best_kept(words[w], n)
             top = lists[w][0][0]
-            merged = sorted((loss + (top - s), (*path, (int(w), j)) if j else path) for loss, path in merged for j, (s, _) in enumerate(lists[w]))[:n]
+            merged = sorted((loss + (top - s), (*path, (int(w), j)) if j else path) for loss, path in merged for j, (s, _, _) in enumerate(lists[w]))[:n]
         for rank, (loss, path) in enumerate(merged[1:], 2):
             parts, at = [], 0
             for w, j in path:
                 parts += [ids[at : ends[w] - size[w]], np.array(lists[w][j][1], np.int32)]
                 at = ends[w]
-            yield i, rank, score - loss, np.concatenate([*parts, ids[at:]])
+            left = wrong - sum(not exact[w] for w, _ in path)
+            yield i, rank, score - loss, np.concatenate([*parts, ids[at:]]), same and not left and all(lists[w][j][2] for w, j in path)
 
 
 def n_best_segmentations(documents: DataFrame, model: str, n: int = 3) -> DataFrame:
-    """(doc_id, rank, score, ids): the n best segmentations of every whole text into the model's pieces, best first.
+    """(doc_id, rank, score, ids, exact): the n best segmentations of every whole text into the model's pieces, best
+    first; exact says whether they decode to the text itself (what the model normalises away, they can't).
 
     score is the sum of the piece scores. Texts with fewer segmentations give fewer rows; the empty text gives one of
     score 0 without ids; null texts give none. Equal scores are ordered the same way every time. A null doc_id is
-    carried; repeated rows are each segmented; other columns are not read. model is a path all executors can read.
-    Nothing is shuffled. decode() gives the text back from any of the segmentations.
+    carried, and doc_id keeps its type; repeated rows are each segmented; other columns are not read; an empty table
+    gives no rows. Words of any length are searched whole, in time linear in them. model is a path all executors can
+    read. Nothing is shuffled. decode() gives the text back from any of the segmentations.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
@@ -307,33 +418,48 @@ def n_best_segmentations(documents: DataFrame, model: str, n: int = 3) -> DataFr
             while at < batch.num_rows:  # about BATCH_CHARS characters, one text at least
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_CHARS, side="right")))
                 part = batch.slice(at, to - at)
-                found = list(segment(pieces, part.column(1).to_pylist(), n))
-                offsets = np.concatenate(([0], np.cumsum([len(f[3]) for f in found]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([f[3] for f in found]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([f[0] for f in found])), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.float64()), lists], schema=schema)
+                texts = part.column(1).to_pylist()
+                found = list(segment(pieces, texts, n))
+                ends = np.cumsum([len(f[3]) for f in found])
+                ids = np.concatenate([f[3] for f in found]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([f[0] for f in found])), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.float64()), lists, pa.array([f[4] for f in found], pa.bool_())], names=["doc_id", "rank", "score", "ids", "exact"])
                 at = to
 
-    rows = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.length("text").cast("bigint").alias("size"))
-    return rows.mapInArrow(run, "doc_id bigint, rank int, score double, ids array<int>")
+    rows = documents.where("text is not null").select("doc_id", "text", F.length("text").cast("bigint").alias("size"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("rank int, score double, ids array<int>, exact boolean").fields]))
 
 
 def decode(segmented: DataFrame, model: str, name: str = "text") -> DataFrame:
-    """segmented with the text that its ids stand for; null where ids is null."""
-    from pyspark.sql import types as T
-
+    """segmented with the text that its ids stand for, in a column `name` (with underscores where taken); null where ids
+    is null, empty where it has none. Bytes that are no UTF-8 and pieces without a text are written as the model's own
+    decoder does. Repeated rows, ties and other columns, whatever their names, stay as they are; an empty table stays
+    empty. Nothing is shuffled."""
+    name = fresh(segmented.columns, name)
     schema = T.StructType([*segmented.schema.fields, T.StructField(name, T.StringType())])
     at = segmented.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _pieces(model).sp
-        for batch in batches:
-            texts = [None if ids is None else sp.decode(ids) if ids else "" for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
+        pieces = _pieces(model)
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                lists = batch.column(at)
+                ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+                texts: list[str | None] = []
+                for k, raw in enumerate(pieces.text_of(ids, ends)):
+                    try:
+                        texts.append(raw.decode() if raw is not None else pieces.sp.decode(lists[k].as_py()))
+                    except UnicodeDecodeError:
+                        texts.append(pieces.sp.decode(lists[k].as_py()))
+                mask = lists.is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=mask)], names=[*batch.schema.names, name])
 
     return segmented.mapInArrow(run, schema)
 
 
 def op6_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of every text, each decoded and compared with it."""
     return n_best_segmentations(table(spark, sf_dir, "documents"), default_model())
 
 

@@ -235,7 +235,7 @@ def fit(texts: list[str | None], toxic: list[int], bits: int = 20, alpha: float
     return ToxicityModel(weights, bias, pick_threshold(scores, y, most_wrong), bits)
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, class_chars: int = 8_000_000, bits: int = 20, seed: str = "nb") -> ToxicityModel:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, class_chars: int = 5_000_000, bits: int = 20, seed: str = "nb") -> ToxicityModel:
     """Fits on at most per_class documents of each class, the first by md5(seed, doc_id), less those that would bring
     the class above class_chars characters: fixed bounds on what the driver holds. Texts are used whole.
 

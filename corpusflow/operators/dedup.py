@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,33 @@ def drawn_texts(rows: DataFrame, key: str, order: str, value: str, least: int =
     return joined.select(key, F.array_join(F.col("t.v"), "\n").alias("text")).where(F.length("text") > total)
 
 
-def drop_contained(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows whose value isn't strictly inside a longer value of the same key."""
-    longer = rows.select(F.col(key).alias("_k"), F.col(value).alias("_v")).distinct()
-    inside = (F.col(key) == F.col("_k")) & (F.length("_v") > F.length(value)) & F.col("_v").contains(F.col(value))
+def drop_contained(rows: DataFrame, key: str, value: str, size: int = 8) -> DataFrame:
+    """Rows whose value isn't strictly inside a longer value of the same key; null values stay.
+
+    A value can only be inside another that has its first `size` characters (all of a shorter one), so rows meet on
+    the key and these, and not on the key alone. A value's stretches of that size are found in one pass over it."""
+    text = F.col(value)
+    head = F.substring(text, 1, size)
+    # at most size + 1 lengths
+    sizes = sorted(r[0] for r in rows.where(text.isNotNull()).select(F.length(head)).distinct().collect())
+    stretches = [F.array(F.lit("")) if n == 0 else F.regexp_extract_all("_v", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    if not stretches:
+        return rows
+    longer = rows.select(F.col(key).alias("_k"), text.alias("_v")).distinct().select("_k", "_v", F.explode(F.array_distinct(F.flatten(F.array(*stretches)))).alias("_g"))
+    inside = (F.col(key) == F.col("_k")) & (head == F.col("_g")) & (F.length("_v") > F.length(text)) & F.col("_v").contains(text)
     return rows.join(longer, inside, "left_anti")
+
+
+def best_of_many(results: DataFrame, most: int = 3, least: float = 0.5) -> DataFrame:
+    """(query_id, round, url, text, score) → the results of a query's first `most` rounds up to and with the first whose
+    score is under `least`; those without text go, and of one address the first stays."""
+    weak = (F.coalesce("score", F.lit(0.0)) < least).cast("int")
+    before = Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    rows = results.where(F.col("round") < most).withColumn("_ended", F.coalesce(F.max(weak).over(before), F.lit(0))).where("_ended = 0").drop("_ended")
+    return keep_first(rows.where(F.length("text") > 0), ["query_id", "url"], ["round"])
+
+
+def across_platforms(listings: list[DataFrame]) -> DataFrame:
+    """Postings of several platforms as one table, each address once, in the order given; (url, pos, ...) each."""
+    rows = [d.withColumn("pos", F.struct(F.lit(k).alias("platform_pos"), F.col("pos").alias("at"))) for k, d in enumerate(listings)]
+    return jobs(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows))

@@ -10,8 +10,8 @@ from corpusflow.functions.text import col
 
 
 def distinct_in_order(urls: Column, most: int) -> Column:
-    """The non-empty addresses, each once and where it came first, at most `most`."""
-    return F.slice(F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & (u != ""))), 1, most)
+    """The non-empty addresses, each once and where it came first, at most `most`; none for null."""
+    return F.slice(F.array_distinct(F.filter(F.coalesce(urls, F.array().cast("array<string>")), lambda u: u.isNotNull() & (u != ""))), 1, most)
 
 
 def brave_urls(body: Column | str, most: int = 20) -> Column:

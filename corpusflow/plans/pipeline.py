@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators import select, serp
+from corpusflow.operators import align, select, serp
 
 
 @dataclass(frozen=True)
@@ -39,3 +39,16 @@ def run(results: DataFrame, previews: DataFrame, outputs: DataFrame, config: Con
     seen = candidates.select("query_id", "url", F.substring("preview", 1, 2000).alias("preview"), *(["keyword"] if own else []))
     stages = tried.join(outputs, "url").join(seen, ["query_id", "url"]).select("query_id", "url_rank", "url", "stage_index", "stage_name", "text", "preview", *(["keyword"] if own else []))
     return select.chain(stages, config.keyword, config.min_completeness, config.max_urls)
+
+
+def cross_validated(found: DataFrame, chapters: DataFrame, strategy: str = "longest") -> DataFrame:
+    """found with cross_validated and cross_text: for queries that succeeded and have chapters of several sources
+    (query_id, source_idx, source_name, ordinal, title, text), these aligned, merged and cleaned to one text."""
+    own = chapters.join(found.where("success").select("query_id"), "query_id", "left_semi").withColumnRenamed("query_id", "work_id")
+    placed = align.align(own).join(own, ["work_id", "source_idx", "ordinal"])
+    merged = align.merge(placed, strategy)
+    books = merged.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("num", "title", "text"))).alias("c"))
+    text = F.array_join(F.transform("c", lambda x: F.concat(x["title"], F.lit("\n\n"), x["text"])), "\n\n")
+    whole = align.auto_clean(books.select(F.col("work_id").alias("key"), text.alias("text")))
+    joined = found.join(whole.select(F.col("key").alias("query_id"), F.col("text").alias("cross_text")), "query_id", "left")
+    return joined.withColumn("cross_validated", F.col("cross_text").isNotNull())

@@ -1,20 +1,35 @@
 """Each operator against a plain version of itself on small tables."""
 
 import itertools
-import os
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 
-from corpusflow.llm import exact_dedup, jaccard, neighbours, packing, segmentation, sharding, token_counts, toxicity
+from corpusflow.llm import exact_dedup, jaccard, licenses, neighbours, packing, segmentation, sharding, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_white_space_of_any_length():
+    encoder = token_counts._encoder(*token_counts.default_tokenizer())
+    for text in ["x" + " " * 3000 + "y", " " * 2500, "a\n" + " " * 1200 + "\n\n" + "\t" * 1500 + " the end", "\u3000" * 1100 + "b  c", "a " * 900 + " " * 1001 + "'s", "a" + "\x1c" * 1100 + "b"]:
+        assert token_counts.tokens_in(encoder, text) == len(encoder.encode_ordinary(text))
+    assert token_counts.tokens_in(encoder, " " * 1_000_000) > 0
+    assert token_counts.tokens_in(encoder, "a" + " " * 1_000_000 + "b") == token_counts.tokens_in(encoder, " " * 999_999) + token_counts.tokens_in(encoder, " b") + 1
+
+
+def test_license_blocks(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated\ndocumentation files"
+    marked = "\n".join(f" * {line}" for line in grant.split("\n"))
+    texts = ["intro\n\n" + grant + "\n \n\nmore", "/*\n" + marked + "\n */", "Released under the MIT License.", "a\n\n\nb\nReleased under\nthe MIT License", "plain\ntext", "", None]
+    rows = spark.createDataFrame([(f"d{k}", t, "k") for k, t in enumerate(texts)], "doc_id string, text string, kind string")
+    found = sorted((r.doc_id, r.kind, r.block_no, r.template) for r in licenses.license_scan(rows).collect())
+    assert found == [("d0", "paragraph", 1, "mit-grant"), ("d1", "paragraph", 0, "mit-grant"), ("d2", "line", 0, "mit"), ("d3", "paragraph", 1, "mit")]
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").cache()
@@ -300,17 +315,93 @@ def test_histogram(documents):
         assert row.truncated_total == np.minimum(lengths, limit).sum() and row.docs_cut == (lengths > limit).sum()
 
 
-@pytest.mark.skipif(not os.path.exists("/root/testdata/check_s"), reason="needs some thousand labelled rows")
+def labelled(folder):
+    d, labels = (pq.read_table(f"/root/testdata/{folder}/{t}.parquet").to_pandas() for t in ("documents", "labels"))
+    return d.merge(labels, on="doc_id").sort_values("doc_id")
+
+
+def rejected(model, texts):
+    total, count = toxicity.sums(list(texts), model.weights, model.bits)
+    return total / np.maximum(count, 1) + model.bias >= model.threshold
+
+
 def test_toxicity_on_held_out_rows():
-    """With 1,200 toxic and 2,000 clean rows to learn from (production: up to 2,500 of each)."""
-    d, labels = (pq.read_table(f"/root/testdata/check_s/{t}.parquet").to_pandas() for t in ("documents", "labels"))
-    rows = d.merge(labels, on="doc_id").sort_values("doc_id")
-    toxic, clean = rows[rows.toxic == 1], rows[rows.toxic == 0]
-    train, test = pd.concat([toxic[:1200], clean[:2000]]), pd.concat([toxic[1200:1700], clean[2000:4000]])
-    model = toxicity.fit(list(train.text), list(train.toxic))
-    total, count = toxicity.sums(list(test.text), model.weights, model.bits)
-    said, truth = total / np.maximum(count, 1) + model.bias >= model.threshold, test.toxic.to_numpy() == 1
-    assert said[truth].mean() > 0.95 and said[~truth].mean() < 0.03
+    """Of all labelled rows every second one is learnt from, some 220 toxic ones."""
+    rows = labelled("sf0.1")
+    model = toxicity.fit(list(rows.text[::2]), list(rows.toxic[::2]))
+    said, truth = rejected(model, rows.text[1::2]), rows.toxic[1::2].to_numpy() == 1
+    assert said[truth].mean() > 0.9 and said[~truth].mean() < 0.03
+
+
+def test_toxicity_finds_what_is_planted_among_plain_texts():
+    rng = np.random.default_rng(0)
+    plain = lambda n: " ".join(f"word{k}" for k in rng.integers(0, 300, n))
+    bad = lambda: plain(30) + f" you {rng.choice(['stupid', 'worthless'])} {rng.choice(['idiot', 'moron'])} " + plain(30)
+    texts, toxic = [bad() if k % 5 == 0 else plain(60) for k in range(200)], [int(k % 5 == 0) for k in range(200)]
+    model = toxicity.fit(texts, toxic, bits=16)
+    assert rejected(model, [bad() for _ in range(50)]).mean() > 0.9
+    assert rejected(model, [plain(60) for _ in range(200)]).mean() < 0.03
+
+
+def test_log_count_ratios_and_gradient():
+    texts, toxic, bits, alpha = ["abcd", "bcd e", "abc abc", "xyz", ""], [1, 0, 1, 0, 0], 12, 0.5
+    examples = toxicity.Examples.of(texts, toxic, bits)
+    p, q = Counter(), Counter()
+    for text, y in zip(texts, toxic):
+        codes = np.frombuffer(f" {' '.join(text.split())} ".encode("utf-32-le"), np.uint32)
+        for slot in {int(s) for n in toxicity.ORDERS for s in toxicity._hashed(codes, n, bits)}:
+            (p if y else q)[slot] += 1
+    up, uq = (sum(c.values()) + alpha * (1 << bits) for c in (p, q))
+    ratio, seen = toxicity.log_count_ratios(examples, np.ones(5, dtype=bool), bits, alpha)
+    assert np.allclose(ratio, [np.log((alpha + p[k]) / up * uq / (alpha + q[k])) for k in range(1 << bits)])
+    assert (seen == [p[k] + q[k] for k in range(1 << bits)]).all()
+    losses = []
+
+    def spy(f, x, steps):
+        value, grad = f(x)
+        for k in (0, len(x) // 2, len(x) - 1):
+            step = np.zeros(len(x))
+            step[k] = 1e-2
+            losses.append((grad[k], (f(x + step)[0] - f(x - step)[0]) / 2e-2))
+        return real(f, x, steps)
+
+    real, toxicity.minimise = toxicity.minimise, spy
+    try:
+        toxicity._linear(examples, np.ones(5, dtype=bool), bits, alpha, 1e-3, 5, 1, 0.0)
+    finally:
+        toxicity.minimise = real
+    assert np.allclose(*zip(*losses), rtol=1e-2, atol=1e-5)
+
+
+def test_minimise():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(30, 12))
+    b = rng.normal(size=30)
+    f = lambda x: (0.5 * ((a @ x - b) ** 2).sum(), a.T @ (a @ x - b))
+    assert np.allclose(toxicity.minimise(f, np.zeros(12), 200), np.linalg.lstsq(a, b, rcond=None)[0], atol=1e-2)
+
+
+@pytest.mark.parametrize("most", [0.0, 0.1, 1.0])
+def test_threshold_is_the_best_allowed(most):
+    rng = np.random.default_rng(2)
+    scores, toxic = np.concatenate((rng.normal(0, 1, 60), rng.normal(1.5, 1, 20))), np.repeat([0.0, 1.0], [60, 20])
+    at = toxicity.pick_threshold(scores, toxic, most)
+    error = lambda t: ((scores[toxic == 1] < t).mean() + (scores[toxic == 0] >= t).mean())
+    allowed = [t for t in [*scores, scores.max() + 1] if (scores[toxic == 0] >= t).mean() <= most]
+    assert (scores[toxic == 0] >= at).mean() <= most and error(at) <= min(map(error, allowed)) + 1e-12
+
+
+def test_train_bounds_and_classes(spark):
+    schema = "doc_id string, text string, y int, n int"
+    texts = [(f"d{k}", ("you idiot " if k % 2 else "what a lovely day ") + "x" * k, 1, 2) for k in range(40)]
+    texts += [("d1", "you idiot", 1, 2), ("d5", None, 1, 1), (None, "you idiot", 1, 1), ("long", "idiot " * 1000, 1, 1)]
+    labels = spark.createDataFrame([(f"d{k}", k % 2) for k in range(40)] + [("d1", 0), ("long", 1), (None, 1), ("d2", None), ("none", 1)], "doc_id string, toxic int")
+    documents = spark.createDataFrame(texts, schema)
+    model = toxicity.train(documents, labels, class_chars=3000, bits=12)
+    assert rejected(model, ["you idiot xx", "what a lovely day xx"]).tolist() == [True, False]
+    for table, known in ((documents, labels.where("toxic = 0")), (documents.limit(0), labels), (documents, labels.limit(0))):
+        assert toxicity.train(table, known, bits=12).threshold == float("inf")
+    assert toxicity.keep_clean(documents, toxicity.train(documents, labels.limit(0), bits=12)).count() == documents.count()
 
 
 def test_toxicity_long_texts(monkeypatch):
@@ -336,9 +427,10 @@ def test_segmentations(text):
     normal = pieces.sp.normalize(text)
     every = brute_segmentations(pieces, normal) if normal else [(0.0, [])]
     found = list(segmentation.segment(pieces, [text], 5))
-    assert [round(s, 6) for _, _, s, _ in found] == [round(s, 6) for s in sorted((s for s, _ in every), reverse=True)[:5]]
-    assert len({tuple(i) for *_, i in found}) == len(found) and {tuple(i) for *_, i in found} <= {tuple(p) for _, p in every}
-    assert all(pieces.sp.decode(i.tolist()) == pieces.sp.decode(pieces.sp.encode(text)) for *_, i in found if len(i))
+    assert [round(s, 6) for _, _, s, *_ in found] == [round(s, 6) for s in sorted((s for s, _ in every), reverse=True)[:5]]
+    assert len({tuple(f[3]) for f in found}) == len(found) and {tuple(f[3]) for f in found} <= {tuple(p) for _, p in every}
+    assert all(pieces.sp.decode(f[3].tolist()) == pieces.sp.decode(pieces.sp.encode(text)) for f in found if len(f[3]))
+    assert all(f[4] == (pieces.sp.decode(f[3].tolist()) == text) for f in found if len(f[3]))
 
 
 def test_segmentation_round_trip(spark, documents):
@@ -347,7 +439,34 @@ def test_segmentation_round_trip(spark, documents):
     texts = {r.doc_id: r.text for r in some.collect()}
     found = segmentation.decode(segmentation.n_best_segmentations(some, model, 3), model).collect()
     assert {r.doc_id for r in found} == set(texts)
-    assert all(r.text == texts[r.doc_id] for r in found)
+    assert all(r.exact and r.text == texts[r.doc_id] for r in found)
+
+
+def test_long_words():
+    """Against the plain search where that is quick, and at a million characters."""
+    pieces = segmentation.Pieces(segmentation.default_model())
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 30, 80, 200):
+        for letters in ("ab", "etaoinshrdlu▁é日"):
+            word = "".join(rng.choice(list(letters), size))
+            plain, found = pieces.n_best(word, 4), pieces.n_best_long(word, 4)
+            assert [round(s, 6) for s, _ in found] == [round(s, 6) for s, _ in plain]
+            assert len({tuple(i) for _, i in found}) == len(found)
+    text = "".join(rng.choice(list("abcdefghij"), 1_000_000))
+    rows = list(segmentation.segment(pieces, ["short", text], 2))
+    assert [r[:2] for r in rows] == [(0, 1), (0, 2), (1, 1), (1, 2)]
+    assert all(pieces.sp.decode(ids.tolist()) == text and exact for i, _, _, ids, exact in rows if i == 1)
+
+
+def test_decode_writes_what_the_model_does(spark):
+    model = segmentation.default_model()
+    sp = segmentation.Pieces(model).sp
+    byte = {sp.id_to_piece(i): i for i in range(300)}
+    lists = [[], None, sp.encode("hello  world"), sp.encode(" x"), sp.encode("日本\n\t😀"), [byte["<0xE6>"]], [0, 5], [1], sp.encode("▁"), [byte["<0x20>"], 400]]
+    rows = spark.createDataFrame([(k, ids, "t", k) for k, ids in enumerate(lists)], "k int, ids array<int>, text string, rank int")
+    found = {r.k: r.text_ for r in segmentation.decode(rows, model).collect()}
+    assert found == {k: None if ids is None else sp.decode(ids) if ids else "" for k, ids in enumerate(lists)}
+    assert segmentation.decode(rows.limit(0), model).count() == 0
 
 
 def test_words_longer_than_the_vectors():
@@ -363,7 +482,7 @@ def test_neighbours_recall(spark):
     x = np.concatenate([rng.normal(size=(900, 32)), np.repeat(rng.normal(size=(30, 32)), 20, axis=0) + rng.normal(scale=0.1, size=(600, 32))]).astype(np.float32)
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
     found = defaultdict(set)
-    for r in neighbours.neighbours(rows, k=10, tile=256, queries_per_tile=200, rerank=32).collect():
+    for r in neighbours.neighbours(rows, k=10, list_rows=256, tile=200, queries_per_tile=200, rerank=32).collect():
         found[r.vec_id].add(r.neighbour_id)
     scores = x @ x.T
     np.fill_diagonal(scores, -np.inf)
@@ -371,6 +490,19 @@ def test_neighbours_recall(spark):
     assert np.mean([len(found[k] & set(top[k])) / 10 for k in range(len(x))]) >= 0.9
 
 
+def test_neighbours_of_some_queries_with_string_ids(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 12)).astype(np.float32)
+    names = [f"v{k:04}" for k in rng.permutation(700)]
+    rows = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x)], "vec_id string, embedding array<float>")
+    found = neighbours.neighbours(rows, k=5, queries=__import__("pyspark").sql.functions.col("vec_id").endswith("00"), list_rows=10_000, rerank=200).collect()
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    true = {(names[k], names[j]) for k in range(700) if names[k].endswith("00") for j in np.argsort(-scores[k])[:5]}
+    assert len(found) == 35 == len(true & {(r.vec_id, r.neighbour_id) for r in found})
+    assert all(abs(r.score - scores[names.index(r.vec_id), names.index(r.neighbour_id)]) < 1e-4 for r in found)
+
+
 def test_anisotropic_codes_lower_the_loss():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(400, 8)).astype(np.float32)

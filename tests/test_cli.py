@@ -27,3 +27,6 @@ def test_extract_and_run(spark, tmp_path):
         assert row.text == text.strip() and row.winning_stage == "curl_cffi_http"
     assert cli.main(["search", "--serp", str(tmp_path / "s"), *common]) == 0
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+    for argv, part in ((["extract", "--fetches", str(tmp_path / "f")], "- Status: success"), (["batch", "--items", str(tmp_path / "items"), "--fetches", str(tmp_path / "f")], "# Batch results"), (["search", "--serp", str(tmp_path / "s")], "1. [https://a.example")):
+        assert cli.main([*argv, "--output", str(tmp_path / "t"), "--min-score", "0.3", "--format", "md"]) == 0
+        assert part in "\n".join(r.value for r in spark.read.text(str(tmp_path / "t")).collect())

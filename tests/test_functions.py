@@ -1,6 +1,7 @@
 """Hand-computed values."""
 
 import difflib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from corpusflow.functions import classify as C
 from corpusflow.functions import json_dig
 from corpusflow.functions import text as T
-from corpusflow.operators import align, frames, jobs, links, schedule, select, serp
+from corpusflow.operators import align, dedup, frames, jobs, links, schedule, select, serp
+from corpusflow.plans import pipeline
 from corpusflow.sources import batch
 
 
@@ -39,8 +41,8 @@ def test_quality(spark):
 
 
 URLS = [
-    ("https://www.biquge.com/" "book/123.html", True, "novel_chapter"), ("https://example.com/login", False, "noise_high"), ("https://example.com/" "search?q=test", False, "noise_high"), ("https://shop.com/cart", False, "noise_high"),
-    ("https://blog.example.com/" "how-to-code", True, "blog_article"), ("https://example.com/author/jane", False, "noise_high"), ("https://example.com/tag/a/feed/", True, "uncertain"), ("https://example.com/tag/a/feed/about", False, "noise_mid_multi"), ("https://example.com/page/12", True, "unknown"),
+    ("https://www.biquge.com/book/123.html", True, "novel_chapter"), ("https://example.com/login", False, "noise_high"), ("https://example.com/search?q=test", False, "noise_high"), ("https://shop.com/cart", False, "noise_high"),
+    ("https://blog.example.com/how-to-code", True, "blog_article"), ("https://example.com/author/jane", False, "noise_high"), ("https://example.com/tag/a/feed/", True, "uncertain"), ("https://example.com/tag/a/feed/about", False, "noise_mid_multi"), ("https://example.com/page/12", True, "unknown"),
 ]
 
 
@@ -51,7 +53,7 @@ def test_urls(spark, url, good, kind):
 
 
 def test_rewriting(spark):
-    assert one(spark, "<html><script>var " "x=1;</script>" "<body><p>Hello<p>" "World</body></html>", T.html_to_text) == "Hello World"
+    assert one(spark, "<html><script>var x=1;</script><body><p>Hello<p>World</body></html>", T.html_to_text) == "Hello World"
     assert one(spark, "&amp;lt;", T.html_to_text) == "<"
     assert one(spark, "Title: x\nURL: y\n\nBody", T.strip_reader_header) == "Body"
     assert one(spark, "Title: x\n", T.strip_reader_header) == ""
@@ -68,7 +70,13 @@ def test_rewriting(spark):
 def test_validate(spark):
     good = one(spark, "第一章 三体\n" + "这是一段关于三体问题的讨论。" * 300, lambda c: C.validate(c, None, "三体"))
     assert good.passes and good.completeness == pytest.approx(0.5046, abs=1e-4)
+    assert good.passed == 3  # completeness, keyword and curve
     bad = one(spark, "", lambda c: C.validate(c, None, "test"))
+    assert bad.passed == 0 and bad.checks == ["completeness", "keyword", "too_short"]
+    other = one(spark, "第一章 三体\n" + "这是一段关于三体问题的讨论。" * 300, lambda c: C.validate(c, F.lit("nothing in common at all " * 20), "三体"))
+    assert not other.passes and other.checks == ["inconsistent"] and other.consistency == 0.0
+    same = one(spark, "第一章 三体\n" + "这是一段关于三体问题的讨论。" * 300, lambda c: C.validate(c, c, "三体"))
+    assert same.passes and same.passed == 4
     assert not bad.passes and bad.failed == 3
     assert not one(spark, None, lambda c: C.validate(c)).passes
 
@@ -144,3 +152,137 @@ def test_batch(spark, tmp_path):
     assert [tuple(r) for r in batch.read_items(spark, str(tmp_path / "b.txt")).collect()] == [("query one", False), ("https://example.com/page", True)]
     assert batch.all_succeeded(spark.createDataFrame([("x",), ("",)], "text string")).first().status == 2
     assert batch.all_succeeded(spark.createDataFrame([], "text string")).first().status == 2
+
+
+def test_keywords_of_rows(spark):
+    rows = [("三体 and 三体 AI", "三体 三体"), ("mail AI mail", "AI"), ("mail", "AI"), ("x", None), ("x", ""), (None, "AI")]
+    found = [r.m for r in spark.createDataFrame(rows, "t string, k string").coalesce(1).select(C.match_keywords("t", F.col("k")).alias("m")).collect()]
+    assert [(m.hits, m.matches, m.positions) for m in found] == [(4, ["三体", "三体"], [0, 0]), (1, ["AI"], [5]), (0, [], []), (0, [], []), (0, [], []), (0, [], [])]
+    texts = spark.createDataFrame([(1, 0, "u", "三体 " + "plain words here. " * 60, "三体"), (2, 0, "u", "plain words here. " * 60, "三体"), (3, 0, "u", "plain words here. " * 60, None)], "query_id long, pos int, url string, preview string, keyword string")
+    assert sorted(r.query_id for r in select.verify(texts, keyword_required=True).collect()) == [1, 3]
+
+
+def test_chain_compares_with_the_preview(spark):
+    schema = "query_id long, url_rank int, url string, stage_index int, stage_name string, text string, preview string"
+    text, other = "\n\n".join(f"Paragraph {k} has words enough to count for something." for k in range(120)), "完全不同的内容在这里，" * 40
+    rows = [(1, 0, "u", 0, "s0", text, other), (2, 0, "u", 0, "s0", text, text[:2000]), (3, 0, "u", 0, "s0", text, "short"), (4, 0, "u", 0, "s0", text, None)]
+    found = {r.query_id: r.result for r in select.chain(spark.createDataFrame(rows, schema), least=0.3).collect()}
+    assert found == {1: "best_effort", 2: "validated", 3: "validated", 4: "validated"}
+
+
+def test_chapter_lines(spark):
+    text = "\n".join(["第 7 章 空 rest", '<a href="/a.html"> x', "https://abs.example/7", "第三章 雨", "https://one.example/3 'q'", "第十二节x", ".", ".", "零第零章", "第2回 https://two.example/2"])
+    rows = [(r["rank"], r.number, r.title, r.url) for r in links.chapter_lines(spark.createDataFrame([(1, "https://s.example/d/9.html", text)], "key int, base string, text string")).orderBy("rank").collect()]
+    assert rows == [(1, 2, "https://two.example/2", "https://two.example/2"), (2, 3, "雨", "https://one.example/3"), (3, 7, "空", "https://s.example/a.html"), (4, 12, "x", "https://s.example/d/12.html")]
+
+
+def test_walks_end_at_the_next_chapter(spark):
+    nav = [("a", "b", None), ("b", "c", ""), ("c", "d", "next"), ("d", "e", None), ("x", "y", None), ("y", "x", None), ("z", "z", None), ("q", "gone", None)] + [(f"n{k:02}", f"n{k + 1:02}", None) for k in range(30)]
+    texts = [(u, f"text {u} 下载 tail") for u, *_ in nav]
+    rows = links.follow(spark.createDataFrame(nav, "url string, next_page string, next_chapter string"), spark.createDataFrame(texts, "url string, text string"))
+    found = {r.start: (r.pages, r.text) for r in rows.collect()}
+    assert found["a"] == (3, "text a \n\ntext b \n\ntext c ") and found["c"][0] == 1 and found["x"][0] == 2 and found["z"][0] == 1
+    assert found["q"] == (2, "text q ") and found["n00"][0] == 10 and found["n25"][0] == 6
+    assert {r.start: r.pages for r in links.follow(spark.createDataFrame(nav, "url string, next_page string, next_chapter string"), spark.createDataFrame(texts, "url string, text string"), 4).collect()}["n03"] == 4
+
+
+def test_heap_strings(spark):
+    body = " text of a page" * 40
+    junk = ['{"version": 1}' + body, ' {"a": 1, "disable": 2}' + body, '"encryptAttrs"' + body, '"events"' + body, "PG" + body, "<p>" + body + "</p>", "<br/>" + body]
+    good = ['{"title": 1}' + body, "<3" + body, '["a"]' + body, "PG" + body[:300], "x" * 600 + '"events"']
+    rows = [(k, 0, t) for k, t in enumerate([*junk, *good])] + [(99, 0, "short")]
+    found = sorted(r.key for r in select.heap_string(spark.createDataFrame(rows, "key long, pos int, text string")).collect())
+    assert found == list(range(len(junk), len(junk) + len(good)))
+
+
+def test_merge_sources(spark):
+    rows = [(1, 1, 0, "a", "", "x" * 100 + "\n"), (1, 1, 1, "b", "", "y" * 90), (2, 1, 0, "a", "", "x" * 100), (2, 1, 1, "b", "", "y" * 95), (2, 1, 2, "c", "T", "z" * 160)]
+    schema = "work_id int, row int, source_idx int, source_name string, title string, text string"
+    found = {r.work_id: (r.title, r.text, r.sources, r.confidence) for r in align.merge(spark.createDataFrame(rows, schema), "most_consistent").collect()}
+    assert found == {1: ("第1章", "x" * 100, ["a"], 0.9), 2: ("第1章", "x" * 100 + "\n\n[补充内容 from c]\n" + "z" * 160, ["a", "c"], 0.7)}
+
+
+def test_rendered_results(spark):
+    rows = spark.createDataFrame([(1, 0, "q", "body", 0.5, "https://u.example/"), (1, 1, "r", None, None, None)], "key int, pos int, input string, text string, score double, url string")
+    forms = {f: batch.document(rows, f).first().document for f in ("text", "md", "json")}
+    assert forms["text"] == "body\n\n=====\n\n"
+    assert forms["md"] == "# Batch results\n\n## q\n\n- Score: 0.500\n- URL: https://u.example/\n\nbody\n\n## r\n\n- Score: 0.000\n- URL: \n\n"
+    found = json.loads(forms["json"])
+    assert [r["input"] for r in found] == ["q", "r"] and list(found[0]) == ["input", *batch.RESULT] and found[0]["score"] == 0.5
+    one_result = batch.results(spark.createDataFrame([(True, 0.75, "u", "t", "s", 12)], "success boolean, score double, url string, text string, winning_stage string, total_time_ms long"))
+    assert one_result.select(batch.result_markdown()).first()[0] == "# Extraction result\n\n- Status: success\n- Score: 0.750\n- URL: u\n- Stage: s\n- Time: 12 ms\n\n## Content\n\nt\n"
+    report = spark.createDataFrame([(1, 1, "u", 2, ["a", "b"]), (1, 2, "v", 1, ["a"])], "query_id int, rank int, url string, cross_hits int, backends array<string>")
+    assert batch.search_report(report).first().report == "# Search results\n\n1. [u](u) — a, b\n2. [v](v) — a"
+    assert batch.search_report(report, "text").first().report == "u\nv"
+
+
+def test_decoding(spark):
+    bodies = [("中文".encode("gbk"), None), ("中文".encode(), "latin-1"), ("中文".encode("big5"), "big5"), (b"\xff\xff\xff", "nonsense"), (None, None), ("é".encode("latin-1"), "latin-1")]
+    found = [r[0] for r in spark.createDataFrame(bodies, "b binary, h string").coalesce(1).select(T.decoded("b", "h")).collect()]
+    assert found == ["中文", "中文".encode().decode("latin-1"), "中文", "���", None, "é"]
+    pages = spark.createDataFrame([(["a", "b"], ["{}", "<p>"]), (["a"], [])], "p array<string>, r array<string>").coalesce(1)
+    assert [r[0] for r in pages.select(T.browser_text(F.col("p"), F.col("r"))).collect()] == ["a\n\nb\n\n{}\n---\n<p>", "a"]
+    quick = spark.createDataFrame([("x" * 6000, "b"), ("short", "browser"), (None, "b")], "r string, b string").coalesce(1)
+    assert [r[0] for r in quick.select(T.fast_text("r", "b")).collect()] == ["x" * 5000, "browser", "b"]
+
+
+def test_first_chapters(spark):
+    pages = spark.createDataFrame([("https://t.example/toc", 1, "<a href='/3'>第三章 c</a><a href='4.html'>第4章</a><a href='/3b'>第3章</a><a href='javascript:x'>第9章</a><a href='/5'>第五章</a>"), ("https://t.example/few", 2, "<a href='/1'>第1章</a>"), ("https://t.example/none", 3, "<p>")], "url string, page_id int, html string")
+    found = [(r.number, r.chapter_url) for r in links.harvest(pages).orderBy("number").collect()]
+    assert found == [(3, "https://t.example/3"), (4, "https://t.example/4.html"), (5, "https://t.example/5")]
+    texts = spark.createDataFrame([("https://t.example/none", "第二章 b\nx\ny\n第一章 a\nhttps://c.example/1")], "url string, text string")
+    assert {r.url: (r.title, r.chapter_url) for r in links.first_chapter(pages, texts).collect()} == {"https://t.example/toc": ("第三章 c", "https://t.example/3"), "https://t.example/few": ("第1章", "https://t.example/1"), "https://t.example/none": ("第1章 a", "https://c.example/1")}
+    index = spark.createDataFrame([("u", "i" * 100, "novel_index", "c"), ("v", "i" * 100, "unknown", "c"), ("w", "i" * 300, "novel_index", "c")], "url string, text string, type string, chapter_url string")
+    chosen = links.followed_chapter(index, spark.createDataFrame([("c", "t" * 120)], "chapter_url string, text string"))
+    assert sorted((r.url, len(r.text)) for r in chosen.collect()) == [("c", 120), ("v", 100), ("w", 300)]
+
+
+def test_slots_in_spans(spark):
+    rows = [(f"d{k % 2}", float(k * k % 97), k) for k in range(200)]
+    table = spark.createDataFrame(rows, "domain string, arrival double, pos long")
+    whole, spans = ({r.pos: r.slot for r in schedule.slots(table, 1.5, bucket_rows=n).collect()} for n in (1000, 20))
+    assert whole == spans
+    last, plain = {}, {}
+    for d, a, k in sorted(rows, key=lambda r: (r[1], r[2])):
+        last[d] = plain[k] = a if d not in last else max(a, last[d] + 1.5)
+    assert whole == plain
+
+
+def test_contained(spark):
+    texts = [(1, "abcdefghijkl"), (1, "cdefghijk"), (1, "bc"), (1, ""), (1, None), (2, "cdefghijk"), (1, "abcdefghijkl"), (1, "xbc")]
+    found = sorted(map(str, (r.v for r in dedup.drop_contained(spark.createDataFrame(texts, "k int, v string"), "k", "v").collect())))
+    assert found == sorted(["abcdefghijkl", "abcdefghijkl", "None", "cdefghijk", "xbc"])
+
+
+def test_many_results(spark):
+    rows = [(1, 0, "u", "a", 0.9), (1, 1, "u", "b", 0.9), (1, 2, "v", "c", 0.9), (2, 0, "u", "a", 0.1), (2, 1, "v", "b", 0.9), (3, 0, "u", "", 0.9)]
+    found = dedup.best_of_many(spark.createDataFrame(rows, "query_id int, round int, url string, text string, score double"))
+    assert sorted((r.query_id, r.round) for r in found.collect()) == [(1, 0), (1, 2), (2, 0)]
+    one_site, two = (spark.createDataFrame([(0, u, p), (1, "", p)], "pos long, url string, platform string") for u, p in (("a", "x"), ("a", "y")))
+    assert sorted((r.url, r.platform) for r in dedup.across_platforms([one_site, two]).collect()) == [("", "x"), ("", "y"), ("a", "x")]
+    sites = spark.createDataFrame([("/j/1", "boss"), ("j/1", "liepin"), ("https://x", "boss"), ("/j", "other"), (None, "boss")], "u string, p string").coalesce(1)
+    assert [r[0] for r in sites.select(jobs.absolute("u", "p")).collect()] == ["https://www.zhipin.com/j/1", "https://www.liepin.com/j/1", "https://x", "/j", ""]
+
+
+def test_layers(spark):
+    whole = "\n\n".join(f"Paragraph {k} has words enough to count for something." for k in range(150))
+    rows = [(1, 1, whole, 0), (1, 3, "x" * 9000, 1), (2, 1, "thin " * 20, 0), (2, 3, "y" * 300, 1), (2, 2, "z" * 400, 2), (3, 5, " " * 99 + "o" * 60, 0), (4, 4, "tiny", 0)]
+    layers = spark.createDataFrame(rows, "key int, layer int, text string, pos int")
+    assert {r.key: (r.layer, r.tier) for r in select.quick_or_full(layers).collect()} == {1: (1, 0), 2: (3, 2), 3: (5, 4)}
+    assert {r.key: r.layer for r in select.first_layer(layers).collect()} == {1: 1, 2: 1, 3: 5}
+
+
+def test_cross_validation(spark):
+    found = spark.createDataFrame([(1, True), (2, False), (3, True)], "query_id long, success boolean")
+    chapters = [(q, s, f"s{s}", k, "", f"chapter {k} of the book " * 10 + "more " * (9 * s)) for q in (1, 2) for s in (0, 1) for k in (0, 1)]
+    rows = {r.query_id: r for r in pipeline.cross_validated(found, spark.createDataFrame(chapters, "query_id long, source_idx int, source_name string, ordinal int, title string, text string")).collect()}
+    assert [rows[k].cross_validated for k in (1, 2, 3)] == [True, False, False]
+    assert rows[1].cross_text.count("第1章") == 1 and "more" in rows[1].cross_text
+
+
+def test_exports():
+    import corpusflow
+
+    assert len(corpusflow.__all__) > 60 and all(callable(getattr(corpusflow, name)) for name in corpusflow.__all__)
+    with pytest.raises(AttributeError):
+        corpusflow.nothing
