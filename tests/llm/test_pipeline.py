@@ -1,6 +1,8 @@
 """The corpus pipeline and the registered queries."""
 
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 import duckdb
 import pytest
@@ -92,6 +94,13 @@ def test_awkward_tables(spark, tmp_path):
         assert all(stage(spark, empty, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_run_leaves_only_the_last_table(spark, stages):
+    found = corpus_pipeline.run(spark, SF)
+    folder = Path(urlparse(found.inputFiles()[0]).path).parent.parent
+    assert [p.name for p in folder.iterdir()] == ["3_packing"]
+    assert sorted(map(str, found.collect())) == sorted(map(str, stages["packing"].collect()))
+
+
 @pytest.mark.parametrize("name", sorted(n for n in __spark_entry__.oracle_sql() if n.startswith("op")))
 def test_queries_against_their_sql(spark, name):
     con = duckdb.connect()
