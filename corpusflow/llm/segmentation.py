@@ -58,8 +58,10 @@ class Pieces:
         self.hashes, self.hash_ids = hashes[order], np.array(list(self.ids.values()), dtype=np.int32)[order]
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces have one hash")
-        self.likely = np.zeros(1 << _TABLE_BITS, dtype=bool)
-        self.likely[(self.hashes >> _U(64 - _TABLE_BITS)).astype(np.int64)] = True
+        slot = (self.hashes >> _U(64 - _TABLE_BITS)).astype(np.int64)
+        self.slots = np.full(1 << _TABLE_BITS, -1, dtype=np.int32)  # the first piece of each slot; hashes are sorted
+        self.slots[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.shared = np.append(slot[1:] == slot[:-1], False)  # whether the next piece has the same slot
         self.kept: dict[tuple[str, int], list[tuple[float, list[int], bool]]] = {}
         spelled = {i: piece.replace(SPACE, " ").encode() for piece, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         table = [spelled.get(i, b"") for i in range(sp.get_piece_size())]
@@ -80,6 +82,16 @@ class Pieces:
     def _finish(h: np.ndarray) -> np.ndarray:
         return h * _U(0xBF58476D1CE4E5B9)
 
+    def _pieces_of(self, asked: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or -1; at: the first piece of its slot."""
+        hit = self.hashes[at] == asked
+        found = np.where(hit, self.hash_ids[at], -1)
+        more = np.flatnonzero(~hit & self.shared[at])
+        if len(more):
+            near = np.minimum(np.searchsorted(self.hashes, asked[more]), len(self.hashes) - 1)
+            found[more] = np.where(self.hashes[near] == asked[more], self.hash_ids[near], -1)
+        return found
+
     def _hash_of(self, piece: str) -> int:
         h = np.zeros(1, _U)
         for c in piece:
@@ -140,10 +152,10 @@ class Pieces:
         for k in range(min(self.longest, n)):
             h = self._step(h[: n - k], codes[k:])
             full = self._finish(h)
-            maybe = np.flatnonzero(self.likely[(full >> _U(64 - _TABLE_BITS)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.hashes, full[maybe]), len(self.hashes) - 1)
-            hit = self.hashes[at] == full[maybe]
-            start, piece = maybe[hit], self.hash_ids[at[hit]]
+            slot = self.slots[(full >> _U(64 - _TABLE_BITS)).astype(np.int64)]
+            maybe = np.flatnonzero(slot >= 0)
+            piece = self._pieces_of(full[maybe], slot[maybe])
+            start, piece = maybe[piece >= 0], piece[piece >= 0]
             if k == 0:
                 every = np.full(n, -1, dtype=np.int32)
                 every[start] = piece
@@ -241,12 +253,9 @@ class Pieces:
             h = self._step(h[: width - k], wide[k:])
             full = self._finish(h)
             own = np.full(full.shape, -1, dtype=np.int32)
-            maybe = self.likely[(full >> _U(64 - _TABLE_BITS)).astype(np.int64)] & (np.arange(k, width)[:, None] < length[None])
-            rows, cols = np.nonzero(maybe)
-            asked = full[rows, cols]
-            at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
-            hit = self.hashes[at] == asked
-            own[rows[hit], cols[hit]] = self.hash_ids[at[hit]]
+            slot = self.slots[(full >> _U(64 - _TABLE_BITS)).astype(np.int64)]
+            maybe = np.flatnonzero((slot >= 0) & (np.arange(k, width)[:, None] < length[None]))
+            own.reshape(-1)[maybe] = self._pieces_of(full.reshape(-1)[maybe], slot.reshape(-1)[maybe])
             ids.append(own)
         some = [(x >= 0).any(axis=1) for x in ids]
         first = np.where(ids[0] >= 0, self.scores[np.maximum(ids[0], 0)], self.unknown_score)
@@ -284,7 +293,7 @@ class Pieces:
         return tops, tops - seconds, grid[there], there.sum(axis=1)
 
     def learn(self, words: list[str]) -> None:
-        """Adds distinct new words of any length to the store."""
+        """Adds distinct new words of any length to the store, in their order: `number` has numbered them so."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         found, low = [], 0
         for high in (4, 8, 12, 16, 24, 40, LONG):
@@ -303,20 +312,30 @@ class Pieces:
             return
         order, best, gap, tokens, count = (np.concatenate(x) for x in zip(*found))
         tokens, count = self.spell(tokens, count)
-        exact = []
-        for at in range(0, len(order), 4096):
-            ends = np.cumsum(count[at : at + 4096])
-            first = int(count[:at].sum())
-            exact += [raw == _written(words[i]) for i, raw in zip(order[at : at + 4096], self.text_of(tokens[first : first + int(ends[-1])], ends))]
-        self.exact = np.append(self.exact, np.array(exact, dtype=bool))
-        for i in order:
-            self.number[words[i]] = len(self.number)
-        self.best, self.gap, self.count = np.append(self.best, best), np.append(self.gap, gap), np.append(self.count, count)
-        self.offset = np.append(self.offset, len(self.tokens) + np.cumsum(count) - count)
+        ends = np.cumsum(count)
+        exact = np.concatenate([self._spells([words[i] for i in order[at : at + 4096]], tokens[int(ends[at] - count[at]) : int(ends[min(at + 4096, len(ends)) - 1])], count[at : at + 4096]) for at in range(0, len(order), 4096)])
+        by = np.argsort(order)
+        self.exact, self.best, self.gap, self.count = (np.append(x, new[by]) for x, new in ((self.exact, exact), (self.best, best), (self.gap, gap), (self.count, count)))
+        self.offset = np.append(self.offset, (len(self.tokens) + ends - count)[by])
         self.tokens = np.append(self.tokens, tokens)
 
+    def _spells(self, words: list[str], tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Whether each word's tokens, count of them, spell it. Bytes are compared for all words at once, and if all
+        words have as many as their tokens, that says it of each; else word by word."""
+        ends = np.cumsum(count)
+        joined = "".join(words)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.where(codes == ord(SPACE), 1, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64))
+        wanted = np.diff(np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))])
+        upto = np.concatenate(([0], np.cumsum(self.byte_count[tokens])))
+        if self.bytes_of[tokens].all() and (np.diff(upto[np.concatenate(([0], ends))]) == wanted).all():
+            whole = self.byte_table[np.repeat(self.byte_start[tokens] - upto[:-1], self.byte_count[tokens]) + np.arange(upto[-1])]
+            if whole.tobytes() == joined.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                return np.ones(len(words), dtype=bool)
+        return np.array([raw == _written(word) for word, raw in zip(words, self.text_of(tokens, ends))], dtype=bool)
+
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.best, self.gap, self.exact = np.zeros(0), np.zeros(0), np.zeros(0, bool)
         self.count, self.offset, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -339,6 +358,18 @@ class Pieces:
         return out, upto[ends] - upto[ends - count]
 
 
+class _Numbers(dict):
+    """Numbers words in the order they come; new: those since it was emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 def _written(word: str) -> bytes:
     """What a word's pieces stand for, without the space before it."""
     return word[word.startswith(SPACE) :].replace(SPACE, " ").encode("utf-8", "surrogatepass")
@@ -361,11 +392,18 @@ def segment(pieces: Pieces, texts: list[str], n: int) -> Iterator[tuple[int, int
     if len(pieces.number) > STORED:
         pieces.forget()
     split = [pieces.words(t) for t in texts]
-    known = pieces.number
-    pieces.learn([w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known])
+    numbered = np.fromiter(map(pieces.number.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+    new, pieces.number.new = pieces.number.new, []
+    try:
+        pieces.learn(new)
+    except BaseException:
+        pieces.forget()  # numbers without words behind them
+        raise
     best, gap, tokens, count, offset = pieces.best, pieces.gap, pieces.tokens, pieces.count, pieces.offset
+    low = 0
     for i, words in enumerate(split):
-        which = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        which = numbered[low : low + len(words)]
+        low += len(words)
         size = count[which]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
