@@ -254,6 +254,20 @@ def test_contained(spark):
     assert found == sorted(["abcdefghijkl", "abcdefghijkl", "None", "cdefghijk", "xbc"])
 
 
+def test_contained_in_large_keys(spark):
+    import random
+
+    random.seed(7)
+    made = [(k, "".join(random.choices("ab\n中\U0001f600", k=random.randrange(0, 14)))) for k in (1, 2, None) for _ in range(120)] + [(1, None), (None, None), (3, ""), (4, "x" * 70000 + "yz"), (4, "xxxyz"), (4, "z"), (4, "zy")]
+    rows = spark.createDataFrame(made, "k int, v string")
+    kept = sorted(map(str, (r for r in made if r[0] is None or r[1] is None or not any(k == r[0] and w is not None and len(w) > len(r[1]) and r[1] in w for k, w in made))))
+    for most_work, most_chars in ((1 << 28, 1 << 24), (0, 0), (1 << 28, 1000)):
+        found = dedup.drop_contained(rows, "k", "v", most_work=most_work, most_chars=most_chars)
+        assert sorted(str((r.k, r.v)) for r in found.collect()) == kept
+        # a table of stretches must not be broadcast by the size of its source
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_results(spark):
     rows = [(1, 0, "u", "a", 0.9), (1, 1, "u", "b", 0.9), (1, 2, "v", "c", 0.9), (2, 0, "u", "a", 0.1), (2, 1, "v", "b", 0.9), (3, 0, "u", "", 0.9)]
     found = dedup.best_of_many(spark.createDataFrame(rows, "query_id int, round int, url string, text string, score double"))
