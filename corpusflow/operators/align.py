@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -23,11 +26,6 @@ def ratio(a: Column, b: Column) -> Column:
     return _ratio.asNondeterministic()(a, b)
 
 
-def _possible(a: Column, b: Column, least: float) -> Column:
-    """False only where the ratio can't reach `least`: by the lengths."""
-    return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
-
-
 def eligible_sources(sources: DataFrame, most: int = 3) -> DataFrame:
     """(work_id, pos, url, preview) → the first `most` of a work that show plain text of 500 characters and five
     chapter marks."""
@@ -36,31 +34,107 @@ def eligible_sources(sources: DataFrame, most: int = 3) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("work_id").orderBy("pos"))).where(F.col("n") <= most)
 
 
-def align(chapters: DataFrame, least: float = 0.60) -> DataFrame:
+class _Bounds:
+    """Upper bounds of the ratios of some strings to another: matching blocks make a common subsequence, so a ratio is at
+    most twice the longest one's length by both lengths. All strings' bits lie in one integer, each string's with a free
+    bit above, and a character of the other string takes one step in all of them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.sizes = np.array([len(t) for t in texts])
+        self.width = (int(self.sizes.max(initial=0)) // 8 + 1) * 8
+        codes = np.full((len(texts), self.width), -1, np.int64)
+        for row, t in zip(codes, texts):
+            row[: len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        packed = lambda held: int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
+        self.full = packed(codes >= 0)
+        self.held = {chr(c): packed(codes == c) for c in np.unique(codes[codes >= 0]).tolist()}
+
+    def of(self, other: str) -> np.ndarray:
+        left, full = self.full, self.full
+        for here in map(self.held.get, other):
+            if here and (met := left & here):
+                left = ((left + met) | (left - met)) & full
+        bits = np.frombuffer(left.to_bytes(len(self.sizes) * self.width // 8, "little"), np.uint8).reshape(len(self.sizes), -1)
+        common = self.sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        return 2.0 * common / np.maximum(self.sizes + len(other), 1)
+
+
+def closest(texts: list[str], others: list[str], groups: list[str], least: float) -> list[tuple[int, int, float]]:
+    """(i, j, ratio): to each text the other of each group of the highest ratio of at least `least`, the first of equals.
+    A ratio is worked out only where its bound reaches `least` and the highest so far."""
+    if not texts or not others:
+        return []
+    bounds = _Bounds(texts)
+    most = np.stack([bounds.of(o) for o in others], axis=1)
+    matchers: dict[int, SequenceMatcher] = {}
+    found = []
+    for group in dict.fromkeys(groups):
+        own = np.array([j for j, g in enumerate(groups) if g == group])
+        for i in np.flatnonzero((most[:, own] >= least).any(axis=1)).tolist():
+            row, best, at = most[i, own], -1.0, -1
+            for k in np.lexsort((own, -row))[: int((row >= least).sum())].tolist():
+                j = int(own[k])
+                if row[k] < best:
+                    break
+                if row[k] == best and j > at:
+                    continue
+                if j not in matchers:
+                    matchers[j] = SequenceMatcher(None, "", others[j])
+                matchers[j].set_seq1(texts[i])
+                r = matchers[j].ratio()
+                if r >= least and (r > best or (r == best and j < at)):
+                    best, at = r, j
+            if at >= 0:
+                found.append((i, at, best))
+    return found
+
+
+def _closest_of(least: float) -> Callable[..., Column]:
+    kind = pa.list_(pa.struct({"i": pa.int32(), "j": pa.int32(), "ratio": pa.float64()}))
+
+    def run(texts: pa.Array, others: pa.Array, groups: pa.Array) -> pa.Array:
+        rows = (closest(a.as_py(), b.as_py(), g.as_py(), least) for a, b, g in zip(texts, others, groups))
+        return pa.array([[{"i": i, "j": j, "ratio": r} for i, j, r in row] for row in rows], kind)
+
+    # once a row: filters that explode() brings along would each call it again
+    return F.arrow_udf(run, "array<struct<i: int, j: int, ratio: double>>").asNondeterministic()
+
+
+def align(chapters: DataFrame, least: float = 0.60, block: int = 64, blocks: int = 16) -> DataFrame:
     """(work_id, row, source_idx, ordinal): chapters (work_id, source_idx, ordinal, text) in rows of the same chapter.
 
     The source with the most chapters is the base (the first of equals); each of its chapters is a row, to which every
     other source gives its most similar chapter of a ratio of at least `least` (the earliest of equals; one may serve
     several rows). Chapters that serve none follow as rows of their own, by source and order. Similarity: the ratio of
-    fingerprints. Only pairs whose lengths allow it reach Python, and only fingerprints do.
+    fingerprints. Only fingerprints reach Python, `block` of the base's and as many others' at a time; the work of over
+    `blocks` such blocks of the base is shared by several tasks.
     """
-    rows = chapters.select("work_id", "source_idx", "ordinal", T.fingerprint(F.coalesce("text", F.lit(""))).alias("print"))
-    sizes = rows.groupBy("work_id", "source_idx").agg(F.count(F.lit(1)).alias("n"))
-    base = sizes.groupBy("work_id").agg(F.max_by("source_idx", F.struct("n", -F.col("source_idx"))).alias("base"))
-    marked = rows.join(base, "work_id")
-    one = marked.where("source_idx = base").select("work_id", F.col("ordinal").alias("o"), F.col("print").alias("p"), F.col("source_idx").alias("s"))
-    two = marked.where("source_idx != base").select("work_id", "source_idx", "ordinal", "print")
-    pairs = one.join(two, "work_id").where((F.col("p") != "") & (F.col("print") != "") & _possible(F.col("p"), F.col("print"), least))
-    scored = pairs.withColumn("ratio", ratio(F.col("p"), F.col("print"))).where(F.col("ratio") >= least)
-    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("work_id", "o", "source_idx").orderBy(F.desc("ratio"), "ordinal"))).where("n = 1")
-    numbered = F.row_number().over(Window.partitionBy("work_id").orderBy("o"))
-    firsts = one.select("work_id", "o", "s").withColumn("row", numbered)
-    matched = best.select("work_id", "o", "source_idx", "ordinal").join(firsts.select("work_id", "o", "row"), ["work_id", "o"])
-    orphans = two.select("work_id", "source_idx", "ordinal").join(best.select("work_id", "source_idx", "ordinal"), ["work_id", "source_idx", "ordinal"], "left_anti")
-    count = firsts.groupBy("work_id").agg(F.max("row").alias("last"))
-    after = orphans.join(count, "work_id").withColumn("row", F.col("last") + F.row_number().over(Window.partitionBy("work_id").orderBy("source_idx", "ordinal")))
-    cols = ["work_id", "row", "source_idx", "ordinal"]
-    return firsts.select("work_id", "row", F.col("s").alias("source_idx"), F.col("o").alias("ordinal")).unionByName(matched.select(*cols)).unionByName(after.select(*cols))
+    own, work = Window.partitionBy("work_id", "source_idx"), Window.partitionBy("work_id")
+    rows = chapters.where("work_id is not null").select("work_id", "source_idx", "ordinal", T.fingerprint(F.coalesce("text", F.lit(""))).alias("print"))
+    rows = rows.withColumn("row", F.row_number().over(own.orderBy("ordinal"))).withColumn("n", F.count(F.lit(1)).over(own))
+    rows = rows.withColumn("base", F.max(F.struct("n", (-F.col("source_idx")).alias("s"), "source_idx")).over(work))
+    one, two = rows.where("source_idx = base.source_idx"), rows.where("source_idx != base.source_idx")
+    turn = lambda n, size: F.floor((n - 1) / size).cast("int")
+    sliced = ["work_id", "slice"]
+    texts = one.where("print != ''").select("work_id", turn(F.col("row"), block * blocks).alias("slice"), turn(F.col("row"), block).alias("block"), F.struct("row", "print").alias("a"))
+    texts = texts.groupBy(*sliced, "block").agg(F.array_sort(F.collect_list("a")).alias("a")).drop("block")
+    place = F.row_number().over(work.orderBy("source_idx", "row"))
+    others = two.withColumn("place", place).where("print != ''").select("work_id", F.col("base.n").alias("last"), turn(F.col("place"), block).alias("block"), F.struct("place", "source_idx", "ordinal", "print").alias("b"))
+    others = others.groupBy("work_id", "block").agg(F.array_sort(F.collect_list("b")).alias("b"), F.first("last").alias("last"))
+    others = others.select("work_id", F.explode(F.sequence(F.lit(0), turn(F.col("last"), block * blocks))).alias("slice"), "b")
+    # a number of its own: by their bytes, little against the work on them, the blocks would be put together in a few tasks
+    spread = lambda d: d.repartition(int(chapters.sparkSession.conf.get("spark.sql.shuffle.partitions")), *sliced)
+    found = spread(texts).hint("merge").join(spread(others), sliced).withColumn("hits", _closest_of(least)("a.print", "b.print", F.col("b.source_idx").cast("array<string>")))
+    hits = found.select("work_id", "a", "b", F.explode("hits").alias("h")).select("work_id", F.get("a", F.col("h.i"))["row"].alias("row"), F.get("b", F.col("h.j")).alias("b"), "h.ratio")
+    best = Window.partitionBy("work_id", "row", "b.source_idx").orderBy(F.desc("ratio"), "b.place")
+    matched = hits.withColumn("r", F.row_number().over(best)).where("r = 1").select("work_id", "row", "b.source_idx", "b.ordinal", F.lit(None).cast("bigint").alias("last"))
+    # the others follow as candidates for rows of their own; one that serves a row is known by the rows beside it
+    rest = two.select("work_id", F.lit(None).cast("int").alias("row"), "source_idx", "ordinal", F.col("base.n").alias("last"))
+    used = F.max("row").over(Window.partitionBy("work_id", "source_idx", "ordinal"))
+    placed = matched.unionByName(rest).withColumn("used", F.col("last").isNotNull() & used.isNull()).where("row is not null or used")
+    after = F.sum(F.col("used").cast("int")).over(work.orderBy("source_idx", "ordinal").rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.select("work_id", F.coalesce("row", F.col("last") + after).cast("int").alias("row"), "source_idx", "ordinal")
+    return one.select("work_id", "row", "source_idx", "ordinal").unionByName(placed)
 
 
 def merge(rows: DataFrame, strategy: str = "longest") -> DataFrame:

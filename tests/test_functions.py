@@ -254,6 +254,35 @@ def test_contained(spark):
     assert found == sorted(["abcdefghijkl", "abcdefghijkl", "None", "cdefghijk", "xbc"])
 
 
+def test_alignment_in_blocks(spark):
+    """Against every ratio worked out, and with few of them worked out."""
+    import random
+    from difflib import SequenceMatcher
+
+    random.seed(5)
+    words = "the and of ring tion 天 地\U0001f600 ent".split()
+    made = lambda n: "".join(random.choices(words, k=n))
+    texts = [made(random.choice((0, 1, 5, 9, 120))) for _ in range(40)] + ["a" * 200, "a" * 200, "ab" * 100]
+    works = [(0, 0, k, t) for k, t in enumerate(texts)] + [(0, s, k, t[s * 3 :] + made(s)) for s in (1, 2) for k, t in enumerate(texts) if (k + s) % 4]
+    prints = {r.k: r.p for r in spark.createDataFrame([(k, w[3]) for k, w in enumerate(works)], "k int, v string").select("k", T.fingerprint("v").alias("p")).collect()}
+    base = [(w, prints[k]) for k, w in enumerate(works) if w[1] == 0]
+    want, served = {(0, n + 1, 0, w[2]) for n, (w, _) in enumerate(base)}, set()
+    for n, (_, p) in enumerate(base):
+        for s in (1, 2):
+            ratios = [(SequenceMatcher(None, p, prints[k]).ratio(), -w[2]) for k, w in enumerate(works) if w[1] == s and p and prints[k]]
+            if ratios and max(ratios)[0] >= 0.6:
+                want.add((0, n + 1, s, -max(ratios)[1]))
+                served.add((s, -max(ratios)[1]))
+    alone = sorted((s, o) for _, s, o, _ in works if s and (s, o) not in served)
+    want |= {(0, len(base) + 1 + n, s, o) for n, (s, o) in enumerate(alone)}
+    rows = spark.createDataFrame(works, "work_id int, source_idx int, ordinal int, text string")
+    for size in ({}, {"block": 7, "blocks": 2}):
+        found = [tuple(r) for r in align.align(rows, **size).collect()]
+        assert len(found) == len(want) and set(found) == want
+    bounds = align._Bounds([p for _, p in base])
+    assert all(b >= SequenceMatcher(None, p, q).ratio() for q in list(prints.values())[::5] for (_, p), b in zip(base, bounds.of(q)) if p and q)
+
+
 def test_contained_in_large_keys(spark):
     import random
 
