@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import starmap
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corpusflow.functions import rules
+from corpusflow.functions import rules, scoring
 
 
 def _texts(value: object, depth: int, most: int) -> Iterator[str]:
@@ -29,15 +30,15 @@ def _texts(value: object, depth: int, most: int) -> Iterator[str]:
                 yield from _texts(v, depth + 1, most)
 
 
-@F.pandas_udf(StringType())
-def _dig(bodies: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _dig(bodies: pa.Array) -> pa.Array:
     def one(body: str | None) -> str | None:
         try:
             return max(_texts(json.loads(body), 0, 5), key=len, default=None) if body else None
         except (ValueError, RecursionError):
             return None
 
-    return bodies.map(one).astype(object)
+    return scoring.strings(starmap(one, scoring.each(bodies)))
 
 
 def longest_text(body: Column | str) -> Column:

@@ -226,7 +226,8 @@ ENCODINGS = ("utf-8", "gbk", "gb18030", "big5")
 
 @cache
 def _decoder():
-    import pyarrow as pa
+    from itertools import starmap
+
     from pyspark.sql.types import StringType
 
     def one(body: bytes | None, hint: str | None) -> str | None:
@@ -241,7 +242,7 @@ def _decoder():
         return body.decode("utf-8", errors="replace")
 
     # the legacy encodings, and failing on bytes that aren't theirs, are Python's
-    return F.arrow_udf(lambda body, hint: pa.array(map(one, body.to_pylist(), hint.to_pylist()), pa.string()), StringType())
+    return F.arrow_udf(lambda body, hint: scoring.strings(starmap(one, scoring.each(body, hint))), StringType())
 
 
 def decoded(body: Column | str, hint: Column | str | None = None) -> Column:
