@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import classify as C
-from corpusflow.functions import rx
+from corpusflow.functions import rx, scoring
 from corpusflow.functions import text as T
 
 #: Texts of a stage must be longer than this many characters.
@@ -119,16 +119,16 @@ def pick_layer(layers: DataFrame) -> DataFrame:
     the longest over 50. No row if there's none."""
     n = F.length(rx.strip(F.col("text")))
     place = F.array_position(F.array(*[F.lit(k) for k in (1, 3, 6, 2, 4, 5)]), F.col("layer"))
-    rows = layers.where("text is not null").withColumn("n", n).withColumn("place", place)
+    rows = layers.where("text is not null").withColumn("n", n).withColumn("place", place).withColumn("own", scoring.completeness_once("text"))
     tier = (
-        F.when(T.is_complete(F.col("text")) & (F.col("place") > 0), 1)
+        F.when((F.col("own") >= 0.5) & (F.col("place") > 0), 1)
         .when(F.col("layer").isin(1, 3, 6) & (F.col("n") > 100), 2)
         .when((F.col("layer") == 2) & ~rx.strip(F.col("text")).startswith("{") & (F.col("n") > 100), 3)
         .when(F.col("n") > 50, 4)
     )
     rows = rows.withColumn("tier", tier).where("tier is not null")
     order = [F.col("tier"), F.when(F.col("tier") == 1, F.col("place")).otherwise(-F.length("text")), F.col("pos")]
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("r = 1").drop("r", "n", "place")
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("r = 1").drop("r", "n", "place", "own")
 
 
 def first_layer(layers: DataFrame) -> DataFrame:

@@ -283,6 +283,32 @@ def test_alignment_in_blocks(spark):
     assert all(b >= SequenceMatcher(None, p, q).ratio() for q in list(prints.values())[::5] for (_, p), b in zip(base, bounds.of(q)) if p and q)
 
 
+def test_texts_cross_once_and_in_slices(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+    from corpusflow.functions import scoring
+
+    texts = pa.array([f"{k} " + "text " * 2000 for k in range(4000)])
+    tracemalloc.start()
+    scored = scoring.score_of.func(texts, pa.nulls(len(texts), pa.string()))
+    bodies = pa.array([b"x" * 10000] * 4000)
+    decoded = T._decoder().func(bodies, pa.nulls(len(bodies), pa.string()))
+    dug = json_dig._dig.func(pa.array(['{"a": "' + "word " * 2000 + '"}'] * 4000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (len(scored), len(decoded), len(dug)) == (4000,) * 3 and decoded[3999].as_py() == "x" * 10000 and dug[3999].as_py() == "word " * 2000
+    assert peak < 16 << 20, peak
+    assert [list(scoring.each(pa.array([], pa.string()))), len(scoring.strings([]))] == [[], 0]
+
+
+def test_filters_on_scores_call_them_once(spark):
+    rows = spark.createDataFrame([(1, 1, "some text", 0)], "key int, layer int, text string, pos int")
+    seen = spark.createDataFrame([(1, 0, "u", "some text")], "query_id int, pos int, url string, preview string")
+    for found in (select.pick_layer(rows), select.verify(seen)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_contained_in_large_keys(spark):
     import random
 
