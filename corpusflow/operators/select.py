@@ -29,7 +29,7 @@ def verify(candidates: DataFrame, keyword: Column | str | None = None, most: int
     order = Window.partitionBy("query_id").orderBy("pos", "url")
     word = _given(candidates, keyword)
     rows = candidates.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).where(F.length(rx.strip(F.col("preview"))) >= least)
-    rows = rows.withColumn("score", C.score_content(F.col("preview"), word))
+    rows = rows.withColumn("score", scoring.score_once(F.col("preview"), scoring.keyword_column(word)))
     if keyword_required and word is not None:
         word = F.coalesce(word if isinstance(word, Column) else F.lit(word), F.lit(""))
         rows = rows.where((F.col("score.keyword_density") > 0) | (word == ""))
